@@ -324,3 +324,336 @@ def q_query_entity(spark, sf):
     x = b.select("item_id", "text", pf)
     return x.select("item_id", "prefix",
                     T.extract_entity(F.concat("prefix", "text")).alias("entity"))
+
+
+# ---------------------------------------------------------------------------
+# Vector transforms
+# ---------------------------------------------------------------------------
+
+def arr6(c):
+    """Array of floats -> array of doubles rounded to 6 places (comparison form)."""
+    return F.transform(c, lambda x: F.round(x.cast("double"), 6))
+
+
+def arr6_sql(v: str) -> str:
+    return f"list_transform({v}, lambda x: round(x::DOUBLE, 6))"
+
+
+L2_SQL = f"""
+WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * (label + 1)) AS v
+           FROM embeddings),
+n AS (SELECT vec_id, v, {S.vec_norm('v')} AS nrm FROM s)
+SELECT vec_id, {arr6_sql(S.unit('v', 'nrm'))} AS unit_vec FROM n
+"""
+
+
+@register("l2_normalize", L2_SQL)
+def q_l2_normalize(spark, sf):
+    """Vectors scaled by (label + 1), normalised back to unit length."""
+    e = X.table(spark, sf, "embeddings")
+    scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("label") + 1))
+    return e.select("vec_id", arr6(V.l2_normalize(scaled)).alias("unit_vec"))
+
+
+QUANT_SQL = f"""
+SELECT vec_id, {arr6_sql(S.quantize('embedding'))} AS qvec FROM embeddings
+"""
+
+
+@register("vector_quantize", QUANT_SQL)
+def q_vector_quantize(spark, sf):
+    """Every component rounded half-even to 6 decimals, stored as float."""
+    e = X.table(spark, sf, "embeddings")
+    return e.select("vec_id", arr6(V.quantize("embedding")).alias("qvec"))
+
+
+POOL_SQL = f"""
+WITH ex AS (SELECT label, embedding[1] >= 0 AS keep, unnest(embedding) AS x,
+                   generate_subscripts(embedding, 1) AS pos FROM embeddings),
+m AS (SELECT label, pos, sum(CASE WHEN keep THEN x::DOUBLE ELSE 0 END)
+                         / sum(CASE WHEN keep THEN 1 ELSE 0 END) AS mu
+      FROM ex GROUP BY label, pos),
+p AS (SELECT label, list(mu ORDER BY pos) AS v FROM m GROUP BY label),
+n AS (SELECT label, v, {S.vec_norm('v')} AS nrm FROM p)
+SELECT label, {arr6_sql(S.unit('v', 'nrm'))} AS pooled FROM n
+"""
+
+
+@register("masked_mean_pool", POOL_SQL)
+def q_masked_mean_pool(spark, sf):
+    """Rows of a label are the token vectors of one text; rows whose first component is
+    negative are padding (masked). Masked mean (A5) + L2 normalise (E6), computed with
+    ``Summarizer`` weighted means (map-side partial aggregation, skew-safe)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    e = X.table(spark, sf, "embeddings").withColumn(
+        "w", F.when(F.get("embedding", 0) >= 0, 1.0).otherwise(0.0))
+    m = e.groupBy("label").agg(Summarizer.mean(array_to_vector("embedding"), F.col("w")).alias("m"))
+    pooled = V.l2_normalize(vector_to_array("m", "float64"))
+    return m.select("label", arr6(pooled).alias("pooled"))
+
+
+# ---------------------------------------------------------------------------
+# Default encoder (E1-like tokens, E4 hashing model, A5, E6, E7)
+# ---------------------------------------------------------------------------
+
+HASH_DIM = 64
+
+
+def _hash_embed_ctes(src: str, key: str, text: str, name: str) -> str:
+    """CTEs ``{name}`` = (key, emb) embedding ``text`` of ``src`` with the default encoder."""
+    return f"""
+    {name}_t AS (SELECT {key} AS k, {S.hash_dims(S.model_tokens(text), HASH_DIM)} AS dims FROM {src}),
+    {name}_p AS (SELECT k, {S.pool_dims('dims', HASH_DIM)} AS v FROM {name}_t),
+    {name}_n AS (SELECT k, v, {S.vec_norm('v')} AS nrm FROM {name}_p),
+    {name} AS (SELECT k AS {key}, {S.quantize(S.unit('v', 'nrm'))} AS emb FROM {name}_n)"""
+
+
+FEATURE_HASH_SQL = f"""
+WITH {_hash_embed_ctes('benchmark', 'item_id', 'text', 'he').strip()}
+SELECT item_id, {arr6_sql('emb')} AS embedding FROM he
+"""
+
+
+@register("feature_hash_embed", FEATURE_HASH_SQL)
+def q_feature_hash_embed(spark, sf):
+    from semsift.operators.embed import HashingEncoder, embed
+    b = X.table(spark, sf, "benchmark")
+    out = embed(b, "text", HashingEncoder(HASH_DIM))
+    return out.select("item_id", arr6(F.col("embedding")).alias("embedding"))
+
+
+# ---------------------------------------------------------------------------
+# K7 keyword score (posting-list join form), K8 title score, P8 lookup
+# ---------------------------------------------------------------------------
+
+KEYWORD_SQL = f"""
+WITH {_index_sql()},
+    qs AS (SELECT doc_id AS query_id, {X.query_text_sql('doc_id', 'text')} AS query,
+                  {S.quantize('embedding')} AS qvec FROM j),
+    qt AS (SELECT query_id, qvec, {S.token_set(S.clean('query'))} AS toks FROM qs),
+    pairs AS (SELECT qt.query_id, ix.id, {S.cos_dist('ix.emb', 'qt.qvec')} AS distance
+              FROM qt CROSS JOIN ix),
+    cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+               ORDER BY round(distance, 6), id) AS rn FROM pairs) WHERE rn <= {K.overfetch_k(SEARCH_K)}),
+    {_DOC_TOKENS_SQL},
+    qtok AS (SELECT query_id, unnest(toks) AS tok, len(toks) AS nq FROM qt),
+    kw AS (SELECT c.query_id, c.id, sum(ln(1 + dtok.freq)) / max(qtok.nq) AS s
+           FROM cand c JOIN qtok ON c.query_id = qtok.query_id
+           JOIN dtok ON dtok.id = c.id AND dtok.tok = qtok.tok GROUP BY c.query_id, c.id)
+SELECT c.query_id, c.id, round(coalesce(kw.s, 0.0), 6) AS keyword_score
+FROM cand c LEFT JOIN kw ON kw.query_id = c.query_id AND kw.id = c.id
+"""
+
+
+@register("keyword_score", KEYWORD_SQL)
+def q_keyword_score(spark, sf):
+    """Keyword score of every (query, candidate) pair through the posting-list
+    equi-join on ``(id, hash)`` (J2), candidates from the exact kNN join."""
+    from semsift.operators.search import prepare_queries
+    from semsift.operators.keyword import keyword_scores_join
+    qf = prepare_queries(fixture_queries(spark, sf), query_vec="query_vec")
+    ix = vector_index(spark, sf)
+    cands = K.knn_join(qf.select("query_id", "query_vec"), ix, K.overfetch_k(SEARCH_K),
+                       with_rank=False)
+    out = keyword_scores_join(cands.select("query_id", "id"), qf, ix)
+    return r6(out, "keyword_score")
+
+
+TITLE_SQL = f"""
+WITH t AS (SELECT doc_id, {S.clean(S.clean(X.raw_title_sql('text')))} AS ct,
+                  {S.clean(X.query_text_sql('doc_id', 'text'))} AS cq FROM documents)
+SELECT doc_id, round({S.title_score('ct', S.token_set('cq'), 'cq')}, 6) AS title_score FROM t
+"""
+
+
+@register("title_score", TITLE_SQL)
+def q_title_score(spark, sf):
+    """Title score of every document's title against its fixture query."""
+    d = X.table(spark, sf, "documents")
+    t = d.select("doc_id", T.clean_string(T.clean_string(X.raw_title())).alias("ct"),
+                 T.clean_string(X.query_text()).alias("cq"))
+    return r6(t.select("doc_id", title_score("ct", T.token_set(F.col("cq")), "cq").alias("title_score")),
+              "title_score")
+
+
+LOOKUP_SQL = f"""
+WITH {_index_sql()},
+    pairs AS (SELECT a.id AS query_id, b.id, {S.cos_dist('b.emb', 'a.emb')} AS distance
+              FROM ix a CROSS JOIN ix b),
+    cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+               ORDER BY round(distance, 6), id) AS rn FROM pairs) WHERE rn <= {K.overfetch_k(SEARCH_K)})
+SELECT c.query_id, c.id, ix.title, ix.link, round(c.distance, 6) AS distance
+FROM cand c JOIN ix ON ix.id = c.id
+"""
+
+
+@register("candidate_lookup", LOOKUP_SQL)
+def q_candidate_lookup(spark, sf):
+    """Candidate ids -> detail columns by id (P8/J3, late materialisation)."""
+    from semsift.operators.search import fetch_candidates
+    ix = vector_index(spark, sf)
+    q = ix.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    cands = K.knn_join(q, ix, K.overfetch_k(SEARCH_K), with_rank=False).checkpoint()
+    det = fetch_candidates(cands, ix, cands.count(), cols=("title", "link"))
+    return r6(det.select("query_id", "id", "title", "link", "distance"), "distance")
+
+
+# ---------------------------------------------------------------------------
+# Markup cleaning and article filters
+# ---------------------------------------------------------------------------
+
+_RE2_WS = ("\\t\\n\\x0b\\x0c\\r \\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
+           "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}")
+RE2_STEPS = (
+    ("(?s)<!--.*?-->", ""),
+    ("(?s)<ref[^>/]*?>.*?</ref>", ""),
+    ("<ref[^/>]*/>", ""),
+    ("(?s)\\{\\{.*?\\}\\}", ""),
+    ("(?i)\\[\\[(File|Image|Category):.*?\\]\\]", ""),
+    ("\\[\\[[^|\\]]+\\|([^\\]]+)\\]\\]", "\\1"),
+    ("\\[\\[([^\\]]+)\\]\\]", "\\1"),
+    ("\\[https?://[^" + _RE2_WS + "\\]]+[" + _RE2_WS + "]?([^\\]]*)\\]", "\\1"),
+    ("[\\[\\]]", ""),
+    ("==+.*?==+", ""),
+)
+
+
+def _sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, {S.q('^[' + _RE2_WS + ']+|[' + _RE2_WS + ']+$')}, '', 'g')"
+
+
+def _sql_clean_markup(x: str) -> str:
+    for pat, rep in RE2_STEPS:
+        x = f"regexp_replace({x}, {S.q(pat)}, {S.q(rep)}, 'g')"
+    x = f"regexp_replace({x}, {S.q('[' + _RE2_WS + ']+')}, ' ', 'g')"
+    return _sql_strip(x)
+
+
+def _sql_normalize(x: str) -> str:
+    return f"replace(lower({_sql_clean_markup(_sql_strip(x))}), '’', '''')"
+
+
+def _sql_has_text(x: str) -> str:
+    return f"({x} IS NOT NULL AND regexp_matches({x}, {S.q('[^' + _RE2_WS + ']')}))"
+
+
+def _sql_prepare_redirect(x: str) -> str:
+    return f"starts_with(lower({_sql_strip(x)}), '#redirect')"
+
+
+WIKITEXT_SQL = f"""
+SELECT doc_id, {_sql_normalize(X.wikitext_sql('doc_id', 'text'))} AS clean_text FROM documents
+"""
+
+
+@register("wikitext_clean", WIKITEXT_SQL)
+def q_wikitext_clean(spark, sf):
+    """Every document wrapped in wiki markup, cleaned and normalised."""
+    from semsift.functions.wikitext import normalize_article
+    d = X.table(spark, sf, "documents")
+    return d.select("doc_id", normalize_article(X.wikitext()).alias("clean_text"))
+
+
+ENTITY_DECODE_SQL = """
+SELECT page_id, replace(replace(replace(replace(html, '&quot;', '"'), '&middot;', '·'),
+                '&copy;', '©'), '&amp;', '&') AS html FROM pages
+"""
+
+
+@register("html_entity_decode", ENTITY_DECODE_SQL)
+def q_html_entity_decode(spark, sf):
+    """HTML entities of every page decoded (C1, Arrow-batched Python)."""
+    from semsift.functions.wikitext import html_unescape
+    p = X.table(spark, sf, "pages")
+    return p.select("page_id", html_unescape("html").alias("html"))
+
+
+REDIRECT_SQL = f"""
+WITH r AS (SELECT doc_id, {X.raw_title_sql('text')} AS title,
+                  {X.redirect_text_sql('doc_id', 'text')} AS body FROM documents)
+SELECT doc_id, {S.q(C.LINK_PREFIX)} || title AS link,
+       ({_sql_has_text('body')} AND NOT {_sql_prepare_redirect('body')}) AS kept_at_prepare
+FROM r WHERE NOT contains(body, '#REDIRECT')
+"""
+
+
+@register("article_filter_redirects", REDIRECT_SQL)
+def q_article_filter_redirects(spark, sf):
+    """Injected redirects: ingest drops ``#REDIRECT`` anywhere (P3), prepare drops
+    any-case ``#redirect`` prefixes and blank text (P1, P2); link derived (P5)."""
+    from semsift.functions.wikitext import has_text, is_prepare_redirect
+    from semsift.plans.ingest import article_link
+    from semsift.sources.jsonl import drop_ingest_redirects
+    d = X.table(spark, sf, "documents").select(
+        "doc_id", X.raw_title().alias("title"), X.redirect_text().alias("body"))
+    kept = drop_ingest_redirects(d, "body")
+    return kept.select("doc_id", article_link(F.col("title")).alias("link"),
+                       (has_text("body") & ~is_prepare_redirect("body")).alias("kept_at_prepare"))
+
+
+# ---------------------------------------------------------------------------
+# Vocabulary encoding
+# ---------------------------------------------------------------------------
+
+ENCODE_SQL = f"""
+WITH w AS (SELECT DISTINCT unnest({S.words('text')}) AS token FROM benchmark),
+vocab AS (SELECT token, 3 + row_number() OVER (ORDER BY token) AS token_id FROM w
+          WHERE token NOT IN ('[PAD]', '[UNK]', '[CLS]', '[SEP]')
+          UNION ALL SELECT * FROM (VALUES ('[PAD]', 0), ('[UNK]', 1), ('[CLS]', 2), ('[SEP]', 3)) v(token, token_id)),
+dw AS (SELECT doc_id, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos
+       FROM (SELECT doc_id, ({S.words('text')})[1:{C.MAX_SEQ_LEN - 2}] AS ws FROM documents)),
+ids AS (SELECT dw.doc_id, list(coalesce(v.token_id, 1)::BIGINT ORDER BY dw.pos) AS body
+        FROM dw LEFT JOIN vocab v ON v.token = dw.token GROUP BY dw.doc_id),
+seqs AS (SELECT d.doc_id, list_concat([2::BIGINT], coalesce(i.body, []::BIGINT[]), [3::BIGINT]) AS s
+         FROM documents d LEFT JOIN ids i ON i.doc_id = d.doc_id)
+SELECT doc_id,
+       list_concat(s, list_transform(range({C.MAX_SEQ_LEN} - len(s)), lambda x: 0::BIGINT)) AS input_ids,
+       list_concat(list_transform(s, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END::BIGINT),
+                   list_transform(range({C.MAX_SEQ_LEN} - len(s)), lambda x: 0::BIGINT)) AS attention_mask,
+       list_transform(range({C.MAX_SEQ_LEN}), lambda x: 0::BIGINT) AS token_type_ids
+FROM seqs
+"""
+
+
+@register("token_encode", ENCODE_SQL)
+def q_token_encode(spark, sf):
+    """Documents encoded against a vocabulary built from the benchmark words."""
+    from semsift.operators.encode import encode_tokens, vocab_from_words
+    vocab = vocab_from_words(X.table(spark, sf, "benchmark"), "text")
+    d = X.table(spark, sf, "documents")
+    return encode_tokens(d, "text", vocab, C.MAX_SEQ_LEN, key="doc_id")
+
+
+# ---------------------------------------------------------------------------
+# E8 + K11: text-in hybrid search with the default encoder
+# ---------------------------------------------------------------------------
+
+TEXT_SEARCH_SQL = f"""
+WITH dt AS (SELECT doc_id, text, {X.raw_title_sql('text')} AS first3 FROM documents),
+    {_hash_embed_ctes('dt', 'doc_id', 'text', 'de').strip()},
+    ix AS (SELECT dt.doc_id AS id, {S.clean('first3')} AS title, text AS description,
+                  {S.q(C.LINK_PREFIX)} || first3 AS link, de.emb FROM dt JOIN de USING (doc_id)),
+    bq AS (SELECT item_id, text, {S.entity('text')} AS ent FROM benchmark),
+    {_hash_embed_ctes('bq', 'item_id', 'ent', 'qe').strip()},
+    qs AS (SELECT bq.item_id AS query_id, bq.text AS query, qe.emb AS qvec
+           FROM bq JOIN qe USING (item_id)),
+    {_hybrid_tail_sql(SEARCH_K)}
+"""
+
+
+def text_index(spark, sf):
+    from semsift.operators.embed import HashingEncoder
+    d = X.table(spark, sf, "documents").withColumn("raw_title", X.raw_title())
+    return build_index(d, encoder=HashingEncoder(HASH_DIM), id_col="doc_id", title_col="raw_title")
+
+
+@register("hybrid_search_text", TEXT_SEARCH_SQL)
+def q_hybrid_search_text(spark, sf):
+    """Benchmark texts as queries: entity -> default encoder -> hybrid search over
+    an index built from every document (E8 + K11)."""
+    from semsift.operators.embed import HashingEncoder
+    b = X.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"),
+                                                F.col("text").alias("query"))
+    res = hybrid_search(b, text_index(spark, sf), SEARCH_K, encoder=HashingEncoder(HASH_DIM))
+    return r6(res, "score", "knn_score", "keyword_score", "title_score")
