@@ -657,3 +657,170 @@ def q_hybrid_search_text(spark, sf):
                                                 F.col("text").alias("query"))
     res = hybrid_search(b, text_index(spark, sf), SEARCH_K, encoder=HashingEncoder(HASH_DIM))
     return r6(res, "score", "knn_score", "keyword_score", "title_score")
+
+
+# ---------------------------------------------------------------------------
+# Sources, sinks, index table, incremental ingest
+# ---------------------------------------------------------------------------
+
+def _articles(spark, sf):
+    d = X.table(spark, sf, "documents")
+    return d.select("doc_id", X.raw_title().alias("title"), "text")
+
+
+def _hadoop_fs(spark, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+
+
+def _write_lines_as(spark, df: DataFrame, folder: str, suffix: str) -> None:
+    """Write a one-column text DataFrame into ``folder`` with file suffix ``suffix``
+    (text part files are renamed through the Hadoop FileSystem API)."""
+    tmp = folder.rstrip("/") + "/_staging" + suffix.replace(".", "_")
+    df.write.mode("overwrite").text(tmp)
+    fs, p, jvm = _hadoop_fs(spark, tmp)
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.startswith("part-"):
+            fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(
+                folder.rstrip("/") + "/" + name.split(".")[0] + suffix))
+    fs.delete(p, True)
+
+
+JSONL_SQL = f"""
+SELECT {X.raw_title_sql('text')} AS title, text, {S.q(C.LINK_PREFIX)} || {X.raw_title_sql('text')} AS link
+FROM documents WHERE NOT contains(text, '#REDIRECT')
+"""
+
+
+@register("jsonl_roundtrip", JSONL_SQL)
+def q_jsonl_roundtrip(spark, sf):
+    """Articles written as JSON lines (S5) next to malformed ``.json`` lines and an
+    ignored ``.jsonl`` copy, read back with the ingest reader (S6-S9, P3, P5)."""
+    from semsift.session import scratch_path
+    from semsift.sources.jsonl import read_articles, write_articles
+    arts = _articles(spark, sf)
+    base = scratch_path(spark, "jsonl")
+    write_articles(arts, base)
+    bad = arts.select(F.explode(F.array(
+        F.concat(F.lit('{"title": "'), F.col("title")),                 # truncated object
+        F.concat(F.lit("not json "), F.col("doc_id").cast("string")),    # not JSON
+        F.lit(""),                                                       # blank line
+    )).alias("value"))
+    _write_lines_as(spark, bad, base, ".json")
+    _write_lines_as(spark, arts.select(F.to_json(F.struct("title", "text")).alias("value")),
+                    base, ".jsonl")
+    return read_articles(spark, base).select("title", "text", "link")
+
+
+DUMP_SQL = f"""
+WITH r AS (SELECT {X.raw_title_sql('text')} AS title, {X.redirect_text_sql('doc_id', 'text')} AS body
+           FROM documents)
+SELECT title, {_sql_normalize('body')} AS text FROM r
+WHERE {_sql_has_text('body')} AND NOT {_sql_prepare_redirect('body')}
+"""
+
+
+@register("xml_dump_scan", DUMP_SQL)
+def q_xml_dump_scan(spark, sf):
+    """Documents (with injected redirects) rendered as a bz2 XML dump with a malformed
+    page after every good one, then scanned and prepared (S1-S4, P1, P2, P4)."""
+    from semsift.plans.prepare import prepare_dump
+    from semsift.session import scratch_path
+    from semsift.sources.xml_dump import render_pages
+    d = X.table(spark, sf, "documents").select(X.raw_title().alias("title"),
+                                              X.redirect_text().alias("text"))
+    good = render_pages(d)
+    broken = d.select(F.concat(F.lit("  <page>\n    <title>"), F.lit("x</titl>\n"),
+                               F.lit("    <revision><text>y</text></revision>\n  </page>")).alias("value"))
+    pages = good.unionByName(broken)
+    path = scratch_path(spark, "dump")
+    pages.write.mode("overwrite").option("compression", "bzip2").text(path)
+    return prepare_dump(spark, path)
+
+
+def _stats_summary(idx: DataFrame, keep_id: bool = False) -> DataFrame:
+    return idx.select(
+        *(["id"] if keep_id else []),
+        "title", "link", "description", arr6(F.col("embedding")).alias("embedding"),
+        F.size("token_stats").cast("int").alias("n_tokens"),
+        F.aggregate("token_stats", F.lit(0).cast("long"),
+                    lambda a, s: a + s["freq"].cast("long")).alias("total_freq"))
+
+
+INGEST_SQL = f"""
+WITH dt AS (SELECT doc_id, text, {X.raw_title_sql('text')} AS first3 FROM documents),
+    {_hash_embed_ctes('dt', 'doc_id', 'text', 'de').strip()},
+    tk AS (SELECT doc_id, tok, least(count(*), {C.FREQ_CAP}) AS freq
+           FROM (SELECT doc_id, unnest({S.kw_tokens(S.clean('text'))}) AS tok FROM dt)
+           GROUP BY doc_id, tok),
+    ts AS (SELECT dt.doc_id, CAST(count(tk.tok) AS INTEGER) AS n_tokens,
+                  CAST(coalesce(sum(tk.freq), 0) AS BIGINT) AS total_freq
+           FROM dt LEFT JOIN tk ON tk.doc_id = dt.doc_id GROUP BY dt.doc_id)
+SELECT {{id}}{S.clean('first3')} AS title, {S.q(C.LINK_PREFIX)} || first3 AS link, text AS description,
+       {arr6_sql('de.emb')} AS embedding, ts.n_tokens, ts.total_freq
+FROM dt JOIN de USING (doc_id) JOIN ts USING (doc_id) {{where}}
+"""
+
+
+@register("ingest_batch_table", INGEST_SQL.replace("{id}", "dt.doc_id AS id, ").replace("{where}", ""))
+def q_ingest_batch_table(spark, sf):
+    """Batch ingest: index rows appended to a Parquet table and read back."""
+    from semsift.operators.embed import HashingEncoder
+    from semsift.plans.ingest import append_index
+    from semsift.session import scratch_path
+    arts = _articles(spark, sf)
+    idx = build_index(arts, encoder=HashingEncoder(HASH_DIM), id_col="doc_id")
+    path = scratch_path(spark, "index")
+    append_index(idx, path)
+    return _stats_summary(spark.read.parquet(path), keep_id=True)
+
+
+@register("stream_ingest", INGEST_SQL.replace("{id}", "").replace(
+    "{where}", "WHERE NOT contains(text, '#REDIRECT')"))
+def q_stream_ingest(spark, sf):
+    """Incremental ingest: JSON-lines files (250 articles each) loaded by a Structured
+    Streaming file source, one file per micro-batch, into the Parquet index (M1)."""
+    from semsift.operators.embed import HashingEncoder
+    from semsift.session import scratch_path
+    from semsift.sources.jsonl import write_articles
+    from semsift.streaming.ingest_stream import ingest_stream, read_index
+    base = scratch_path(spark, "stream")
+    write_articles(_articles(spark, sf), f"{base}/in", records_per_file=C.INGEST_BATCH)
+    ingest_stream(spark, f"{base}/in", f"{base}/table", f"{base}/_checkpoint",
+                  encoder=HashingEncoder(HASH_DIM), files_per_trigger=1)
+    return _stats_summary(read_index(spark, f"{base}/table"))
+
+
+# ---------------------------------------------------------------------------
+# K5: IVF approximate join
+# ---------------------------------------------------------------------------
+
+IVF_CELLS = 8
+
+
+def _ivf(spark, sf):
+    from semsift.operators.ann import build_ivf
+    e = _emb(spark, sf)
+    return e, build_ivf(e, IVF_CELLS)
+
+
+@register("ann_ivf_full_probe", KNN_BATCH_SQL)
+def q_ann_ivf_full_probe(spark, sf):
+    """IVF join probing every cell: must equal the exact join."""
+    from semsift.operators.ann import ann_join
+    e, ivf = _ivf(spark, sf)
+    q = e.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    res = ann_join(q, ivf, KNN_K, nprobe=IVF_CELLS)
+    return r6(res.select("query_id", "rank", "id", "distance"), "distance")
+
+
+@register("ann_ivf_recall")
+def q_ann_ivf_recall(spark, sf):
+    """IVF join probing 2 of 8 cells: approximate (rows-only check); recall in tests."""
+    from semsift.operators.ann import ann_join
+    e, ivf = _ivf(spark, sf)
+    q = e.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    res = ann_join(q, ivf, KNN_K, nprobe=2)
+    return r6(res.select("query_id", "rank", "id", "distance"), "distance")
