@@ -44,6 +44,25 @@ def _stop_array() -> Column:
     return F.array(*[F.lit(s) for s in C.STOP_WORDS])
 
 
+# A word (run of non-ASCII-space characters) ending in "s" whose remaining part is
+# longer than 2 bytes in UTF-8: >= 3 characters, or 2 characters of which one is
+# non-ASCII, or 1 character of 3+ bytes (>= U+0800). Group 1 keeps the word minus "s".
+_W = "[^ \\t\\n\\x0B\\f\\r]"
+PLURAL_RE = ("(?<!" + _W + ")(" + _W + "{3,}|" + _W + "[^\\x00-\\x7F]|[^\\x00-\\x7F]" + _W
+             + "|[^\\x00-\\x{7FF}])s(?!" + _W + ")")
+
+
+def strip_plurals(clean_col) -> Column:
+    """Plural strip of every word of a string in one regex pass (same rule as
+    ``strip_plural`` applied word by word)."""
+    return F.regexp_replace(_col(clean_col), PLURAL_RE, "$1")
+
+
+def raw_words(c) -> Column:
+    """Whitespace split without lambdas (``array_remove`` drops empty tokens)."""
+    return F.array_remove(F.split(_col(c), C.ASCII_SPACE_CLASS), "")
+
+
 def keyword_tokens(clean_col) -> Column:
     """Tokens of an already cleaned string, in order, duplicates kept.
 
@@ -51,15 +70,12 @@ def keyword_tokens(clean_col) -> Column:
     becomes ``what`` and is dropped).
     """
     stops = _stop_array()
-    return F.filter(
-        F.transform(split_words(clean_col), strip_plural),
-        lambda w: ~F.array_contains(stops, w),
-    )
+    return F.filter(raw_words(strip_plurals(clean_col)), lambda w: ~F.array_contains(stops, w))
 
 
 def token_set(clean_col) -> Column:
-    """Distinct keyword tokens of an already cleaned string."""
-    return F.array_distinct(keyword_tokens(clean_col))
+    """Distinct keyword tokens of an already cleaned string (native set ops)."""
+    return F.array_except(raw_words(strip_plurals(clean_col)), _stop_array())
 
 
 def token_hashes(tokens_col) -> Column:
@@ -94,12 +110,22 @@ def token_counts(tokens_col) -> Column:
     return let(F.array_sort(_col(tokens_col)), runs)
 
 
+def keyword_counts(clean_col) -> Column:
+    """``array<struct<token,freq>>`` of the keyword tokens of a cleaned string.
+
+    Counted before stop-word removal (the run array is much shorter than the token
+    array, so the stop-word test runs once per distinct token)."""
+    stops = _stop_array()
+    runs = token_counts(raw_words(strip_plurals(clean_col)))
+    return F.filter(runs, lambda r: ~F.array_contains(stops, r["token"]))
+
+
 def token_stats(text_col) -> Column:
     """Per-document ``array<struct<hash:bigint,freq:smallint>>`` sorted by hash.
 
     The text is cleaned here (as at ingest); frequencies are clamped to SMALLINT.
     """
-    counts = token_counts(keyword_tokens(clean_string(text_col)))
+    counts = keyword_counts(clean_string(text_col))
     return F.array_sort(
         F.transform(
             counts,

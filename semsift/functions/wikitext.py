@@ -10,6 +10,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fixed values: markup patterns, applied in this order -------------------
 # (Java syntax: (?d) makes '.' stop only at '\n'; (?U) makes '\s' Unicode-aware;
@@ -36,7 +37,7 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _html_unescape_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: html.unescape(x) if isinstance(x, str) and "&" in x else x)
 

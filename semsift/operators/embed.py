@@ -22,11 +22,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from semsift import constants as C
 from semsift.functions.text import split_words
 from semsift.functions.vectors import quantize
 
+_FLOAT_ARRAY = T.ArrayType(T.FloatType())
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -75,7 +78,7 @@ class HashingEncoder:
         self.dim, self.max_len = int(dim), int(max_len)
         d = self.dim
 
-        @F.pandas_udf("array<float>")
+        @F.pandas_udf(_FLOAT_ARRAY)
         def _pool(dims: pd.Series) -> pd.Series:
             return _pool_signed(dims, d)
 
@@ -126,7 +129,7 @@ class OnnxEncoder:
     def embed_ids(self, input_ids, attention_mask, token_type_ids) -> Column:
         model_path, pad_id, runner, out_name = self.model_path, self.pad_id, self.runner, self.output_name
 
-        @F.pandas_udf("array<float>")
+        @F.pandas_udf(_FLOAT_ARRAY)
         def _run(it: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             run = runner
             if run is None:

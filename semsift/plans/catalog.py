@@ -26,6 +26,7 @@ ORACLE: dict[str, str] = {}
 
 KNN_K = 15
 SEARCH_K = 10
+STREAM_FILES_PER_TRIGGER = 10
 
 
 def register(name: str, sql: str | None = None):
@@ -789,7 +790,7 @@ def q_stream_ingest(spark, sf):
     base = scratch_path(spark, "stream")
     write_articles(_articles(spark, sf), f"{base}/in", records_per_file=C.INGEST_BATCH)
     ingest_stream(spark, f"{base}/in", f"{base}/table", f"{base}/_checkpoint",
-                  encoder=HashingEncoder(HASH_DIM), files_per_trigger=1)
+                  encoder=HashingEncoder(HASH_DIM), files_per_trigger=STREAM_FILES_PER_TRIGGER)
     return _stats_summary(read_index(spark, f"{base}/table"))
 
 

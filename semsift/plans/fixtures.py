@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semsift.functions.text import first_words
+from semsift.operators.partitioning import ensure_parallelism
 from semsift.plans import sqlfrag as S
 
 
+# Tables whose rows carry long texts: per-row work on them is CPU-bound.
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure_parallelism(df) if name in TEXT_TABLES else df
 
 
 def joined_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
