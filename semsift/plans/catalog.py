@@ -495,7 +495,8 @@ def q_candidate_lookup(spark, sf):
     from semsift.operators.search import fetch_candidates
     ix = vector_index(spark, sf)
     q = ix.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    cands = K.knn_join(q, ix, K.overfetch_k(SEARCH_K), with_rank=False).checkpoint()
+    from semsift.session import materialize
+    cands = materialize(K.knn_join(q, ix, K.overfetch_k(SEARCH_K), with_rank=False), "lookup")
     det = fetch_candidates(cands, ix, cands.count(), cols=("title", "link"))
     return r6(det.select("query_id", "id", "title", "link", "distance"), "distance")
 

@@ -56,3 +56,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder (never machine-local)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/semsift/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Compute ``df`` once into a Parquet table in the shared checkpoint folder and
+    read it back: cuts lineage (survives executor loss) without the second
+    computation an unpersisted ``checkpoint()`` costs."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
