@@ -216,7 +216,7 @@ def q_cosine_distance(spark, sf):
     """Cosine distance of every vector to its label's centroid (K1, no pairs)."""
     e = X.table(spark, sf, "embeddings")
     cen = label_centroids(e)
-    out = e.join(F.broadcast(cen), "label").select(
+    out = e.join(cen, "label").select(   # AQE broadcasts it at runtime if small
         "vec_id", "label", V.cosine_distance("embedding", "centroid").alias("distance"))
     return r6(out, "distance")
 
@@ -455,8 +455,9 @@ def q_keyword_score(spark, sf):
     from semsift.operators.keyword import keyword_scores_join
     qf = prepare_queries(fixture_queries(spark, sf), query_vec="query_vec")
     ix = vector_index(spark, sf)
-    cands = K.knn_join(qf.select("query_id", "query_vec"), ix, K.overfetch_k(SEARCH_K),
-                       with_rank=False)
+    from semsift.session import materialize
+    cands = materialize(K.knn_join(qf.select("query_id", "query_vec"), ix,
+                                   K.overfetch_k(SEARCH_K), with_rank=False), "kw_cands")
     out = keyword_scores_join(cands.select("query_id", "id"), qf, ix)
     return r6(out, "keyword_score")
 
