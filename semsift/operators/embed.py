@@ -20,6 +20,8 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,24 +53,30 @@ def signed_hash_dims(tokens_col, dim: int) -> Column:
     return F.transform(_col(tokens_col), one)
 
 
-def _pool_signed(dims: pd.Series, dim: int) -> pd.Series:
+def _pool_signed_arrow(dims: pa.Array, dim: int) -> pa.Array:
+    """Signed one-hot token vectors -> masked mean -> unit length, on Arrow buffers."""
+    if isinstance(dims, pa.ChunkedArray):
+        dims = dims.combine_chunks()
     n = len(dims)
-    out = np.zeros((n, dim), np.float64)
-    lens = dims.map(len).to_numpy()
-    if n and lens.sum():
-        flat = np.concatenate(dims.to_numpy()).astype(np.int64)
-        rows = np.repeat(np.arange(n), lens)
-        np.add.at(out, (rows, np.abs(flat) - 1), np.sign(flat).astype(np.float64))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        out = out / np.maximum(lens, 1)[:, None]               # masked mean (A5)
-    return _normalize_rows(out)
+    lens = pc.fill_null(pc.list_value_length(dims), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = dims.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    cell = np.repeat(np.arange(n, dtype=np.int64) * dim, lens) + (np.abs(flat) - 1)
+    out = np.bincount(cell, weights=np.sign(flat).astype(np.float64),
+                      minlength=n * dim).reshape(n, dim)
+    out = out / np.maximum(lens, 1)[:, None]                     # masked mean (A5)
+    unit = _unit_rows(out)
+    offsets = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(unit.ravel(), pa.float32()))
+
+
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    nrm = np.linalg.norm(m, axis=1)
+    safe = np.where(nrm > 0, nrm, 1.0)
+    return (m / safe[:, None]).astype(np.float32)                # zero vector stays zero (E6)
 
 
 def _normalize_rows(m: np.ndarray) -> pd.Series:
-    nrm = np.linalg.norm(m, axis=1)
-    safe = np.where(nrm > 0, nrm, 1.0)
-    m = (m / safe[:, None]).astype(np.float32)                   # zero vector stays zero (E6)
-    return pd.Series(list(m))
+    return pd.Series(list(_unit_rows(m)))
 
 
 class HashingEncoder:
@@ -78,9 +86,9 @@ class HashingEncoder:
         self.dim, self.max_len = int(dim), int(max_len)
         d = self.dim
 
-        @F.pandas_udf(_FLOAT_ARRAY)
-        def _pool(dims: pd.Series) -> pd.Series:
-            return _pool_signed(dims, d)
+        @F.arrow_udf(_FLOAT_ARRAY)
+        def _pool(dims: pa.Array) -> pa.Array:
+            return _pool_signed_arrow(dims, d)
 
         self._pool = _pool
 
