@@ -82,6 +82,8 @@ def _normalize_rows(m: np.ndarray) -> pd.Series:
 class HashingEncoder:
     """Default deterministic encoder (feature hashing); see module docstring."""
 
+    never_empty = True       # always a dim-length vector (P6 cannot fire)
+
     def __init__(self, dim: int = 384, max_len: int = C.MAX_SEQ_LEN):
         self.dim, self.max_len = int(dim), int(max_len)
         d = self.dim

@@ -40,10 +40,12 @@ def build_index(articles: DataFrame, *, encoder=None, id_col: str | None = None,
     title = F.coalesce(F.col(title_col), F.lit(""))
     text = F.coalesce(F.col(text_col), F.lit(""))
     link = F.col(link_col) if link_col else article_link(title)
+    enc = None
     if embedding_col:
         emb = F.col(embedding_col)
     else:
-        emb = (encoder or HashingEncoder()).embed(text)
+        enc = encoder or HashingEncoder()
+        emb = enc.embed(text)
     rid = F.col(id_col).cast("long") if id_col else content_key(link, text)
     out = articles.select(
         rid.alias("id"),
@@ -53,6 +55,11 @@ def build_index(articles: DataFrame, *, encoder=None, id_col: str | None = None,
         quantize(emb).alias("embedding"),
         token_stats(text).alias("token_stats"),
     )
+    if enc is not None and getattr(enc, "never_empty", False):
+        # The built-in encoders always return a dim-length vector, so P6 cannot fire;
+        # leaving the filter out also keeps the encoder out of every other read of the
+        # index (a pushed-down filter would evaluate the model once more per row).
+        return out
     return out.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
 
 
