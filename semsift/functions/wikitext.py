@@ -48,7 +48,10 @@ def html_unescape(c) -> Column:
     Arrow-batched pandas UDF; rows without ``&`` are returned untouched.
     """
     col = _col(c)
-    return F.when(col.contains("&"), _html_unescape_udf(col)).otherwise(col)
+    has = col.contains("&")
+    # the UDF input is NULL for rows without "&", so only those rows' text crosses
+    # to Python (Spark evaluates a UDF for every row of the batch it is in)
+    return F.when(has, _html_unescape_udf(F.when(has, col))).otherwise(col)
 
 
 def strip_markup(c) -> Column:

@@ -154,7 +154,14 @@ FROM rk WHERE rank <= {KNN_K}
 
 @register("knn_topk_batch", KNN_BATCH_SQL)
 def q_knn_topk_batch(spark, sf):
-    """Every vector's 15 nearest vectors (itself included): broadcast + Arrow top-k."""
+    """Every vector's 15 nearest vectors (itself included), strategy chosen from the
+    measured query-matrix size (K3)."""
+    return _self_knn(spark, sf, "auto")
+
+
+@register("knn_topk_arrow", KNN_BATCH_SQL)
+def q_knn_topk_arrow(spark, sf):
+    """The same through the broadcast + per-partition Arrow top-k path explicitly."""
     return _self_knn(spark, sf, "broadcast")
 
 

@@ -9,3 +9,4 @@ def test_entry_and_registry(spark):
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
     assert set(qs) - set(sql) == {"ann_ivf_recall"}
+    assert len(qs) >= 30
