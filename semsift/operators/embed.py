@@ -16,6 +16,7 @@ The JVM does the tokenising; Python only runs the "model" on Arrow batches:
 """
 from __future__ import annotations
 
+import re
 from typing import Iterator
 
 import numpy as np
@@ -124,17 +125,78 @@ def pool_token_vectors(tok: np.ndarray, ids: np.ndarray, pad_id: int) -> pd.Seri
     return _normalize_rows(summed / cnt)
 
 
+_VOCAB_CACHE: dict = {}
+_ASCII_WS = re.compile(C.ASCII_SPACE_CLASS)
+
+
+def _load_vocab(path: str) -> dict:
+    """token -> zero-based line number (a later duplicate wins), cached per worker."""
+    v = _VOCAB_CACHE.get(path)
+    if v is None:
+        v = {}
+        with open(path, encoding="utf-8") as f:
+            for i, line in enumerate(f):
+                v[line.rstrip("\n")] = i
+        _VOCAB_CACHE[path] = v
+    return v
+
+
+def encode_batch(texts, vocab: dict, max_len: int) -> np.ndarray:
+    """E1/E2 for one Arrow batch: ``[CLS]`` + whole-word ids (``[UNK]`` if absent) of the
+    first ``max_len - 2`` whitespace words + ``[SEP]``, padded with ``[PAD]``."""
+    pad, unk, cls, sep = (vocab.get(t, 0) for t in (C.PAD, C.UNK, C.CLS, C.SEP))
+    out = np.full((len(texts), max_len), pad, np.int64)
+    for r, t in enumerate(texts):
+        words = [w for w in _ASCII_WS.split(t or "") if w][: max_len - 2]
+        ids = [cls] + [vocab.get(w, unk) for w in words] + [sep]
+        out[r, : len(ids)] = ids
+    return out
+
+
 class OnnxEncoder:
-    """Model encoder over ``encode_tokens`` output (``input_ids`` etc. columns).
+    """Model encoder (E4): an ONNX sentence-transformer style model.
 
-    ``runner`` may replace the ONNX session: ``runner(ids, mask, types) ->
-    float[B, L, H]`` token vectors (used by tests; any callable works).
+    ``embed(text)`` tokenises inside the Arrow batch (whole-word vocabulary lookup,
+    vocabulary file read once per worker) and runs the model once per batch;
+    ``embed_ids`` takes ``encode_tokens`` output columns instead. ``runner`` may
+    replace the ONNX session: ``runner(ids, mask, types) -> float[B, L, H]``.
     """
 
+    never_empty = True       # always a hidden-size vector (a zero vector at worst)
+
     def __init__(self, model_path: str | None = None, pad_id: int = 0, runner=None,
-                 output_name: str = "token_embeddings"):
+                 output_name: str = "token_embeddings", vocab_path: str | None = None,
+                 max_len: int = C.MAX_SEQ_LEN):
         self.model_path, self.pad_id, self.runner = model_path, int(pad_id), runner
-        self.output_name = output_name
+        self.output_name, self.vocab_path, self.max_len = output_name, vocab_path, int(max_len)
+
+    def _runner(self):
+        if self.runner is not None:
+            return self.runner
+        sess = _onnx_session(self.model_path)
+        out_name = self.output_name
+
+        def run(i, m, t):
+            return sess.run([out_name], {"input_ids": i, "attention_mask": m, "token_type_ids": t})[0]
+        return run
+
+    def embed(self, text_col) -> Column:
+        enc = self
+
+        @F.arrow_udf(_FLOAT_ARRAY)
+        def _run(texts: pa.Array) -> pa.Array:
+            vocab = _load_vocab(enc.vocab_path)
+            pad = vocab.get(C.PAD, 0)
+            ids = encode_batch(texts.to_pylist(), vocab, enc.max_len)
+            mask = (ids != pad).astype(np.int64)
+            tok = np.asarray(enc._runner()(ids, mask, np.zeros_like(ids)))
+            m = np.stack(pool_token_vectors(tok, ids, pad).to_numpy()) if len(ids) else \
+                np.zeros((0, tok.shape[-1] if tok.ndim == 3 else 0), np.float32)
+            n, h = m.shape
+            offsets = pa.array(np.arange(0, n * h + 1, h, dtype=np.int32))
+            return pa.ListArray.from_arrays(offsets, pa.array(m.ravel(), pa.float32()))
+
+        return _run(_col(text_col))
 
     def embed_ids(self, input_ids, attention_mask, token_type_ids) -> Column:
         model_path, pad_id, runner, out_name = self.model_path, self.pad_id, self.runner, self.output_name

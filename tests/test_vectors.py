@@ -51,3 +51,24 @@ def test_model_hook_pooling(spark):
     exp = pool_token_vectors(np.eye(4)[np.array([[5, 6, 6, 0, 0]]) % 4], np.array([[5, 6, 6, 0, 0]]), 0)[0]
     assert np.allclose(out[0], exp) and abs(np.linalg.norm(out[0]) - 1) < 1e-6
     assert np.allclose(out[1], [0, 0, 0, 0])            # all padding -> zero vector
+
+
+def test_model_encoder_text_interface(spark, tmp_path):
+    from semsift.operators.encode import encode_tokens, read_vocab
+    vocab = tmp_path / "vocab.txt"
+    vocab.write_text("[PAD]\n[UNK]\n[CLS]\n[SEP]\nalpha\nbeta\n")
+
+    def runner(ids, mask, types):
+        return np.eye(6, dtype=np.float32)[ids]
+    enc = OnnxEncoder(pad_id=0, runner=runner, vocab_path=str(vocab), max_len=8)
+    df = spark.createDataFrame([(1, "alpha beta gamma"), (2, "")], "doc_id long, t string")
+    via_text = {r[0]: r[1] for r in df.select("doc_id", enc.embed(F.col("t"))).collect()}
+    ids = encode_tokens(df, "t", read_vocab(spark, str(vocab)), 8)
+    via_ids = {r[0]: r[1] for r in ids.select("doc_id", enc.embed_ids("input_ids", "attention_mask",
+                                                                      "token_type_ids")).collect()}
+    for k in (1, 2):
+        assert np.allclose(via_text[k], via_ids[k])
+    # CLS, alpha, beta, UNK(gamma), SEP -> mean of one-hots 2,4,5,1,3, normalised
+    exp = np.zeros(6)
+    exp[[2, 4, 5, 1, 3]] = 1
+    assert np.allclose(via_text[1], exp / np.linalg.norm(exp), atol=1e-6)
