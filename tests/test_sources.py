@@ -89,3 +89,27 @@ def test_empty_embedding_rejected(spark):
                                  "id long, title string, text string, emb array<float>")
     assert [r["id"] for r in build_index(arts, id_col="id", embedding_col="emb").collect()] == [1]
     assert rejected_rows(arts.withColumnRenamed("emb", "embedding")).count() == 1
+
+
+REAL_SHAPE = """<mediawiki xmlns="http://www.mediawiki.org/xml/export-0.10/" version="0.10" xml:lang="en">
+  <siteinfo>
+    <sitename>Wikipedia</sitename>
+  </siteinfo>
+  <page>
+    <title>Attr &amp; Co</title>
+    <ns>0</ns>
+    <id>12</id>
+    <revision>
+      <id>1</id>
+      <text bytes="27" xml:space="preserve">Some ''text'' with {{cite}} it</text>
+    </revision>
+  </page>
+</mediawiki>
+"""
+
+
+def test_dump_real_shape(spark, tmp_path):
+    p = tmp_path / "real.xml.bz2"
+    p.write_bytes(bz2.compress(REAL_SHAPE.encode()))
+    out = [(r["title"], r["text"]) for r in prepare_dump(spark, str(p)).collect()]
+    assert out == [("Attr & Co", "some ''text'' with it")]
