@@ -24,14 +24,29 @@ def article_link(title_col) -> F.Column:
     return F.concat(F.lit(C.LINK_PREFIX), F.coalesce(title_col, F.lit("")))
 
 
-def content_key(link_col, text_col):
-    """Stable surrogate key when the source has no id (exact duplicates collapse)."""
-    return F.xxhash64(link_col, text_col)
+# Row key layout (63 bits): batch/epoch number | partition | position in partition.
+_POS_BITS, _PART_BITS, _BATCH_BITS = 24, 20, 19
+
+
+def row_key(batch_no: int = 0):
+    """Unique 64-bit key for sources without an id, like a serial column: exact
+    duplicate articles stay separate rows with separate ids (no hot key).
+
+    ``batch_no`` (the micro-batch epoch, or a number per batch append) takes the top
+    19 bits, the partition index 20 bits, the position within the partition 24 bits.
+    Deterministic when a task or micro-batch is replayed over the same input split.
+    """
+    if not 0 <= batch_no < (1 << _BATCH_BITS):
+        raise ValueError("batch_no out of range")
+    pos = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _POS_BITS) - 1))
+    part = F.spark_partition_id().cast("long")
+    return (F.shiftleft(F.lit(batch_no).cast("long"), _POS_BITS + _PART_BITS)
+            + F.shiftleft(part, _POS_BITS) + pos)
 
 
 def build_index(articles: DataFrame, *, encoder=None, id_col: str | None = None,
                 title_col: str = "title", text_col: str = "text", link_col: str | None = None,
-                embedding_col: str | None = None) -> DataFrame:
+                embedding_col: str | None = None, batch_no: int = 0) -> DataFrame:
     """Index rows ``(id, title, description, link, embedding, token_stats)``.
 
     ``embedding_col`` uses precomputed vectors instead of the encoder. Rows whose
@@ -46,7 +61,7 @@ def build_index(articles: DataFrame, *, encoder=None, id_col: str | None = None,
     else:
         enc = encoder or HashingEncoder()
         emb = enc.embed(text)
-    rid = F.col(id_col).cast("long") if id_col else content_key(link, text)
+    rid = F.col(id_col).cast("long") if id_col else row_key(batch_no)
     out = articles.select(
         rid.alias("id"),
         clean_string(title).alias("title"),
