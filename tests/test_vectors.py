@@ -72,3 +72,21 @@ def test_model_encoder_text_interface(spark, tmp_path):
     exp = np.zeros(6)
     exp[[2, 4, 5, 1, 3]] = 1
     assert np.allclose(via_text[1], exp / np.linalg.norm(exp), atol=1e-6)
+
+
+def test_real_onnx_runtime_path(spark, tmp_path):
+    import onnxruntime  # noqa: F401  (installed in this environment)
+    from onnx_tiny import tiny_gather_model
+    rng = np.random.default_rng(1)
+    W = rng.normal(size=(6, 5)).astype(np.float32)
+    model = tmp_path / "tiny.onnx"
+    model.write_bytes(tiny_gather_model(W))
+    vocab = tmp_path / "vocab.txt"
+    vocab.write_text("[PAD]\n[UNK]\n[CLS]\n[SEP]\nalpha\nbeta\n")
+    enc = OnnxEncoder(model_path=str(model), pad_id=0, vocab_path=str(vocab), max_len=8)
+    df = spark.createDataFrame([("alpha beta gamma",), ("",)], "t string")
+    got = [r[0] for r in df.select(enc.embed(F.col("t"))).collect()]
+    ids = [[2, 4, 5, 1, 3], [2, 3]]
+    for g, i in zip(got, ids):
+        m = W[i].astype(np.float64).mean(axis=0)
+        assert np.allclose(g, m / np.linalg.norm(m), atol=1e-6)
