@@ -69,3 +69,13 @@ def test_entity(spark):
     assert one(spark, T.extract_entity, "define") == ""
     assert one(spark, T.extract_entity, "") == ""
     assert one(spark, T.extract_entity, "Explain the networks") == "network"
+
+
+def test_row_wise_counts_equal_exploded_groupby(spark):
+    from conftest import SF_SMALL
+    d = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    row = d.select("doc_id", F.explode(T.keyword_counts(T.clean_string("text"))).alias("c")) \
+        .select("doc_id", "c.token", "c.freq")
+    exp = d.select("doc_id", F.explode(T.keyword_tokens(T.clean_string("text"))).alias("token")) \
+        .groupBy("doc_id", "token").agg(F.count(F.lit(1)).cast("int").alias("freq"))
+    assert sorted(map(tuple, row.collect())) == sorted(map(tuple, exp.collect()))
