@@ -37,18 +37,25 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_LOCAL_FALLBACK = "/tmp/semsift-checkpoints"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a folder is chosen
-    and set, so cluster jobs always use the cluster's shared location.
+    Read from the session (the cluster's shared location). Only when it is unset
+    (local tests) is a folder chosen, through ``SparkContext.setCheckpointDir``
+    (``spark.checkpoint.dir`` itself cannot be changed at runtime).
     """
+    sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = os.path.join("/tmp", "semsift-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+        d = sc._conf.get("spark.checkpoint.dir") if hasattr(sc, "_conf") else None
+    if not d:
+        cur = sc.getCheckpointDir()
+        d = cur.rsplit("/", 1)[0] if cur else _LOCAL_FALLBACK
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
