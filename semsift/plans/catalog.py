@@ -834,3 +834,19 @@ def q_ann_ivf_recall(spark, sf):
     q = e.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
     res = ann_join(q, ivf, KNN_K, nprobe=2)
     return r6(res.select("query_id", "rank", "id", "distance"), "distance")
+
+
+@register("hybrid_search_ivf")
+def q_hybrid_search_ivf(spark, sf):
+    """Hybrid search whose candidates come from the IVF join (2 of 8 cells probed), the
+    approximate candidate stage of the original; approximate, so rows-only."""
+    from semsift.operators.ann import ann_join, build_ivf
+    from semsift.operators.search import prepare_queries
+    ix = vector_index(spark, sf)
+    q = fixture_queries(spark, sf)
+    qf = prepare_queries(q, query_vec="query_vec")
+    ivf = build_ivf(ix.select("id", "embedding"), IVF_CELLS)
+    cands = ann_join(qf.select("query_id", "query_vec"), ivf, K.overfetch_k(SEARCH_K), nprobe=2)
+    res = hybrid_search(q, ix, SEARCH_K, query_vec="query_vec",
+                        candidates=cands.select("query_id", "id", "distance"))
+    return r6(res, "score", "knn_score", "keyword_score", "title_score")
