@@ -80,3 +80,10 @@ def test_native_distance_and_single(spark, data):
     assert zero.select(V.cosine_distance("a", "b")).first()[0] is None
     s = spark.createDataFrame([(0.0,), (1.0,), (2.0,)], "d double").select(V.knn_score("d")).collect()
     assert [round(r[0], 6) for r in s] == [1.0, 0.5, round(1 / 3, 6)]
+
+
+def test_queries_without_vector_get_no_rows(spark):
+    ix = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<float>")
+    q = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [])], "query_id long, query_vec array<float>")
+    got = K.knn_join(q, ix, 5).select("query_id", "id").collect()
+    assert sorted(map(tuple, got)) == [(0, 1), (0, 2)]
