@@ -44,7 +44,7 @@ def main(argv=None) -> None:
     a.add_argument("articles")
     a.add_argument("index")
     a.add_argument("--checkpoint", required=True)
-    a.add_argument("--files-per-trigger", type=int, default=1)
+    a.add_argument("--files-per-trigger", type=int, default=100)
     a = sub.add_parser("search")
     a.add_argument("index")
     a.add_argument("queries")
