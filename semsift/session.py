@@ -19,9 +19,10 @@ LOCAL_CONF = {
     # one model/encoder call per this many rows (the ingest batch of the original)
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
     "spark.driver.memory": "16g",
-    # candidate-id IN lists (up to search.MAX_PUSHED_IDS) reach Parquet as exact sets
-    # instead of a min/max range, so row groups without a candidate are skipped
-    "spark.sql.parquet.pushdown.inFilterThreshold": "20000",
+    # short candidate-id IN lists (an interactive search: k x 1.5 ids) reach Parquet as
+    # exact sets; Parquet nests one OR per value, so the bound stays small (longer lists
+    # are pushed as a min/max range and filtered exactly by Spark)
+    "spark.sql.parquet.pushdown.inFilterThreshold": "256",
 }
 
 
