@@ -15,7 +15,7 @@ from semsift import constants as C
 from semsift.functions import text as T
 from semsift.functions import vectors as V
 from semsift.operators import knn as K
-from semsift.operators.scoring import keyword_score, title_score
+from semsift.operators.scoring import title_score
 from semsift.operators.search import hybrid_search
 from semsift.plans import fixtures as X
 from semsift.plans import sqlfrag as S

@@ -1,7 +1,6 @@
 """Session helpers: builder defaults and the shared scratch/checkpoint folder."""
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import SparkSession
