@@ -113,3 +113,36 @@ def test_dump_real_shape(spark, tmp_path):
     p.write_bytes(bz2.compress(REAL_SHAPE.encode()))
     out = [(r["title"], r["text"]) for r in prepare_dump(spark, str(p)).collect()]
     assert out == [("Attr & Co", "some ''text'' with it")]
+
+
+def _simulate_cap(files, max_pages):
+    import json
+    kept, count = [], 0
+    for lines in files:
+        for line in lines:
+            count += 1
+            try:
+                j = json.loads(line)
+            except Exception:
+                continue
+            if not isinstance(j, dict):
+                continue
+            t = j.get("text") or ""
+            if not isinstance(t, str) or "#REDIRECT" in t:
+                continue
+            kept.append((str(j.get("title") or ""), t))
+            if count >= max_pages:
+                return kept
+    return kept
+
+
+def test_exact_ingest_cap(spark, tmp_path):
+    from semsift.sources.jsonl import read_articles_exact_cap
+    files = [['{"title": "a", "text": "x1"}', '', 'bad', '{"title": "b", "text": "#REDIRECT y"}'],
+             ['{"title": "c", "text": "x2"}', '{"title": "d", "text": "x3"}', 'nope',
+              '{"title": "e", "text": "x4"}']]
+    for i, lines in enumerate(files):
+        (tmp_path / f"f{i}.json").write_text("\n".join(lines) + "\n")
+    for cap in range(1, 10):
+        got = sorted((r["title"], r["text"]) for r in read_articles_exact_cap(spark, str(tmp_path), cap).collect())
+        assert got == sorted(_simulate_cap(files, cap)), cap
