@@ -38,7 +38,9 @@ def main(argv=None) -> None:
     a = sub.add_parser("ingest")
     a.add_argument("articles")
     a.add_argument("index")
-    a.add_argument("--max-lines", type=int, default=None)
+    a.add_argument("--max-lines", type=int, default=None, help="plain cap on raw lines")
+    a.add_argument("--exact-cap", type=int, default=None,
+                   help="cap with the original rule (every line counts, checked after a kept line)")
     a.add_argument("--batch-no", type=int, default=0)
     a = sub.add_parser("stream")
     a.add_argument("articles")
@@ -60,8 +62,9 @@ def main(argv=None) -> None:
         write_articles(prepare_dump(spark, args.dump, args.max_pages), args.out)
     elif args.cmd == "ingest":
         from semsift.plans.ingest import append_index, build_index
-        from semsift.sources.jsonl import read_articles
-        arts = read_articles(spark, args.articles, args.max_lines)
+        from semsift.sources.jsonl import read_articles, read_articles_exact_cap
+        arts = (read_articles_exact_cap(spark, args.articles, args.exact_cap)
+                if args.exact_cap else read_articles(spark, args.articles, args.max_lines))
         append_index(build_index(arts, encoder=_encoder(args), batch_no=args.batch_no), args.index)
     elif args.cmd == "stream":
         from semsift.streaming.ingest_stream import ingest_stream

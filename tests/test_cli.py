@@ -21,3 +21,14 @@ def test_cli_end_to_end(spark, tmp_path):
     # keyword + title overlap decide: "end" -> the page "Last" ("the end"),
     # "single line page" -> the page titled "One line"
     assert top == ["last", "one line"]
+
+
+def test_cli_exact_cap(spark, tmp_path):
+    src = tmp_path / "a"
+    src.mkdir()
+    (src / "f.json").write_text('{"title": "a", "text": "x"}\nbad\n{"title": "b", "text": "y"}\n'
+                                '{"title": "c", "text": "z"}\n')
+    main(["--dim", "8", "ingest", str(src), str(tmp_path / "ix"), "--exact-cap", "2"])
+    # line 2 is malformed, so the cap is checked at the next kept line (3): a and b
+    got = sorted(r["title"] for r in spark.read.parquet(str(tmp_path / "ix")).collect())
+    assert got == ["a", "b"]
