@@ -1,11 +1,25 @@
 """Registered queries of the training-data operators, with DuckDB SQL where it can say them."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from semsift.llm.chat_format import format_conversations, read_back
 from semsift.llm.common import read_table
 from semsift.llm.exact_dedup import exact_dedup
+from semsift.llm.packing import pack
 from semsift.llm.quality_rules import MAX_HOST_RATE, quality_verdicts
+from semsift.llm.secrets import scan_secrets
+from semsift.llm.url_filter import derived_log, judge_captures
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owner: the document's source; repository: its source and language."""
+    docs = read_table(spark, sf_dir, "documents").withColumn("repo", F.concat_ws("/", "source", "lang"))
+    return scan_secrets(docs, repo_col="repo", owner_col="source")[0]
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,14 +35,77 @@ FROM t JOIN g USING (h)
 """
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = r"\### Assistant: </turn> ok"
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)],
+                                 "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(turns.unionByName(more), public_tokenizers.path(TOKENIZER)))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetch day: a day of 2024 by page id; lists: a log derived from the pages' own hosts."""
+    pages = read_table(spark, sf_dir, "pages").select(
+        "page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int"))
+        .alias("day"))
+    judged = judge_captures(pages, derived_log(pages))
+    return judged.select("page_id", F.col("day").cast("string").alias("fetch_day"), F.col("_u_host").alias("host"),
+                         F.coalesce(F.array_join("_u_matches", ","), F.lit("")).alias("matches"),
+                         F.col("_u_matches").isNotNull().alias("blocked"))
+
+
+OP6_SQL = r"""
+WITH caps AS (
+  SELECT page_id, DATE '2024-01-01' + (((page_id % 366) + 366) % 366)::INT AS day,
+         nullif(regexp_replace(lower(regexp_extract(url,
+           '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '[.]+$', ''), '') AS host
+  FROM pages),
+parts AS (SELECT DISTINCT host, string_split(host, '.') AS p FROM caps WHERE host IS NOT NULL),
+above AS (SELECT host, i, array_to_string(p[i:], '.') AS entry
+          FROM (SELECT host, p, unnest(range(1, len(p) + 1)) AS i FROM parts)),
+listed AS (SELECT entry, ('0x' || substr(md5(entry), 1, 6))::INT AS n
+           FROM (SELECT DISTINCT entry FROM above WHERE i <= 2)),
+entries AS (SELECT entry, n, CASE WHEN n % 5 = 0 THEN 'spam' ELSE 'adult' END AS list, (n // 5) % 240 AS d
+            FROM listed WHERE n % 5 < 2),
+log AS (
+  SELECT list, entry, d + 0 AS at, true AS adds FROM entries
+  UNION ALL SELECT list, entry, d + 10, true FROM entries WHERE n % 3 = 1
+  UNION ALL SELECT list, entry, d + 40, false FROM entries WHERE n % 3 = 1
+  UNION ALL SELECT list, entry, d + 20, false FROM entries WHERE n % 3 = 2
+  UNION ALL SELECT list, entry, d + 60, true FROM entries WHERE n % 3 = 2
+  UNION ALL SELECT list, entry, d + 60, false FROM entries WHERE n % 3 = 2
+  UNION ALL SELECT list, entry, d + 90, true FROM entries WHERE n % 3 = 2),
+days AS (SELECT list, entry, DATE '2024-01-01' + at::INT AS day, bool_and(adds) AS active
+         FROM log GROUP BY ALL),
+spans AS (SELECT *, lead(day) OVER (PARTITION BY list, entry ORDER BY day) AS to_day FROM days),
+hits AS (
+  SELECT c.host, c.day, array_to_string(list_sort(list(DISTINCT s.list || ':' || s.entry)), ',') AS matches
+  FROM (SELECT DISTINCT host, day FROM caps) c JOIN above a ON c.host = a.host
+  JOIN spans s ON s.entry = a.entry AND s.active AND s.day <= c.day AND (s.to_day IS NULL OR c.day < s.to_day)
+  GROUP BY c.host, c.day)
+SELECT c.page_id, strftime(c.day, '%Y-%m-%d') AS fetch_day, c.host,
+       coalesce(h.matches, '') AS matches, h.matches IS NOT NULL AS blocked
+FROM caps c LEFT JOIN hits h ON c.host = h.host AND c.day = h.day
+"""
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_chat_format": op5_chat_format,
+    "op6_url_filter": op6_url_filter,
+    "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE = {
     "op2_exact_dedup": OP2_SQL,
+    "op6_url_filter": OP6_SQL,
 }

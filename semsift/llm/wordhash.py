@@ -53,12 +53,13 @@ def _word_bounds(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray,
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def _hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the words ``data[start:end]``, a block of bytes at a time."""
+def hash_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges ``data[start[i]:end[i]]`` (ascending, apart from each
+    other), a block of bytes at a time."""
     out = np.zeros(len(start), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for lo in range(0, len(data), _BLOCK):
-            code = _BYTE_CODE[_LOWER[data[lo:lo + _BLOCK]]]
+            code = _BYTE_CODE[data[lo:lo + _BLOCK]]
             n = len(code)
             total = np.zeros(n + 1, dtype=np.uint64)
             np.cumsum(code * _DOWN[:n], out=total[1:])
@@ -77,20 +78,30 @@ def _hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix64(out ^ ((end - start).astype(np.uint64) * np.uint64(_BASE)))
 
 
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(data, offsets)``: text ``i`` is ``data[offsets[i]:offsets[i + 1]]``; null counts as empty."""
+    texts = texts.cast(pa.large_string())
+    if texts.null_count:
+        texts = texts.fill_null("")
+    n = len(texts)
+    if not n:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + n + 1]
+    buf = texts.buffers()[2]
+    if buf is None or bounds[-1] == bounds[0]:
+        return np.zeros(0, np.uint8), np.zeros(n + 1, np.int64)
+    return np.frombuffer(buf, dtype=np.uint8)[bounds[0]:bounds[-1]], bounds - bounds[0]
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``(hashes, offsets)``: document ``i`` has ``hashes[offsets[i]:offsets[i + 1]]``.
 
     A null text counts as empty."""
-    texts = texts.cast(pa.large_string()).fill_null("") if texts.null_count else texts.cast(pa.large_string())
-    n = len(texts)
-    bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + n + 1]
-    buf = texts.buffers()[2]
-    if not n or buf is None or bounds[-1] == bounds[0]:
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    data = np.frombuffer(buf, dtype=np.uint8)[bounds[0]:bounds[-1]]
-    bounds = bounds - bounds[0]
+    data, bounds = text_bytes(texts)
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
     start, end = _word_bounds(data, bounds[:-1])
-    return _hash_words(data, start, end), np.searchsorted(start, bounds, "left")
+    return hash_bytes(_LOWER[data], start, end), np.searchsorted(start, bounds, "left")
 
 
 def slices(texts: pa.Array, max_bytes: int = 4 << 20):
