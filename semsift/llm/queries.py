@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from semsift.llm.chat_format import format_conversations, read_back
 from semsift.llm.common import read_table
 from semsift.llm.exact_dedup import exact_dedup
+from semsift.llm.line_dedup import line_dedup
 from semsift.llm.packing import pack
 from semsift.llm.quality_rules import MAX_HOST_RATE, quality_verdicts
 from semsift.llm.secrets import scan_secrets
@@ -68,14 +69,14 @@ listed AS (SELECT entry, ('0x' || substr(md5(entry), 1, 6))::INT AS n
 entries AS (SELECT entry, n, CASE WHEN n % 5 = 0 THEN 'spam' ELSE 'adult' END AS list, (n // 5) % 240 AS d
             FROM listed WHERE n % 5 < 2),
 log AS (
-  SELECT list, entry, d + 0 AS at, true AS adds FROM entries
+  SELECT list, entry, d + 0 AS shift, true AS adds FROM entries
   UNION ALL SELECT list, entry, d + 10, true FROM entries WHERE n % 3 = 1
   UNION ALL SELECT list, entry, d + 40, false FROM entries WHERE n % 3 = 1
   UNION ALL SELECT list, entry, d + 20, false FROM entries WHERE n % 3 = 2
   UNION ALL SELECT list, entry, d + 60, true FROM entries WHERE n % 3 = 2
   UNION ALL SELECT list, entry, d + 60, false FROM entries WHERE n % 3 = 2
   UNION ALL SELECT list, entry, d + 90, true FROM entries WHERE n % 3 = 2),
-days AS (SELECT list, entry, DATE '2024-01-01' + at::INT AS day, bool_and(adds) AS active
+days AS (SELECT list, entry, DATE '2024-01-01' + shift::INT AS day, bool_and(adds) AS active
          FROM log GROUP BY ALL),
 spans AS (SELECT *, lead(day) OVER (PARTITION BY list, entry ORDER BY day) AS to_day FROM days),
 hits AS (
@@ -89,6 +90,12 @@ FROM caps c LEFT JOIN hits h ON c.host = h.host AND c.day = h.day
 """
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_l_lines").alias("n_lines"), F.col("_l_deleted").alias("n_deleted"),
+                      F.col("_l_runs").alias("deleted_runs"), F.col("_l_emptied").alias("emptied"), "text")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -102,6 +109,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_url_filter": op6_url_filter,
+    "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
 }
