@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semsift.llm.common import SPACES, pick, stage, text_or_empty
+from semsift.llm.common import SPACES, parallelism, pick, stage, text_or_empty
 from semsift.session import scratch_path
 
 INDEX_SCHEMA = "digest binary, keep_id long, keep_row long, first_batch int"
@@ -74,16 +74,18 @@ class DigestIndex:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                buckets: int = 64, index_path: str | None = None, loads: int = 2) -> DataFrame:
+                buckets: int | None = None, index_path: str | None = None, loads: int = 2) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     The rows enter a new index in ``loads`` appends by ascending id ranges (null ids
     last), as deliveries of a growing corpus would, so the first one to hold a text
-    also holds its smallest id."""
+    also holds its smallest id. The index has as many buckets as the session has shuffle
+    partitions unless ``buckets`` says otherwise, so an append writes one file a bucket."""
     spark = docs.sparkSession
     rows = digest_rows(docs, id_col, text_col)
     lo, hi = rows.agg(F.min("id"), F.max("id")).first()
-    index = DigestIndex(spark, index_path or scratch_path(spark, "digest-index"), buckets)
+    index = DigestIndex(spark, index_path or scratch_path(spark, "digest-index"),
+                        buckets or parallelism(spark))
     lo, hi = (0, 0) if lo is None else (lo, hi)
     part = F.floor((F.col("id") - F.lit(lo)) * F.lit(loads) / F.lit(hi - lo + 1))
     load = F.when(F.col("id").isNull(), loads).otherwise(part)
