@@ -9,6 +9,7 @@ from semsift.llm.chat_format import format_conversations, read_back
 from semsift.llm.common import read_table
 from semsift.llm.exact_dedup import exact_dedup
 from semsift.llm.line_dedup import line_dedup
+from semsift.llm.mixing import label_domains, mix
 from semsift.llm.packing import pack
 from semsift.llm.quality_rules import MAX_HOST_RATE, quality_verdicts
 from semsift.llm.secrets import scan_secrets
@@ -90,6 +91,19 @@ FROM caps c LEFT JOIN hits h ON c.host = h.host AND c.day = h.day
 """
 
 
+#: Target token shares of the domains that the labels tell apart.
+MIX_WEIGHTS = {"clean": 0.85, "poor": 0.12, "toxic": 0.03}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    out = mix(docs, label_domains(read_table(spark, sf_dir, "labels")), MIX_WEIGHTS, carry=["doc_id"])
+    names = sorted(MIX_WEIGHTS)
+    return out.select("doc_id", F.col("_m_tokens").alias("n_tokens"),
+                      *[F.get("_m_posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(names)],
+                      F.col("_m_rate").alias("rate"), F.col("_m_copies").alias("copies"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_l_lines").alias("n_lines"), F.col("_l_deleted").alias("n_deleted"),
@@ -109,6 +123,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_url_filter": op6_url_filter,
+    "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
