@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from semsift.llm.common import pick, stage, text_or_empty, words_of
 
 #: Hashed word features and the bound on labelled rows that fit the classifier.
-FEATURES, MAX_TRAIN_ROWS = 1 << 18, 4000
+FEATURES, MAX_TRAIN_ROWS = 1 << 17, 4000
 ITERATIONS, TOLERANCE = 60, 1e-4
 #: Rate expressions are written to a table after so many nested steps.
 STEPS_PER_STAGE = 10
@@ -63,7 +63,7 @@ class DomainClassifier:
             self.idf = IDF(inputCol="_m_tf", outputCol="_m_idf", minDocFreq=2).fit(rows)
             self.model = LogisticRegression(
                 featuresCol="_m_x", labelCol="label", family="multinomial", regParam=1e-3, elasticNetParam=1.0,
-                maxIter=40, probabilityCol="_m_p", rawPredictionCol="_m_raw", predictionCol="_m_label"
+                maxIter=30, probabilityCol="_m_p", rawPredictionCol="_m_raw", predictionCol="_m_label"
             ).fit(self.norm.transform(self.idf.transform(rows)))
 
     def _hashed(self, docs: DataFrame) -> DataFrame:
@@ -119,8 +119,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col:
     """``docs`` (all columns, or ``carry``) with ``_m_tokens, _m_posterior, _m_rate, _m_copies``.
 
     ``labelled``: ``id, domain``. ``weights``: target shares of the domains. ``budget``:
-    expected tokens in all; by default as many as let no document's domain that has a
-    weight lose tokens in the mean. ``_m_copies`` is the rate rounded at a fixed random
+    expected tokens in all; by default as many as there are. ``_m_copies`` is the rate rounded at a fixed random
     fraction per id, so that copies meet the rates in expectation and every run agrees."""
     domains = sorted(weights)
     total_weight = sum(weights.values())
@@ -137,7 +136,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col:
     rows = stage(rows.withColumnRenamed("_n", "tokens"), "mix-posteriors")
     now = _sums(rows, len(domains), F.col("tokens").cast("double"))
     if budget is None:
-        budget = max((have / share for have, share in zip(now, shares) if share > 0.01), default=0.0)
+        budget = float(now.sum())
     rows = fit_rates(rows, [budget * s for s in shares], max_rate=max_rate)
     unit = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(F.col("rate") + unit).cast("long")
