@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from semsift.llm.chat_format import format_conversations, read_back
 from semsift.llm.common import read_table
 from semsift.llm.exact_dedup import exact_dedup
+from semsift.llm.jaccard_join import jaccard_links
 from semsift.llm.line_dedup import line_dedup
 from semsift.llm.mixing import label_domains, mix
 from semsift.llm.packing import pack
@@ -37,6 +38,10 @@ FROM t JOIN g USING (h)
 """
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(read_table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = r"\### Assistant: </turn> ok"
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -121,6 +126,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_chat_format": op5_chat_format,
     "op6_url_filter": op6_url_filter,
     "op7_mixing": op7_mixing,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -106,7 +107,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(texts: pa.Array, max_bytes: int = 4 << 20):
     """``(lo, hi)`` row ranges whose texts hold about ``max_bytes`` at most (one row at least)."""
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0)).astype(np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     total = np.concatenate([[0], np.cumsum(size)])
     lo = 0
     while lo < len(size):
