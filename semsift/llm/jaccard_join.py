@@ -255,15 +255,15 @@ def _assign(percent: int, level: int):
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         members = left.to_pylist()
-        pivots = sorted(right.to_pylist(), key=lambda r: r["node"])
-        if not members or not pivots:
-            return pa.Table.from_batches(_table([], REGION) or [pa.RecordBatch.from_pylist([], schema=_schema())])
+        pivots = sorted(right.to_pylist(), key=lambda r: r["p_node"])
+        if not members:
+            return pa.Table.from_batches([], _schema())
         d = _distances([np.frombuffer(r["data"], "<u8") for r in members],
-                       [np.frombuffer(r["data"], "<u8") for r in pivots])
+                       [np.frombuffer(r["p_data"], "<u8") for r in pivots])
         home, out = d.argmin(1), []
         for r, row, h in zip(members, d, home):
             for j in np.flatnonzero(row <= row[h] + reach):
-                out.append({"region": pivots[j]["node"] * 64 + level, "own": bool(r["own"] and j == h),
+                out.append({"region": pivots[j]["p_node"] * 64 + level, "own": bool(r["own"] and j == h),
                             "node": r["node"], "weight": r["weight"], "dist": float(row[j]), "data": r["data"]})
         return pa.Table.from_batches(_table(out, REGION))
 
@@ -285,7 +285,8 @@ def cut_regions(rows: DataFrame, percent: int, leaf_cost: int = LEAF_COST,
     while True:
         sizes = rows.groupBy("region").agg(
             F.sum(F.when(F.col("own"), cost).otherwise(0)).cast("long").alias("cost"),
-            F.sum(F.col("own").cast("long")).alias("sets"), F.sum(cost).cast("long").alias("all_cost"))
+            F.sum(F.col("own").cast("long")).alias("sets"), F.sum(cost).cast("long").alias("all_cost"),
+            F.min(F.when(F.col("own"), F.col("node"))).alias("first"))
         sizes = stage(sizes.where((F.col("cost") > leaf_cost) & (F.col("sets") > 1)), "region-sizes")
         largest = sizes.agg(F.max("cost")).first()[0]
         if largest is None:
@@ -299,16 +300,19 @@ def cut_regions(rows: DataFrame, percent: int, leaf_cost: int = LEAF_COST,
             m = F.ceil(F.col("cost") / leaf_cost).cast("int")
             mine = F.pmod(F.xxhash64("node"), m)
             rows = large.withColumn("_m", mine).withColumn("_p", F.explode(F.sequence(F.lit(0), (m - 1).cast("int")))) \
-                .select((F.col("region") + F.lit(level) * F.lit(1 << 58) + F.col("_p") * F.lit(1 << 40)).alias("region"),
+                .select(F.xxhash64("region", "_p").alias("region"),
                         (F.col("own") & (F.col("_m") == F.col("_p"))).alias("own"), "node", "weight", "dist", "data")
             done.append(stage(rows, "region-parts"))
             break
         salts = F.ceil(F.col("all_cost") / leaf_cost).cast("int")
         salted = large.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(level)), salts).cast("int"))
-        chosen = large.where(F.col("own") & (F.pmod(F.xxhash64("node", F.lit(-level)), F.col("sets")) < pivots))
-        chosen = chosen.select("region", "node", "data", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        chosen = large.where(F.col("own") & ((F.col("node") == F.col("first")) | (
+            F.pmod(F.xxhash64("node", F.lit(-level)), F.col("sets")) < pivots)))
+        chosen = chosen.select(F.col("region").alias("p_region"), F.col("node").alias("p_node"),
+                               F.col("data").alias("p_data"),
+                               F.explode(F.sequence(F.lit(0), salts - 1)).alias("p_salt"))
         rows = stage(salted.select("region", "salt", "own", "node", "weight", "data").groupBy("region", "salt")
-                     .cogroup(chosen.groupBy("region", "salt")).applyInArrow(_assign(percent, level), REGION),
+                     .cogroup(chosen.groupBy("p_region", "p_salt")).applyInArrow(_assign(percent, level), REGION),
                      "regions")
         parent, level = largest, level + 1
     out = done[0]
