@@ -14,6 +14,7 @@ from semsift.llm.mixing import label_domains, mix
 from semsift.llm.packing import pack
 from semsift.llm.quality_rules import MAX_HOST_RATE, quality_verdicts
 from semsift.llm.secrets import scan_secrets
+from semsift.llm.suffix_tree_lm import suffix_tree_scores
 from semsift.llm.url_filter import derived_log, judge_captures
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,6 +39,12 @@ FROM t JOIN g USING (h)
 """
 
 
+def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held out: documents whose id, as text, has a CRC-32 of remainder 2 modulo 7."""
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    return suffix_tree_scores(read_table(spark, sf_dir, "documents"), held)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_links(read_table(spark, sf_dir, "documents"))
 
@@ -126,6 +133,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_suffix_tree_lm": op3_suffix_tree_lm,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_chat_format": op5_chat_format,
     "op6_url_filter": op6_url_filter,
