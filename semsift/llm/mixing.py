@@ -99,7 +99,7 @@ def fit_rates(docs: DataFrame, targets: list[float], iterations: int = ITERATION
     for step in range(iterations):
         sums = _sums(docs, k, tokens * F.col("rate"))
         residual = sums - goal
-        still = before is not None and np.abs(sums - before).sum() <= tolerance * scale
+        still = before is not None and np.abs(sums - before).sum() <= 0.01 * tolerance * scale
         if still or np.abs(residual).sum() <= tolerance * scale:
             break
         before = sums

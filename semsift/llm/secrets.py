@@ -110,7 +110,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(documents, ownership)``.
 
     ``documents``: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live,
-    n_example``, one row per input row. ``ownership``: ``hash, repos, owners, documents,
+    n_example`` (candidates found live, and found to be copied examples), one row per
+    input row. ``ownership``: ``hash, repos, owners, documents,
     verdict`` for every candidate."""
     rows = pick(docs, _id=id_col, _repo=repo_col, _owner=owner_col, _text=text_col).select(
         F.monotonically_increasing_id().alias("row"), F.col("_id").cast("long").alias("doc_id"),
@@ -130,15 +131,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .when((F.col("owners") == 1) & F.col("looks_live"), "live").otherwise("unclear").alias("verdict")),
         "secret-owners")
     judged = hits.join(ownership.select("hash", "verdict", "owners"), "hash")
-    shown = F.filter(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "verdict"))),
-                     lambda s: (s["kind"] < 3) | (s["verdict"] == "live"))
+    shown = F.filter("judged", lambda s: (s["kind"] < 3) | (s["verdict"] == "live"))
     names = F.array(*[F.lit(k) for k in KINDS])
-    per_row = judged.groupBy("row").agg(shown.alias("shown")).select(
-        "row",
-        F.array_join(F.transform("shown", lambda s: F.concat_ws(
-            ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"),
-        F.size(F.filter("shown", lambda s: s["verdict"] == "live")).cast("long").alias("n_live"),
-        F.size(F.filter("shown", lambda s: s["verdict"] == "example")).cast("long").alias("n_example"))
+    count = lambda verdict: F.size(F.filter("judged", lambda s: s["verdict"] == verdict)).cast("long")
+    per_row = judged.groupBy("row").agg(
+        F.sort_array(F.collect_list(F.struct("start", "kind", "end", "verdict"))).alias("judged")).select(
+        "row", count("live").alias("n_live"), count("example").alias("n_example"),
+        F.array_join(F.transform(shown, lambda s: F.concat_ws(
+            ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"))
     out = scanned.drop("found").join(per_row, "row", "left").select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
