@@ -20,7 +20,7 @@ def _encoder(args):
     from semsift.operators.embed import HashingEncoder, OnnxEncoder
     if args.model:
         return OnnxEncoder(model_path=args.model, vocab_path=args.vocab, max_len=args.max_len)
-    return HashingEncoder(dim=args.dim, max_len=args.max_len)
+    return HashingEncoder(dim=args.dim)
 
 
 def main(argv=None) -> None:
@@ -29,7 +29,7 @@ def main(argv=None) -> None:
     p.add_argument("--dim", type=int, default=384, help="hashing encoder dimension")
     p.add_argument("--model", default=None, help="ONNX model path (else hashing encoder)")
     p.add_argument("--vocab", default=None, help="vocabulary file for the ONNX model")
-    p.add_argument("--max-len", type=int, default=C.MAX_SEQ_LEN)
+    p.add_argument("--max-len", type=int, default=C.MAX_SEQ_LEN, help="sequence length of the ONNX model")
     sub = p.add_subparsers(dest="cmd", required=True)
     a = sub.add_parser("prepare")
     a.add_argument("dump")

@@ -53,8 +53,3 @@ def cosine_distance(a, b) -> Column:
 def knn_score(distance) -> Column:
     """Similarity score ``1 / (1 + distance)`` in [1/3, 1]."""
     return F.lit(1.0) / (F.lit(1.0) + _col(distance))
-
-
-def has_dimension(v, dim: int) -> Column:
-    """True when the vector is non-null and has exactly ``dim`` components."""
-    return _col(v).isNotNull() & (F.size(_col(v)) == dim)

@@ -3,8 +3,8 @@
 An encoder maps a text Column to an ``array<float>`` Column of unit length.
 The JVM does the tokenising; Python only runs the "model" on Arrow batches:
 
-* ``HashingEncoder`` (default): signed feature hashing of ``[CLS]`` + the first
-  ``max_len - 2`` whitespace words + ``[SEP]``; token vector = signed one-hot at
+* ``HashingEncoder`` (default): signed feature hashing of ``[CLS]`` + all whitespace
+  words + ``[SEP]``; token vector = signed one-hot at
   ``md5(token)[0:8] mod dim``; masked mean pooling and L2 normalisation. It is a
   deterministic bag-of-words stand-in, *not* a neural model. Token dimensions are
   computed JVM-side; the pooling is a scalar pandas UDF over an int array.
@@ -38,9 +38,9 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def model_tokens(text_col, max_len: int = C.MAX_SEQ_LEN) -> Column:
-    """``[CLS]`` + first ``max_len - 2`` whitespace words + ``[SEP]``."""
-    words = F.slice(split_words(F.coalesce(_col(text_col), F.lit(""))), 1, max(max_len - 2, 0))
+def model_tokens(text_col) -> Column:
+    """``[CLS]`` + all whitespace words + ``[SEP]``."""
+    words = split_words(F.coalesce(_col(text_col), F.lit("")))
     return F.concat(F.array(F.lit(C.CLS)), words, F.array(F.lit(C.SEP)))
 
 
@@ -85,9 +85,8 @@ class HashingEncoder:
 
     never_empty = True       # always a dim-length vector (P6 cannot fire)
 
-    def __init__(self, dim: int = 384, max_len: int = C.MAX_SEQ_LEN):
-        self.dim, self.max_len = int(dim), int(max_len)
-        d = self.dim
+    def __init__(self, dim: int = 384):
+        self.dim = d = int(dim)
 
         @F.arrow_udf(_FLOAT_ARRAY)
         def _pool(dims: pa.Array) -> pa.Array:
@@ -96,7 +95,7 @@ class HashingEncoder:
         self._pool = _pool
 
     def token_dims(self, text_col) -> Column:
-        return signed_hash_dims(model_tokens(text_col, self.max_len), self.dim)
+        return signed_hash_dims(model_tokens(text_col), self.dim)
 
     def embed(self, text_col) -> Column:
         return self._pool(self.token_dims(text_col))

@@ -167,11 +167,11 @@ def q_knn_topk_arrow(spark, sf):
 
 @register("knn_topk_blocked", KNN_BATCH_SQL)
 def q_knn_topk_blocked(spark, sf):
-    """Same result through the blocked cogroup strategy (query side not broadcast)."""
+    """Same result through the blocked strategy (one scan of the index per query block)."""
     e = _emb(spark, sf)
     q = e.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
     ix = e.select("id", F.col("embedding").alias("vec"))
-    part = K.blocked_topk(q, ix, KNN_K, 64, qb=3, db=4)
+    part = K.blocked_topk(q, ix, KNN_K, 64, blocks=3)
     res = K.global_topk(part, KNN_K)
     return r6(res.select("query_id", "rank", "id", "distance"), "distance")
 
@@ -807,46 +807,109 @@ def q_stream_ingest(spark, sf):
 # K5: IVF approximate join
 # ---------------------------------------------------------------------------
 
-IVF_CELLS = 8
+IVF_CELLS, IVF_NPROBE = 8, 2
 
 
-def _ivf(spark, sf):
-    from semsift.operators.ann import build_ivf
-    e = _emb(spark, sf)
-    return e, build_ivf(e, IVF_CELLS)
+def label_centroids(spark, sf) -> DataFrame:
+    """Given centroids: the mean vector of every label, rounded like stored vectors."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    e = X.table(spark, sf, "embeddings")
+    m = e.groupBy("label").agg(Summarizer.mean(array_to_vector("embedding")).alias("m"))
+    return m.select(F.col("label").cast("long").alias("cell"),
+                    V.quantize(vector_to_array("m", "float64")).cast("array<double>").alias("centroid"))
+
+
+def _cells_sql(src: str, key: str, vec: str, n: int, name: str) -> str:
+    """CTE ``{name}(key, cell)``: the ``n`` nearest label centroids of each row of ``src``."""
+    return f"""
+    {name}_d AS (SELECT x.{key}, c.cell, {S.cos_dist('c.centroid', f'x.{vec}')} AS d FROM {src} x CROSS JOIN cents c),
+    {name} AS (SELECT {key}, cell FROM (SELECT *, row_number() OVER (PARTITION BY {key}
+               ORDER BY round(d, 6), cell) AS rn FROM {name}_d) WHERE rn <= {n})"""
+
+
+_CENTROIDS_SQL = f"""
+    ce AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+    cm AS (SELECT label, pos, avg(x) AS mu FROM ce GROUP BY label, pos),
+    cents AS (SELECT label AS cell, {S.quantize('list(mu ORDER BY pos)')} AS centroid FROM cm GROUP BY label)"""
+
+ANN_SQL = f"""
+WITH e AS (SELECT vec_id AS id, embedding AS emb FROM embeddings), {_CENTROIDS_SQL},
+    {_cells_sql('e', 'id', 'emb', 1, 'home')},
+    {_cells_sql('e', 'id', 'emb', IVF_NPROBE, 'probe')},
+    pairs AS (SELECT p.id AS query_id, h.id, {S.cos_dist('b.emb', 'a.emb')} AS distance
+              FROM probe p JOIN home h ON h.cell = p.cell JOIN e a ON a.id = p.id JOIN e b ON b.id = h.id),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 6), id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(distance, 6) AS distance FROM rk WHERE rank <= {KNN_K}
+"""
+
+HYBRID_IVF_SQL = f"""
+WITH {_index_sql()}, {_CENTROIDS_SQL},
+    qs AS (SELECT doc_id AS query_id, {X.query_text_sql('doc_id', 'text')} AS query,
+                  {S.quantize('embedding')} AS qvec FROM j),
+    {_cells_sql('ix', 'id', 'emb', 1, 'home')},
+    {_cells_sql('qs', 'query_id', 'qvec', IVF_NPROBE, 'probe')},
+    {_hybrid_tail_sql(SEARCH_K).replace('FROM qt CROSS JOIN ix),', 'FROM qt JOIN probe p ON p.query_id = qt.query_id '
+                                        'JOIN home h ON h.cell = p.cell JOIN ix ON ix.id = h.id),')}
+"""
 
 
 @register("ann_ivf_full_probe", KNN_BATCH_SQL)
 def q_ann_ivf_full_probe(spark, sf):
-    """IVF join probing every cell: must equal the exact join."""
-    from semsift.operators.ann import ann_join
-    e, ivf = _ivf(spark, sf)
+    """IVF join over trained cells probing every one: must equal the exact join."""
+    from semsift.operators.ann import ann_join, build_ivf
+    e = _emb(spark, sf)
     q = e.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    res = ann_join(q, ivf, KNN_K, nprobe=IVF_CELLS)
+    res = ann_join(q, build_ivf(e, IVF_CELLS), KNN_K, nprobe=IVF_CELLS)
     return r6(res.select("query_id", "rank", "id", "distance"), "distance")
 
 
-@register("ann_ivf_recall")
+@register("ann_ivf_recall", ANN_SQL)
 def q_ann_ivf_recall(spark, sf):
-    """IVF join probing 2 of 8 cells: approximate (rows-only check); recall in tests."""
-    from semsift.operators.ann import ann_join
-    e, ivf = _ivf(spark, sf)
+    """IVF join over given centroids (label means) probing 2 cells a query, from a stored
+    index to which the second half of the vectors was appended; recall is in tests."""
+    from semsift.operators.ann import ann_join, append_ivf, build_ivf, read_ivf, write_ivf
+    from semsift.session import scratch_path
+    e = _emb(spark, sf)
+    path = scratch_path(spark, "ivf")
+    write_ivf(build_ivf(e.where("id % 2 = 0"), centroids=label_centroids(spark, sf)), path)
+    append_ivf(e.where("id % 2 = 1"), path, "second-half")
     q = e.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    res = ann_join(q, ivf, KNN_K, nprobe=2)
+    res = ann_join(q, read_ivf(spark, path), KNN_K, nprobe=IVF_NPROBE)
     return r6(res.select("query_id", "rank", "id", "distance"), "distance")
 
 
-@register("hybrid_search_ivf")
+@register("hybrid_search_ivf", HYBRID_IVF_SQL)
 def q_hybrid_search_ivf(spark, sf):
-    """Hybrid search whose candidates come from the IVF join (2 of 8 cells probed), the
-    approximate candidate stage of the original; approximate, so rows-only."""
-    from semsift.operators.ann import ann_join, build_ivf
-    from semsift.operators.search import prepare_queries
+    """Hybrid search whose candidates come from 2 cells of an IVF index, the approximate
+    candidate stage of the original, with given centroids (label means)."""
+    from semsift.operators.ann import build_ivf
     ix = vector_index(spark, sf)
-    q = fixture_queries(spark, sf)
-    qf = prepare_queries(q, query_vec="query_vec")
-    ivf = build_ivf(ix.select("id", "embedding"), IVF_CELLS)
-    cands = ann_join(qf.select("query_id", "query_vec"), ivf, K.overfetch_k(SEARCH_K), nprobe=2)
-    res = hybrid_search(q, ix, SEARCH_K, query_vec="query_vec",
-                        candidates=cands.select("query_id", "id", "distance"))
+    ivf = build_ivf(ix, centroids=label_centroids(spark, sf))
+    res = hybrid_search(fixture_queries(spark, sf), ix, SEARCH_K, query_vec="query_vec", ivf=ivf,
+                        nprobe=IVF_NPROBE)
     return r6(res, "score", "knn_score", "keyword_score", "title_score")
+
+
+ZERO_SQL = f"""
+WITH e AS (SELECT vec_id AS id, embedding, vec_id % 10 = 0 AS zero FROM embeddings),
+pairs AS (SELECT a.vec_id AS query_id, e.id,
+                 CASE WHEN NOT e.zero THEN {S.cos_dist('e.embedding', 'a.embedding')} END AS distance
+          FROM embeddings a CROSS JOIN e WHERE a.vec_id % 5 <> 0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 6) NULLS LAST, id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, coalesce(round(distance, 6), -1) AS distance FROM rk
+"""
+
+
+@register("knn_zero_vectors", ZERO_SQL)
+def q_knn_zero_vectors(spark, sf):
+    """All rows ranked for every query, every tenth of them a zero vector (no distance,
+    last) and every fifth query without a vector (K12: no rows)."""
+    e = _emb(spark, sf)
+    n = e.count()
+    ix = e.select("id", F.when(F.col("id") % 10 == 0, F.transform("embedding", lambda x: x * F.lit(0).cast("float")))
+                  .otherwise(F.col("embedding")).alias("embedding"))
+    q = e.select(F.col("id").alias("query_id"),
+                 F.when(F.col("id") % 5 != 0, F.col("embedding")).alias("query_vec"))
+    out = r6(K.knn_join(q, ix, n).select("query_id", "rank", "id", "distance"), "distance")
+    return out.withColumn("distance", F.coalesce("distance", F.lit(-1.0)))

@@ -87,10 +87,9 @@ def hash_dims(tokens: str, dim: int) -> str:
     return f"list_transform({tokens}, lambda t: CASE WHEN {neg} THEN -{d} ELSE {d} END)"
 
 
-def model_tokens(x: str, max_len: int = C.MAX_SEQ_LEN) -> str:
-    """``[CLS]`` + first ``max_len - 2`` words + ``[SEP]``."""
-    w = words(f"coalesce({x}, '')")
-    return f"list_concat(['[CLS]'], ({w})[1:{max_len - 2}], ['[SEP]'])"
+def model_tokens(x: str) -> str:
+    """``[CLS]`` + all words + ``[SEP]``."""
+    return f"list_concat(['[CLS]'], {words(f"coalesce({x}, '')")}, ['[SEP]'])"
 
 
 def pool_dims(dims_col: str, dim: int) -> str:

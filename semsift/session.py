@@ -3,10 +3,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
-# Defaults for local runs (tests, bench). On a cluster the session comes from the
-# platform and only the settings below that are unset get a value.
+# Defaults for settings that neither the platform, spark-submit nor a running session has
+# set; a value that is already there is never changed.
 LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -30,8 +31,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
+    active = SparkSession.getActiveSession()
+    known = active.conf.getAll if active else dict(SparkConf().getAll())
     for k, v in LOCAL_CONF.items():
-        b = b.config(k, v)
+        if k not in known:
+            b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
@@ -48,7 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     Read from the session (the cluster's shared location). Only when it is unset
     (local tests) is a folder chosen, through ``SparkContext.setCheckpointDir``
-    (``spark.checkpoint.dir`` itself cannot be changed at runtime).
+    (``spark.checkpoint.dir`` itself cannot be changed at runtime). With executors on
+    other machines a folder of this one would lose rows, so there it must be set.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
@@ -56,6 +61,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         d = sc._conf.get("spark.checkpoint.dir") if hasattr(sc, "_conf") else None
     if not d:
         cur = sc.getCheckpointDir()
+        if not cur and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = cur.rsplit("/", 1)[0] if cur else _LOCAL_FALLBACK
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)

@@ -45,8 +45,8 @@ def test_strategies_match_brute_force(spark, data, k, strategy):
 def test_blocked_grid_sizes_equal(spark, data):
     M, Q, ids, ix, q = data
     ixv = ix.select("id", F.col("embedding").alias("vec"))
-    a = K.global_topk(K.blocked_topk(q, ixv, 5, 8, qb=1, db=1), 5)
-    b = K.global_topk(K.blocked_topk(q, ixv, 5, 8, qb=3, db=5), 5)
+    a = K.global_topk(K.blocked_topk(q, ixv, 5, 8, blocks=1), 5)
+    b = K.global_topk(K.blocked_topk(q, ixv, 5, 8, blocks=3), 5)
     cols = ["query_id", "rank", "id"]
     assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
 
@@ -93,7 +93,7 @@ def test_blocked_cells_with_an_empty_side(spark, data):
     M, Q, ids, ix, q = data
     two = q.limit(2)                 # 2 queries over 6 query blocks: most cells lack queries
     ixv = ix.select("id", F.col("embedding").alias("vec"))
-    got = K.global_topk(K.blocked_topk(two, ixv, 3, 8, qb=6, db=2), 3)
+    got = K.global_topk(K.blocked_topk(two, ixv, 3, 8, blocks=6), 3)
     exp = K.knn_join(two, ix, 3)
     cols = ["query_id", "rank", "id"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, exp.select(cols).collect()))
@@ -107,7 +107,7 @@ def test_blocked_cells_meet_across_many_shuffle_partitions(spark, data):
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     try:
         ixv = ix.select("id", F.col("embedding").alias("vec"))
-        got = K.global_topk(K.blocked_topk(q, ixv, 4, 8, qb=3, db=4), 4)
+        got = K.global_topk(K.blocked_topk(q, ixv, 4, 8, blocks=3), 4)
         cols = ["query_id", "rank", "id"]
         assert sorted(map(tuple, got.select(cols).collect())) == \
             sorted(map(tuple, K.knn_join(q, ix, 4).select(cols).collect()))
