@@ -3,6 +3,7 @@
 * ``prepare DUMP OUT``        bz2 XML dump -> cleaned JSON lines (10,000 per file)
 * ``ingest ARTICLES INDEX``   JSON-lines folder -> Parquet index (append)
 * ``stream ARTICLES INDEX``   the same as an incremental Structured Streaming load
+* ``build-ivf INDEX IVF``     approximate index, kept up by later loads that name it
 * ``search INDEX QUERIES OUT`` a file of queries (one per line) -> ranked results (Parquet)
 
 The interactive menu of the original is replaced by whole files of queries.
@@ -41,17 +42,28 @@ def main(argv=None) -> None:
     a.add_argument("--max-lines", type=int, default=None, help="plain cap on raw lines")
     a.add_argument("--exact-cap", type=int, default=None,
                    help="cap with the original rule (every line counts, checked after a kept line)")
-    a.add_argument("--batch-no", type=int, default=0)
+    a.add_argument("--rejects", default=None, help="folder for rows without a vector")
+    a.add_argument("--ivf", default=None, help="IVF index folder to keep up")
+    a.add_argument("--skip-unreadable", action="store_true", help="leave out files that cannot be opened")
     a = sub.add_parser("stream")
     a.add_argument("articles")
     a.add_argument("index")
     a.add_argument("--checkpoint", required=True)
     a.add_argument("--files-per-trigger", type=int, default=100)
+    a.add_argument("--rejects", default=None)
+    a.add_argument("--ivf", default=None)
+    a = sub.add_parser("build-ivf", help="approximate index over a stored table")
+    a.add_argument("index")
+    a.add_argument("ivf")
+    a.add_argument("--cells", type=int, required=True)
+    a.add_argument("--train-fraction", type=float, default=None)
     a = sub.add_parser("search")
     a.add_argument("index")
     a.add_argument("queries")
     a.add_argument("out")
     a.add_argument("-k", type=int, default=C.DEFAULT_K)
+    a.add_argument("--ivf", default=None, help="search this IVF index instead of all rows")
+    a.add_argument("--nprobe", type=int, default=8)
     args = p.parse_args(argv)
 
     from semsift.session import get_session
@@ -61,22 +73,32 @@ def main(argv=None) -> None:
         from semsift.sources.jsonl import write_articles
         write_articles(prepare_dump(spark, args.dump, args.max_pages), args.out)
     elif args.cmd == "ingest":
-        from semsift.plans.ingest import append_index, build_index
-        from semsift.sources.jsonl import read_articles, read_articles_exact_cap
+        from semsift.plans.ingest import load_articles
+        from semsift.sources.jsonl import read_articles, read_articles_exact_cap, unreadable_files
         arts = (read_articles_exact_cap(spark, args.articles, args.exact_cap)
-                if args.exact_cap else read_articles(spark, args.articles, args.max_lines))
-        append_index(build_index(arts, encoder=_encoder(args), batch_no=args.batch_no), args.index)
+                if args.exact_cap is not None else
+                read_articles(spark, args.articles, args.max_lines, args.skip_unreadable))
+        if args.skip_unreadable:
+            for name in unreadable_files(spark, args.articles):
+                print("left out:", name)
+        load_articles(arts, args.index, encoder=_encoder(args), rejects_path=args.rejects, ivf_path=args.ivf)
     elif args.cmd == "stream":
         from semsift.streaming.ingest_stream import ingest_stream
         ingest_stream(spark, args.articles, args.index, args.checkpoint, encoder=_encoder(args),
-                      files_per_trigger=args.files_per_trigger)
+                      files_per_trigger=args.files_per_trigger, rejects_path=args.rejects, ivf_path=args.ivf)
+    elif args.cmd == "build-ivf":
+        from semsift.operators.ann import build_ivf, write_ivf
+        from semsift.plans.ingest import read_index
+        write_ivf(build_ivf(read_index(spark, args.index), args.cells, train_fraction=args.train_fraction), args.ivf)
     elif args.cmd == "search":
         from semsift.operators.search import hybrid_search
         lines = spark.read.text(args.queries).filter(F.trim("value") != "")
         queries = lines.select(F.monotonically_increasing_id().alias("query_id"),
                                F.col("value").alias("query"))
-        idx = spark.read.parquet(args.index)
-        (hybrid_search(queries, idx, args.k, encoder=_encoder(args), keep_parts=False)
+        from semsift.operators.ann import read_ivf
+        from semsift.plans.ingest import read_index
+        (hybrid_search(queries, read_index(spark, args.index), args.k, encoder=_encoder(args), keep_parts=False,
+                       ivf=read_ivf(spark, args.ivf) if args.ivf else None, nprobe=args.nprobe)
          .write.mode("overwrite").parquet(args.out))
 
 

@@ -469,20 +469,26 @@ def q_keyword_score(spark, sf):
     return r6(out, "keyword_score")
 
 
+def _page_title(html="html"):
+    return F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1)
+
+
+_PAGE_TITLE_SQL = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
+
 TITLE_SQL = f"""
-WITH t AS (SELECT doc_id, {S.clean(S.clean(X.raw_title_sql('text')))} AS ct,
-                  {S.clean(X.query_text_sql('doc_id', 'text'))} AS cq FROM documents)
-SELECT doc_id, round({S.title_score('ct', S.token_set('cq'), 'cq')}, 6) AS title_score FROM t
+WITH p AS (SELECT page_id, {_PAGE_TITLE_SQL} AS title FROM pages),
+t AS (SELECT page_id, {S.clean(S.clean('title'))} AS ct, {S.clean(X.query_text_sql('page_id', 'title'))} AS cq FROM p)
+SELECT page_id, round({S.title_score('ct', S.token_set('cq'), 'cq')}, 6) AS title_score FROM t
 """
 
 
 @register("title_score", TITLE_SQL)
 def q_title_score(spark, sf):
-    """Title score of every document's title against its fixture query."""
-    d = X.table(spark, sf, "documents")
-    t = d.select("doc_id", T.clean_string(T.clean_string(X.raw_title())).alias("ct"),
-                 T.clean_string(X.query_text()).alias("cq"))
-    return r6(t.select("doc_id", title_score("ct", T.token_set(F.col("cq")), "cq").alias("title_score")),
+    """Title score of every page's title against its fixture query."""
+    p = X.table(spark, sf, "pages").select("page_id", _page_title().alias("title"))
+    t = p.select("page_id", T.clean_string(T.clean_string("title")).alias("ct"),
+                 T.clean_string(X.query_text("page_id", "title")).alias("cq"))
+    return r6(t.select("page_id", title_score("ct", T.token_set(F.col("cq")), "cq").alias("title_score")),
               "title_score")
 
 
@@ -778,13 +784,13 @@ FROM dt JOIN de USING (doc_id) JOIN ts USING (doc_id) {{where}}
 def q_ingest_batch_table(spark, sf):
     """Batch ingest: index rows appended to a Parquet table and read back."""
     from semsift.operators.embed import HashingEncoder
-    from semsift.plans.ingest import append_index
+    from semsift.plans.ingest import append_index, read_index
     from semsift.session import scratch_path
     arts = _articles(spark, sf)
     idx = build_index(arts, encoder=HashingEncoder(HASH_DIM), id_col="doc_id")
     path = scratch_path(spark, "index")
     append_index(idx, path)
-    return _stats_summary(spark.read.parquet(path), keep_id=True)
+    return _stats_summary(read_index(spark, path), keep_id=True)
 
 
 @register("stream_ingest", INGEST_SQL.replace("{id}", "").replace(
@@ -803,6 +809,119 @@ def q_stream_ingest(spark, sf):
     return _stats_summary(read_index(spark, f"{base}/table"))
 
 
+APPEND_SQL = f"""
+WITH a AS (SELECT {S.clean(X.raw_title_sql('text'))} AS title, text, doc_id % 10 = 0 AS redirect FROM documents),
+kept AS (SELECT title, text FROM a WHERE NOT redirect AND NOT contains(text, '#REDIRECT'))
+SELECT title, md5(text) AS text_md5, 4 * count(*) AS n_rows, 4 * count(*) AS n_ids, CAST(4 AS BIGINT) AS n_loads
+FROM kept GROUP BY title, text
+"""
+
+
+@register("ingest_append_twice", APPEND_SQL)
+def q_ingest_append_twice(spark, sf):
+    """Two batch appends and two stream loads with checkpoints of their own into one
+    table, the second of them run twice (S12, S13, M1): every row is there four times,
+    under four ids."""
+    from semsift.operators.embed import HashingEncoder
+    from semsift.plans.ingest import load_articles
+    from semsift.session import scratch_path
+    from semsift.sources.jsonl import read_articles, write_articles
+    from semsift.streaming.ingest_stream import ingest_stream
+    base = scratch_path(spark, "append")
+    arts = X.table(spark, sf, "documents").select(
+        X.raw_title().alias("title"),
+        F.when(F.col("doc_id") % 10 == 0, F.lit("#REDIRECT [[x]]")).otherwise(F.col("text")).alias("text"))
+    write_articles(arts, f"{base}/in", records_per_file=C.INGEST_BATCH)
+    enc, table = HashingEncoder(8), f"{base}/table"
+    for _ in range(2):
+        load_articles(read_articles(spark, f"{base}/in"), table, encoder=enc)
+    for checkpoint in ("a", "b", "b"):
+        ingest_stream(spark, f"{base}/in", table, f"{base}/_{checkpoint}", encoder=enc,
+                      files_per_trigger=STREAM_FILES_PER_TRIGGER)
+    return spark.read.parquet(table).groupBy("title", F.col("description").alias("text")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids"),
+        F.countDistinct("load_id").alias("n_loads")).select(
+        "title", F.md5("text").alias("text_md5"), "n_rows", "n_ids", "n_loads")
+
+
+CAP_PERCENT = 60
+
+CAP_SQL = f"""
+WITH l AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS n, count(*) OVER () AS total FROM documents),
+k AS (SELECT *, doc_id % 10 NOT IN (0, 3) AND NOT contains(text, '#REDIRECT') AS keep FROM l),
+cap AS (SELECT coalesce(min(n), max(total)) AS upto FROM k WHERE keep AND n >= total * {CAP_PERCENT} // 100)
+SELECT {X.raw_title_sql('text')} AS title, md5(text) AS text_md5 FROM k, cap WHERE keep AND n <= upto
+"""
+
+
+@register("ingest_exact_cap", CAP_SQL)
+def q_ingest_exact_cap(spark, sf):
+    """The ingest cap by its exact rule (L1): files of articles in id order, some lines
+    redirects, malformed or indented, read up to the first kept line at the cap."""
+    from semsift.session import scratch_path
+    from semsift.sources.jsonl import read_articles_exact_cap
+    d = X.table(spark, sf, "documents").select("doc_id", "text", X.raw_title().alias("title"))
+    line = F.to_json(F.struct("title", F.when(F.col("doc_id") % 10 == 0, F.lit("#REDIRECT [[x]]"))
+                              .otherwise(F.col("text")).alias("text")))
+    line = F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("not json "), line)) \
+        .when(F.col("doc_id") % 10 == 4, F.concat(F.lit("  "), line)).otherwise(line)
+    base = scratch_path(spark, "cap")
+    lines = d.select("doc_id", line.alias("value")).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    _write_lines_as(spark, lines.select("value"), base, ".json")
+    cap = d.count() * CAP_PERCENT // 100
+    return read_articles_exact_cap(spark, base, cap).select("title", F.md5("text").alias("text_md5"))
+
+
+REJECT_SQL = f"""
+SELECT d.doc_id AS id, {S.clean(X.raw_title_sql('d.text'))} AS title,
+       CASE WHEN e.vec_id IS NULL OR d.doc_id % 7 = 0 THEN 'rejected' ELSE 'stored' END AS table_name
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id
+"""
+
+
+@register("ingest_rejects", REJECT_SQL)
+def q_ingest_rejects(spark, sf):
+    """A load of documents with the supplied vectors, some missing and some empty: those
+    rows go to the rejects table (P6), the others to the index, read by the name that
+    ``CREATE TABLE IF NOT EXISTS`` gave it (S11)."""
+    import uuid
+    from semsift.plans.ingest import create_index_table, load_articles, read_index, refresh_index_table
+    from semsift.session import scratch_path
+    d = X.table(spark, sf, "documents").select("doc_id", "text", X.raw_title().alias("title"))
+    e = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    vector = F.when(F.col("doc_id") % 7 == 0, F.array().cast("array<float>")).otherwise(F.col("embedding"))
+    arts = d.join(e, "doc_id", "left").withColumn("embedding", vector)
+    base, name = scratch_path(spark, "rejects"), f"index_{uuid.uuid4().hex}"
+    create_index_table(spark, name, f"{base}/table")
+    create_index_table(spark, name, f"{base}/table")
+    load_articles(arts, f"{base}/table", rejects_path=f"{base}/rejects", id_col="doc_id", embedding_col="embedding")
+    refresh_index_table(spark, name)
+    stored = spark.table(name).select("id", "title", F.lit("stored").alias("table_name"))
+    return stored.unionByName(read_index(spark, f"{base}/rejects").select(
+        "id", "title", F.lit("rejected").alias("table_name")))
+
+
+VOCAB_SQL = f"""
+WITH w AS (SELECT doc_id, {S.words('text')} AS ws FROM documents),
+l AS (SELECT coalesce(ws[1], '') AS token, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM w)
+SELECT token, max(n) AS token_id FROM l GROUP BY token
+"""
+
+
+@register("vocab_scan", VOCAB_SQL)
+def q_vocab_scan(spark, sf):
+    """A vocabulary file of the documents' first words, with repeats: ids are line
+    numbers, the last one counts (S10)."""
+    from semsift.operators.encode import read_vocab
+    from semsift.session import scratch_path
+    d = X.table(spark, sf, "documents")
+    first = F.coalesce(F.get(T.split_words(F.col("text")), F.lit(0)), F.lit(""))
+    path = scratch_path(spark, "vocab")
+    lines = d.select("doc_id", first.alias("value")).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    lines.select("value").write.text(path)
+    return read_vocab(spark, path)
+
+
 # ---------------------------------------------------------------------------
 # K5: IVF approximate join
 # ---------------------------------------------------------------------------

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semsift.functions.text import first_words
+from semsift.operators.embed import HashingEncoder
 from semsift.operators.partitioning import ensure_parallelism
 from semsift.plans import sqlfrag as S
 
 
+# Components of the supplied vectors.
+VECTOR_DIM = 64
 # Tables whose rows carry long texts: per-row work on them is CPU-bound.
 TEXT_TABLES = ("documents", "pages")
 
@@ -23,14 +26,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def joined_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` with their vectors: ``(doc_id, text, embedding)``."""
+    """Every document with a vector ``(doc_id, text, embedding)``: the supplied one, or for
+    documents without one that of the default encoder."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return d.join(e, d["doc_id"] == e["vec_id"]).select("doc_id", "text", "embedding")
-
-
-JOINED_SQL = ("SELECT d.doc_id, d.text, e.embedding FROM documents d "
-              "JOIN embeddings e ON d.doc_id = e.vec_id")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    own = d.join(e, "doc_id").select("doc_id", "text", "embedding")
+    rest = d.join(e, "doc_id", "left_anti").select(
+        "doc_id", "text", HashingEncoder(VECTOR_DIM).embed("text").alias("embedding"))
+    return own.unionByName(rest)
+
+
+JOINED_SQL = f"""
+SELECT d.doc_id, d.text, e.embedding FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id
+UNION ALL
+SELECT doc_id, text, {S.unit('v', 'nrm')} AS embedding FROM (
+  SELECT doc_id, text, v, {S.vec_norm('v')} AS nrm FROM (
+    SELECT doc_id, text, {S.pool_dims('dims', VECTOR_DIM)} AS v FROM (
+      SELECT doc_id, text, {S.hash_dims(S.model_tokens('text'), VECTOR_DIM)} AS dims FROM documents
+      WHERE doc_id NOT IN (SELECT vec_id FROM embeddings))))"""
 
 
 def raw_title(text_col="text"):

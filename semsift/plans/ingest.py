@@ -1,22 +1,33 @@
-"""Index build and append (P5-P7, S11-S13, A1-A3 at ingest).
+"""Index build and load (P5-P7, S11-S13, A1-A3 at ingest).
 
 ``build_index`` turns article rows ``(title, text[, link][, id])`` into the
 stored index schema in one narrow projection (no shuffle): title cleaned,
 text kept as the description, link derived, embedding from the encoder
 (quantised), token statistics per row.
+
+Batch and stream loads share one table layout, ``load_id=.../epoch=N/``. A load id
+belongs to one batch append or one stream checkpoint and is never used again, so a
+load only adds its own partitions, and writing a micro-batch again replaces exactly
+its own. Row keys come from numbers that the table hands out once per micro-batch.
 """
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semsift import constants as C
 from semsift.functions.text import clean_string, token_stats
 from semsift.functions.vectors import quantize
+from semsift.operators.ann import append_ivf
 from semsift.operators.embed import HashingEncoder
 from semsift.schemas import INDEX_SCHEMA
+from semsift.session import materialize
 
 INDEX_COLUMNS = [f.name for f in INDEX_SCHEMA.fields]
+PARTITIONS = ["load_id", "epoch"]
 
 
 def article_link(title_col) -> F.Column:
@@ -24,34 +35,101 @@ def article_link(title_col) -> F.Column:
     return F.concat(F.lit(C.LINK_PREFIX), F.coalesce(title_col, F.lit("")))
 
 
-# Row key layout (63 bits): batch/epoch number | partition | position in partition.
-_POS_BITS, _PART_BITS, _BATCH_BITS = 24, 20, 19
+# Row key layout (63 bits): batch number | partition | position in partition.
+POS_BITS, PART_BITS, BATCH_BITS = 25, 18, 20
+
+
+def key_of(batch_no: int, partition, position):
+    """The row key; a partition number or position too large for its field raises."""
+    if not 0 <= batch_no < (1 << BATCH_BITS):
+        raise ValueError(f"the table has used all {1 << BATCH_BITS} batch numbers")
 
+    def within(value, bits, what):
+        return F.when(value < (1 << bits), value).otherwise(
+            F.raise_error(F.lit(f"{what} too large for a row key: repartition the input")).cast("long"))
 
-def row_key(batch_no: int = 0):
+    return (F.lit(batch_no << (POS_BITS + PART_BITS)).cast("long")
+            + F.shiftleft(within(partition, PART_BITS, "partition number"), POS_BITS)
+            + within(position, POS_BITS, "position in the partition"))
+
+
+def row_key(batch_no: int):
     """Unique 64-bit key for sources without an id, like a serial column: exact
     duplicate articles stay separate rows with separate ids (no hot key).
-
-    ``batch_no`` (the micro-batch epoch, or a number per batch append) takes the top
-    19 bits, the partition index 20 bits, the position within the partition 24 bits.
-    Deterministic when a task or micro-batch is replayed over the same input split.
-    """
-    if not 0 <= batch_no < (1 << _BATCH_BITS):
-        raise ValueError("batch_no out of range")
-    pos = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _POS_BITS) - 1))
-    part = F.spark_partition_id().cast("long")
-    return (F.shiftleft(F.lit(batch_no).cast("long"), _POS_BITS + _PART_BITS)
-            + F.shiftleft(part, _POS_BITS) + pos)
+    ``batch_no`` is a number of ``reserve_batch``. Deterministic when a task or
+    micro-batch is replayed over the same input split."""
+    position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return key_of(batch_no, F.spark_partition_id().cast("long"), position)
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path, jvm
+
+
+def _create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a small file; False if it is there already."""
+    fs, Path, _ = _fs(spark, path)
+    try:
+        out = fs.create(Path(path), False)
+    except Py4JJavaError:
+        if fs.exists(Path(path)):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def _read_small(spark: SparkSession, path: str) -> str | None:
+    fs, Path, jvm = _fs(spark, path)
+    if not fs.exists(Path(path)):
+        return None
+    data = fs.open(Path(path))
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(data)).decode()
+    finally:
+        data.close()
+
+
+def load_id_of(spark: SparkSession, checkpoint: str) -> str:
+    """The load id kept in a stream's checkpoint folder, made on first use."""
+    path = f"{checkpoint.rstrip('/')}/semsift_load_id"
+    _create_once(spark, path, uuid.uuid4().hex)
+    return _read_small(spark, path)
+
+
+def reserve_batch(spark: SparkSession, table_path: str, load_id: str, epoch: int = 0) -> int:
+    """The table's number for this load and epoch: the same when asked again, else one
+    that no other load has. Numbers are files that only one writer can create."""
+    base = f"{table_path.rstrip('/')}/_batches"
+    mine = f"{base}/of/{load_id}-{int(epoch)}"
+    known = _read_small(spark, mine)
+    if known:
+        return int(known)
+    fs, Path, _ = _fs(spark, base)
+    taken = [int(s.getPath().getName()) for s in fs.listStatus(Path(f"{base}/n"))] \
+        if fs.exists(Path(f"{base}/n")) else []
+    number = max(taken, default=-1) + 1
+    while not _create_once(spark, f"{base}/n/{number}", f"{load_id} {epoch}"):
+        number += 1
+    _create_once(spark, mine, str(number))
+    return int(_read_small(spark, mine))
 
 
 def build_index(articles: DataFrame, *, encoder=None, id_col: str | None = None,
                 title_col: str = "title", text_col: str = "text", link_col: str | None = None,
-                embedding_col: str | None = None, batch_no: int = 0) -> DataFrame:
+                embedding_col: str | None = None, batch_no: int | None = None,
+                keep_rejected: bool = False) -> DataFrame:
     """Index rows ``(id, title, description, link, embedding, token_stats)``.
 
     ``embedding_col`` uses precomputed vectors instead of the encoder. Rows whose
-    embedding is empty are dropped (P6; see ``rejected_rows``).
+    embedding is empty are dropped (P6) unless ``keep_rejected``. Sources without an id
+    need a ``batch_no`` of ``reserve_batch``.
     """
+    if not id_col and batch_no is None:
+        raise ValueError("rows without an id need a batch number of reserve_batch()")
     title = F.coalesce(F.col(title_col), F.lit(""))
     text = F.coalesce(F.col(text_col), F.lit(""))
     link = F.col(link_col) if link_col else article_link(title)
@@ -70,37 +148,92 @@ def build_index(articles: DataFrame, *, encoder=None, id_col: str | None = None,
         quantize(emb).alias("embedding"),
         token_stats(text).alias("token_stats"),
     )
-    if enc is not None and getattr(enc, "never_empty", False):
+    if keep_rejected or (enc is not None and getattr(enc, "never_empty", False)):
         # The built-in encoders always return a dim-length vector, so P6 cannot fire;
         # leaving the filter out also keeps the encoder out of every other read of the
         # index (a pushed-down filter would evaluate the model once more per row).
         return out
-    return out.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
+    return out.filter(~_no_vector())
+
+
+def _no_vector():
+    return F.col("embedding").isNull() | (F.size("embedding") == 0)
 
 
 def rejected_rows(index_candidates: DataFrame) -> DataFrame:
-    """Rows P6 drops (empty embedding), for a rejects side table."""
-    return index_candidates.filter(F.col("embedding").isNull() | (F.size("embedding") == 0))
+    """Rows P6 drops (empty embedding)."""
+    return index_candidates.filter(_no_vector())
 
 
 def create_index_table(spark: SparkSession, name: str, location: str) -> None:
-    """``CREATE TABLE IF NOT EXISTS`` the Parquet index."""
+    """``CREATE TABLE IF NOT EXISTS`` over the index folder (S11); call ``refresh_index_table``
+    to see loads that came after."""
+    fs, Path, _ = _fs(spark, location)
+    fs.mkdirs(Path(location))
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in INDEX_SCHEMA.fields)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet LOCATION '{location}'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}, load_id string, epoch int) USING parquet "
+              f"PARTITIONED BY (load_id, epoch) LOCATION '{location}'")
+    refresh_index_table(spark, name)
 
 
-def append_index(index_rows: DataFrame, path: str, *, sort_by_id: bool = True,
-                 cluster_files: int | None = None) -> None:
-    """Append index rows as Parquet.
+def refresh_index_table(spark: SparkSession, name: str) -> None:
+    spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
 
-    Sorting within files by id keeps row-group min/max statistics tight, so id
-    IN-list lookups (the detail fetch of a search) skip most row groups.
-    ``cluster_files`` additionally range-partitions by id into that many files (one
-    shuffle at build time) so a lookup touches only the files covering its ids.
-    """
+
+def write_load(index_rows: DataFrame, path: str, load_id: str, epoch: int = 0, *, sort_by_id: bool = True,
+               cluster_files: int | None = None) -> None:
+    """Writes index rows as the partition of this load and epoch, replacing only that one."""
     out = index_rows.select(*INDEX_COLUMNS)
     if cluster_files:
         out = out.repartitionByRange(int(cluster_files), "id")
     if sort_by_id:
         out = out.sortWithinPartitions("id")
-    out.write.mode("append").parquet(path)
+    (out.withColumn("load_id", F.lit(load_id)).withColumn("epoch", F.lit(int(epoch)))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*PARTITIONS).parquet(path))
+
+
+def append_index(index_rows: DataFrame, path: str, *, load_id: str | None = None, sort_by_id: bool = True,
+                 cluster_files: int | None = None) -> str:
+    """Append index rows that have ids as one new load (S12); returns its load id.
+
+    Sorting within files by id keeps row-group min/max statistics tight, so id
+    IN-list lookups (the detail fetch of a search) skip most row groups.
+    ``cluster_files`` additionally range-partitions by id into that many files (one
+    shuffle at build time) so a lookup touches only the files covering its ids.
+    """
+    load_id = load_id or uuid.uuid4().hex
+    write_load(index_rows, path, load_id, 0, sort_by_id=sort_by_id, cluster_files=cluster_files)
+    return load_id
+
+
+def load_articles(articles: DataFrame, path: str, *, load_id: str | None = None, epoch: int = 0,
+                  rejects_path: str | None = None, ivf_path: str | None = None, **build) -> str:
+    """One load of article rows: index rows to the table, rows without a vector to
+    ``rejects_path`` in the same layout (with neither path nor rejects they are dropped,
+    P6), and new vectors to the IVF index in ``ivf_path``. Returns the load id."""
+    spark = articles.sparkSession
+    load_id = load_id or uuid.uuid4().hex
+    if not build.get("id_col"):
+        build["batch_no"] = reserve_batch(spark, path, load_id, epoch)
+    rows = build_index(articles, keep_rejected=bool(rejects_path), **build)
+    if rejects_path:
+        rows = materialize(rows, "load")      # the encoder runs once for both tables
+        write_load(rejected_rows(rows), rejects_path, load_id, epoch)
+        rows = rows.filter(~_no_vector())
+    write_load(rows, path, load_id, epoch)
+    if ivf_path:
+        stored = read_index(spark, path, load_id, epoch)
+        append_ivf(stored, ivf_path, load_id, epoch)
+    return load_id
+
+
+def read_index(spark: SparkSession, path: str, load_id: str | None = None, epoch: int | None = None) -> DataFrame:
+    """Index rows of all loads, or of one."""
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in INDEX_SCHEMA.fields)
+    rows = spark.read.schema(f"{ddl}, load_id string, epoch int").parquet(path)
+    if load_id is not None:
+        rows = rows.where(F.col("load_id") == load_id)
+    if epoch is not None:
+        rows = rows.where(F.col("epoch") == epoch)
+    return rows.select(*INDEX_COLUMNS)
