@@ -83,7 +83,7 @@ def has_text(c) -> Column:
 
 def is_prepare_redirect(c) -> Column:
     """Stripped text starts with ``#redirect``, any case (prepare-time filter)."""
-    return F.lower(py_strip(c)).startswith("#redirect")
+    return F.lower(py_strip(c)).startswith(C.REDIRECT_PREFIX)
 
 
 def normalize_article(c, decode_entities: bool = True) -> Column:
