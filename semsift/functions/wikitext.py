@@ -5,14 +5,14 @@ Only the HTML entity decode (C1) needs Python: an Arrow-batched pandas UDF.
 """
 from __future__ import annotations
 
-import html
+import json
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from semsift import constants as C
+from semsift.functions.util import let
 
 # --- fixed values: markup patterns, applied in this order -------------------
 # (Java syntax: (?d) makes '.' stop only at '\n'; (?U) makes '\s' Unicode-aware;
@@ -39,21 +39,64 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf(T.StringType())
-def _html_unescape_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: html.unescape(x) if isinstance(x, str) and "&" in x else x)
+# HTML character references: the standard's names come with Python; most carry a
+# semicolon, a few older ones are also read without it.
+ENTITIES = dict(sorted(html5.items(), key=lambda e: e[0] not in ("amp;", "lt;", "gt;", "quot;", "nbsp;")))
+OPEN_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)
+REFERENCE = "^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)"
+#: Numbers 128 to 159 are read as Windows-1252 where that has a character.
+WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)} | {0: "\ufffd", 13: "\r"}
+REPLACEMENT = "\ufffd"
 
 
-def html_unescape(c) -> Column:
-    """Decode HTML entities (named HTML5 entities and numeric references).
+def _literal_map(values: dict) -> Column:
+    """A constant map; parsed from one literal, which Spark folds away."""
+    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
+
+
+def _numbered(ref: Column) -> Column:
+    """The character of a numeric reference; too large ones count as 0x110000."""
+    hexa = F.regexp_extract(ref, "^#[xX]0*([0-9a-fA-F]+)", 1)
+    deci = F.regexp_extract(ref, "^#0*([0-9]+)", 1)
+    number = (F.when(hexa != "", F.when(F.length(hexa) <= 6, F.conv(hexa, 16, 10).cast("int")))
+              .when(F.length(deci) <= 7, deci.cast("int")))
+
+    def char(n: Column) -> Column:
+        written = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        silent = n.between(1, 8) | n.between(11, 11) | n.between(14, 31) | n.between(127, 159) \
+            | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        return (F.when(n.isin(*WINDOWS), F.try_element_at(_literal_map(WINDOWS), n.cast("string")))
+                .when(n.isNull() | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit(REPLACEMENT))
+                .when(silent, F.lit("")).otherwise(written))
+
+    return let(number, char)
+
 
-    Arrow-batched pandas UDF; rows without ``&`` are returned untouched.
-    """
+def _decoded(part: Column) -> Column:
+    """What follows an ``&``, with the reference it begins with decoded, or as it was."""
+    def with_ref(ref: Column) -> Column:
+        rest = F.substring(part, F.length(ref) + 1, F.length(part))
+        return (F.when(ref == "", F.concat(F.lit("&"), part))
+                .when(ref.startswith("#"), F.concat(_numbered(ref), rest))
+                .otherwise(let(F.try_element_at(_literal_map(ENTITIES), ref), lambda named: F.when(
+                    named.isNotNull(), F.concat(named, rest)).otherwise(let(
+                        F.regexp_extract(part, "^(" + "|".join(OPEN_NAMES) + ")", 1), lambda short: F.when(
+                            short == "", F.concat(F.lit("&"), part)).otherwise(F.concat(
+                                F.try_element_at(_literal_map({n: html5[n] for n in OPEN_NAMES}), short),
+                                F.substring(part, F.length(short) + 1, F.length(part)))))))))
+
+    return let(F.regexp_extract(part, REFERENCE, 1), with_ref)
+
+
+def html_unescape(c) -> Column:
+    """Decode HTML entities (named HTML5 entities and numeric references) in one pass."""
     col = _col(c)
-    has = col.contains("&")
-    # the UDF input is NULL for rows without "&", so only those rows' text crosses
-    # to Python (Spark evaluates a UDF for every row of the batch it is in)
-    return F.when(has, _html_unescape_udf(F.when(has, col))).otherwise(col)
+
+    def joined(parts: Column) -> Column:
+        after = F.transform(F.slice(parts, 2, F.size(parts)), _decoded)
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(after, ""))
+
+    return F.when(col.contains("&"), let(F.split(col, "&"), joined)).otherwise(col)
 
 
 def strip_markup(c) -> Column:

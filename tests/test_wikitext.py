@@ -34,6 +34,18 @@ def test_entities(spark):
     assert one(spark, W.html_unescape, "plain") == "plain"
 
 
+def test_entities_like_the_standard_library(spark):
+    import html
+    texts = ["&amp", "&ampx;", "&notit;", "&notin;", "&am", "&", "&&amp;;", "&#0;&#x80;&#129;&#13;&#11;&#xfffe;&#55296;",
+             "&#1114112;&#99999999999999999999;&#xfffffffffffff;&#x1F600;", "&#;&#x;&# ;", "&copy&reg;&COPY;",
+             "&CounterClockwiseContourIntegral;&nosuchname;", "a & b &lt;c&gt;", "&#65&#x42;", "&sup1x&sup;", None, "",
+             "&ThickSpace;&bne;", "&aMp;&\n&amp ;", "x" * 40 + "&" + "y" * 40 + ";", "&#0065;&#x0041", "&fjlig;&ngE;"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    got = {r["i"]: r["t"] for r in df.select("i", W.html_unescape(F.col("s")).alias("t")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (None if t is None else html.unescape(t)), t
+
+
 def test_prepare_filters(spark):
     df = spark.createDataFrame(
         [(1, "  #Redirect [[x]]"), (2, "text #REDIRECT later"), (3, " \u00a0\n"), (4, None),
