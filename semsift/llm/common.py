@@ -1,6 +1,8 @@
 """Small shared helpers of the training-data operators."""
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_COLLECTORS: list[list[DataFrame]] = []
+
+
+@contextmanager
+def collected(into: list[DataFrame]):
+    """Tables staged inside are listed in ``into``, for a caller that knows when what was
+    made of them has been written and ``release`` may delete them."""
+    _COLLECTORS.append(into)
+    try:
+        yield
+    finally:
+        _COLLECTORS.remove(into)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing is computed from any more."""
+    for table in tables:
+        path = table.__dict__.pop("_staged_path", None)
+        if path:
+            jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the cluster's shared folder and read it back with its own
     schema: cuts lineage, fixes generated row ids, and survives lost executors."""
@@ -24,7 +50,11 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_path = path
+    for into in _COLLECTORS:
+        into.append(table)
+    return table
 
 
 def pick(df: DataFrame, **cols: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semsift.llm.common import stage
+from semsift.llm.common import release, stage
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
                   .where("u != v").distinct(), "edges")
     before = None
     for _ in range(max_rounds):
-        edges = stage(_star(_star(edges, large=True), large=False), "edges")
+        old, edges = edges, stage(_star(_star(edges, large=True), large=False), "edges")
+        release(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == before:
             break

@@ -66,7 +66,8 @@ class DigestIndex:
         join that adaptive execution can split."""
         sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
         groups = sizes.join(self.rows(), "digest").select("digest", "keep_id", "keep_row", "group_size")
-        return rows.join(groups, "digest")
+        # written, so that the join has exchanges of its own on both sides and can be split
+        return rows.join(stage(groups, "digest-groups"), "digest")
 
     def drop(self) -> None:
         """Forgets the table's name in this session; the files in ``path`` stay."""

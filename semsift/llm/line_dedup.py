@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semsift.llm.common import SPACES, WORD, pick, stage, text_or_empty
+from semsift.llm.common import SPACES, WORD, pick, release, stage, text_or_empty
 
 MIN_WORDS = 50
 
@@ -62,21 +62,25 @@ def suffix_names(lines: DataFrame) -> tuple[DataFrame, int]:
         .withColumn("seg", F.col("i") - F.row_number().over(in_doc))
     rows = stage(rows, "line-suffixes")
     names, k = first.count(), 0
+    release(first)
     in_seg = Window.partitionBy("row", "seg").orderBy("i")
     while True:
         pairs = rows.withColumn("_b", F.coalesce(F.lead(f"n{k}", 1 << k).over(in_seg), F.lit(-1).cast("long")))
         step = _named(pairs, f"n{k}", "_b", f"n{k + 1}")
         found = step.count()
         if found == names:
+            release(step)
             return rows, k
-        rows = stage(pairs.join(step, [f"n{k}", "_b"]).drop("_b"), "line-suffixes")
-        names, k = found, k + 1
+        longer = stage(pairs.join(step, [f"n{k}", "_b"]).drop("_b"), "line-suffixes")
+        release(rows, step)
+        rows, names, k = longer, found, k + 1
 
 
 def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``(row, runs)``: for each document with repeats, its merged later copies of runs of
     ``min_words`` or more as ``[first line, last line]`` positions in the text."""
-    rows, last = suffix_names(lines)
+    whole, last = suffix_names(lines)
+    rows = whole
     seg = Window.partitionBy("row", "seg")
     rows = rows.withColumn("upto", F.sum("words").over(seg.orderBy("i"))) \
         .withColumn("before", F.col("upto") - F.col("words"))
@@ -88,6 +92,7 @@ def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         "start": F.coalesce(F.max("i").over(begins) + 1, F.when(F.col("upto") >= min_words, low)),
         "names": F.array(*[F.col(f"n{k}") for k in range(last + 1)])})
     rows = stage(rows.select("row", "id", "seg", "i", "p", "start", "stop", "names"), "line-runs")
+    release(whole)
     ahead = rows.where("stop is not null").select("row", "id", F.col("i").alias("s"), F.col("stop").alias("e"))
     back = rows.where("start is not null").select("row", "id", F.col("start").alias("s"),
                                                   (F.col("i") + 1).alias("e"))
@@ -104,6 +109,9 @@ def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "s")
     firsts = runs.groupBy("size", "a", "b").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")) \
         .where("n > 1").drop("n")
+    # written, so that the join below has exchanges of its own on both sides and a run that
+    # many documents hold can be split
+    firsts = stage(firsts, "line-firsts")
     later = runs.join(firsts, ["size", "a", "b"]) \
         .where((F.col("row") != F.col("first.row")) | (F.col("s") != F.col("first.s")))
     stop = rows.select("row", (F.col("i") + 1).alias("e"), F.col("p").alias("p_e"))
@@ -132,8 +140,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = stage(docs.withColumn("_l_row", F.monotonically_increasing_id()), "line-docs")
     lines = stage(document_lines(pick(keyed, row="_l_row", id=id_col, text=text_col)
                                  .withColumn("id", F.col("id").cast("long"))), "lines")
-    runs = stage(repeated_runs(lines, min_words), "line-deletions") \
-        .select(F.col("row").alias("_l_row"), F.col("runs").alias("_l_found"))
+    found = stage(repeated_runs(lines, min_words), "line-deletions")
+    release(lines)
+    runs = found.select(F.col("row").alias("_l_row"), F.col("runs").alias("_l_found"))
     text = text_or_empty(F.col(f"`{text_col}`"))
     parts = F.split(text, "\n")
     stay = F.filter(parts, lambda s, p: ~F.exists("_l_found", lambda r: (r["p_s"] <= p) & (p <= r["p_e"])))
