@@ -39,13 +39,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semsift.llm.common import parallelism, pick, stage, text_or_empty
+from semsift.llm.common import parallelism, pick, release, stage, text_or_empty
 from semsift.llm.components import connected_components
 from semsift.llm.wordhash import shingle_hashes, slices, word_hashes
 
 WORDS, PERCENT = 5, 75
 #: A region is joined in one task up to this cost (its own sets' shingles, and 256 a set).
 LEAF_COST, PIVOTS = 600_000, 16
+#: Rows (of 64 bits) of the table that filters texts before they are shuffled.
+FILTER_ROWS = 1 << 18
 #: Own sets compared at once, and compared entries (pairs times shared shingles) held at once.
 BLOCK_SETS, CHUNK = 512, 1 << 21
 
@@ -202,7 +204,9 @@ def islands_of(sets: DataFrame, percent: int) -> DataFrame:
     prefix = stage(prefix, "join-prefixes")
     hub = prefix.groupBy("h").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1")
     edges = prefix.join(hub, "h").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    return stage(connected_components(edges).withColumnRenamed("component", "island"), "join-islands")
+    islands = stage(connected_components(edges).withColumnRenamed("component", "island"), "join-islands")
+    release(tokens, prefix)
+    return islands
 
 
 # ---- comparing sets inside a task
@@ -449,8 +453,13 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keys = small.where((F.col("n") > 0) & (F.col("shared") >= needed)).groupBy("t1", "t2") \
         .agg(F.count(F.lit(1)).alias("rows"))
     keys = stage(keys, "join-survivors")
-    # one text of each that may have a link; equal texts are one row from here on
-    texts = rows.join(keys.select("t1", "t2"), ["t1", "t2"], "left_semi").select("t1", "t2", "text")
+    # a table of bits with at most FILTER_ROWS rows keeps most other texts out of the
+    # shuffle; what it lets through by chance the exact join removes (keys are distinct, so
+    # an inner join does; Spark would move a semi join in front of the filter)
+    slot, bit = F.pmod("t1", F.lit(FILTER_ROWS)), F.expr("shiftleft(1L, CAST(pmod(t2, 64) AS INT))")
+    bits = stage(keys.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits")), "join-filter")
+    maybe = rows.join(F.broadcast(bits), slot == F.col("slot")).where(F.col("bits").bitwiseAND(bit) != 0)
+    texts = maybe.join(keys.select("t1", "t2"), ["t1", "t2"]).select("t1", "t2", "text")
     of_text = stage(texts.mapInArrow(_survivor_sets(words), SET_ROWS), "join-sets")
     by_key = of_text.select("t1", "t2", "key").distinct().join(keys, ["t1", "t2"])
     weights = by_key.groupBy("key").agg(F.sum("rows").alias("weight"))
@@ -460,10 +469,12 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     regions = sets.join(islands, "node").select(
         (F.col("island") * 64).alias("region"), F.lit(True).alias("own"), "node", "weight",
         F.lit(None).cast("double").alias("dist"), "data")
-    regions, any_cut = cut_regions(stage(regions, "regions"), percent, leaf_cost)
+    whole_islands = stage(regions, "regions")
+    regions, any_cut = cut_regions(whole_islands, percent, leaf_cost)
     linked = regions.repartition(parts, "region") \
         .sortWithinPartitions("region", F.desc("own"), "dist", "node").mapInArrow(_join_regions(percent), LINKED)
     linked = stage(linked, "join-links")
+    release(whole_islands, islands)
     top = linked.where("own").select("node", "top")
     if any_cut:    # sets of a cut island are linked across its regions
         edges = linked.select(F.col("node").alias("a"), F.col("top").alias("b"))
