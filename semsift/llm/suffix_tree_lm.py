@@ -43,13 +43,13 @@ DEPTH = 2
 MIN_CONTEXT, MIN_EXTEND = 3, 4
 #: Pseudo-count of the suffix's distribution, and the log10 gain a kept context shows.
 PRIOR, MIN_GAIN = 2.0, 1.0
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 END = np.uint64(0x5EED0FE9D0C5E9D1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 BLOCKS = "block long, words binary, numbers binary, tokens binary, ids array<long>, held array<boolean>"
-REQUEST = "block long, part int, kind int, keys binary, amounts binary"
-ANSWER = "block long, part int, kind int, sums binary"
+REQUEST = "block long, part int, kind int, size long, keys binary, amounts binary"
+ANSWER = "block long, part int, kind int, size long, sums binary, total double, found long"
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
           "base_score double, score double, n_in_context long")
 
@@ -99,15 +99,17 @@ class _Block:
         self.number, self.ids, self.depth = row["block"], row["ids"], depth
         self.tokens = np.frombuffer(row["tokens"], "<i8")
         total = int(self.tokens.sum())
-        self.words = np.frombuffer(row["words"], "<u8")[_unpack(row["numbers"], total, "<u4")]
+        self.vocabulary = np.frombuffer(row["words"], "<u8")     # sorted, so its places are keys' places
+        self.numbers = _unpack(row["numbers"], total, "<u4").astype(np.int64)
+        self.words = self.vocabulary[self.numbers]
         self.held = np.array([bool(h) for h in row["held"]])
         self.doc = np.repeat(np.arange(len(self.tokens)), self.tokens)
         self.train = ~self.held[self.doc]
         self.place = np.arange(total) - np.repeat(np.cumsum(self.tokens) - self.tokens, self.tokens)
         self.sums: dict[int, list] = {}
         for r in sorted(answers.to_pylist(), key=lambda r: r["part"]):
-            self.sums.setdefault(r["kind"], []).append(np.frombuffer(r["sums"], "<f8"))
-        self.keys = {1: mix64(self.words)}
+            self.sums.setdefault(r["kind"], []).append(_unpack(r["sums"], r["size"], "<f8"))
+        self.keys = {1: self.words}
         for order in range(2, depth + 2):
             before = np.append(np.uint64(0), self.keys[order - 1][:-1])
             self.keys[order] = mix64(before * _STEP + self.words)
@@ -117,6 +119,8 @@ class _Block:
     def gram(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions whose n-gram of this order is counted, its distinct keys, and the
         positions' places among these."""
+        if order == 1:
+            return np.arange(len(self.words)), self.vocabulary, self.numbers
         if order not in self.distinct:
             at = self.place >= order - 1
             if order > 2:
@@ -142,9 +146,20 @@ class _Block:
         return out
 
     def contexts(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions behind a context of this length that is seen often enough, the distinct
+        contexts' keys, and the positions' places among these. A context is the n-gram that
+        ends one position before, so its place among those is known."""
         at = np.flatnonzero(self.behind(length) >= MIN_CONTEXT)
-        keys = np.append(np.uint64(0), self.keys[length][:-1])[at]
-        return (at, *np.unique(keys, return_inverse=True))
+        grams, keys, where = self.gram(length)
+        if length > 1:
+            place = np.zeros(len(self.words), np.int64)
+            place[grams] = where
+        else:
+            place = where
+        of = place[at - 1]
+        present = np.zeros(len(keys), bool)
+        present[of] = True
+        return at, keys[present], (np.cumsum(present) - 1)[of]
 
     def predict(self, length: int, total: float, distinct: float) -> np.ndarray:
         """Each token's probability in the longest kept context of up to this length."""
@@ -153,7 +168,7 @@ class _Block:
         for k in range(1, length + 1):
             at, _, where = self.contexts(k)
             if len(at):
-                kept = at[(np.concatenate(self.sums[_gain_kind(k)]) >= MIN_GAIN)[where]]
+                kept = at[(np.concatenate(self.sums[_gain_kind(k)]) > 0)[where]]
                 n = self.behind(k)[kept]
                 p[kept] = (self.counts(k + 1)[kept] + PRIOR * p[kept]) / (n + PRIOR)
                 self.in_context[kept] = True
@@ -177,14 +192,16 @@ class _Block:
             n, c = self.behind(step)[at], self.counts(step + 1)[at]
             left_out = (np.maximum(c - 1, 0) + PRIOR * parent) / (n - 1 + PRIOR)
             gain = np.where(self.train[at], np.log10(left_out / parent), 0.0)
-            out += self._ask(_gain_kind(step), keys, np.bincount(where, weights=gain, minlength=len(keys)), parts)
+            gain = np.bincount(where, weights=gain, minlength=len(keys))
+            out += self._ask(_gain_kind(step), keys, gain.astype(np.float32), parts)    # half of the bytes are 0
         return out
 
     def _ask(self, kind: int, keys: np.ndarray, amounts: np.ndarray, parts: int) -> list[dict]:
         """Sorted keys fall into parts by their leading bits, a run of them for each part."""
         edge = np.searchsorted(keys >> np.uint64(32), (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
                                // np.uint64(parts), "left")
-        return [{"block": self.number, "part": p, "kind": kind, "keys": keys[a:b].tobytes(),
+        return [{"block": self.number, "part": p, "kind": kind, "size": b - a,
+                 "keys": _pack(np.diff(keys[a:b], prepend=np.uint64(0))),      # the gaps of sorted keys are shorter
                  "amounts": _pack(amounts[a:b].astype("<f8"))}
                 for p, (a, b) in enumerate(zip(edge, edge[1:])) if a < b]
 
@@ -202,7 +219,7 @@ class _Block:
 
 
 def _rows(rows: list[dict], schema: str) -> pa.Table:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
     fields = [f.split() for f in schema.split(", ")]
     return pa.table({n: pa.array([r[n] for r in rows], kinds[t]) for n, t in fields})
 
@@ -210,12 +227,17 @@ def _rows(rows: list[dict], schema: str) -> pa.Table:
 def _add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Sums by key over all blocks' requests to a part, given back in each block's order."""
     rows = table.to_pylist()
-    keys = [np.frombuffer(r["keys"], "<u8") for r in rows]
+    keys = [np.cumsum(_unpack(r["keys"], r["size"], "<u8"), dtype=np.uint64) for r in rows]
     distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(where, weights=np.concatenate(
         [_unpack(r["amounts"], len(k), "<f8") for r, k in zip(rows, keys)]), minlength=len(distinct))
+    if rows[0]["kind"] % 2:         # of a gain, blocks need to know only whether the context is kept
+        total = (total >= MIN_GAIN).astype(np.float64)
     answers = np.split(total[where], np.cumsum([len(k) for k in keys])[:-1])
-    return _rows([{**r, "sums": a.astype("<f8").tobytes()} for r, a in zip(rows, answers)], ANSWER)
+    out = [{"block": r["block"], "part": r["part"], "kind": r["kind"], "size": len(a), "sums": _pack(a.astype("<f8")),
+            "total": None, "found": None} for r, a in zip(rows, answers)]
+    out[0] |= {"total": float(total.sum()), "found": int((total > 0).sum())}      # of the part
+    return _rows(out, ANSWER)
 
 
 def _requests(step: int, depth: int, parts: int, total: float, distinct: float):
@@ -242,39 +264,25 @@ def suffix_tree_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id"
     answers = spark.createDataFrame([], ANSWER)
     total = distinct = 0.0
     for step in range(depth + 1):
-        requests = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        requests = blocks.groupBy("block").cogroup(answers.drop("total", "found").groupBy("block")).applyInArrow(
             _requests(step, depth, parts, total, distinct), REQUEST)
         found = stage(requests.repartition(parts, "part", "kind").groupBy("part", "kind")
                       .applyInArrow(_add_up, ANSWER), "lm-sums")
         answers = found if step == 0 else answers.unionByName(found)
         if step == 0:
-            total, distinct = _vocabulary(blocks, found, depth)
+            # training tokens and distinct training words
+            total, distinct = map(float, found.where(F.col("kind") == _count_kind(1)).agg(
+                F.coalesce(F.sum("total"), F.lit(0.0)), F.coalesce(F.sum("found"), F.lit(0))).first())
 
     def score(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return SCORE_SCHEMA.empty_table()
         return _Block(left, right, depth).scores(total, distinct)
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORES)
+    return blocks.groupBy("block").cogroup(answers.drop("total", "found").groupBy("block")) \
+        .applyInArrow(score, SCORES)
 
 
 SCORE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
                           ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()),
                           ("score", pa.float64()), ("n_in_context", pa.int64())])
-
-
-def _vocabulary(blocks: DataFrame, found: DataFrame, depth: int) -> tuple[float, float]:
-    """Training tokens and distinct training words: every block adds its own tokens, and
-    of each word the share that its training tokens are of all of the word's."""
-
-    def own(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.schema([("n", pa.float64()), ("v", pa.float64())]).empty_table()
-        block = _Block(left, right, depth)
-        count = block.counts(1)[block.train]
-        return pa.table({"n": [float(len(count))], "v": [float((1 / count).sum())]})
-
-    one = found.where(F.col("kind") == _count_kind(1))
-    sums = blocks.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(own, "n double, v double")
-    n, v = sums.agg(F.sum("n"), F.sum("v")).first()
-    return float(n or 0), float(round(v or 0))
