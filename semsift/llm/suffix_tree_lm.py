@@ -39,8 +39,9 @@ from semsift.llm.wordhash import mix64, slices, word_hashes
 from semsift.session import scratch_path
 
 DEPTH = 2
-#: Occurrences from which a context is looked at, and those it must have to be extended.
-MIN_CONTEXT, MIN_EXTEND = 3, 4
+#: Occurrences from which a context is looked at, and those it must have to be extended:
+#: every context that is tested needs the counts of its next words.
+MIN_CONTEXT, MIN_EXTEND = 3, 3
 #: Pseudo-count of the suffix's distribution, and the log10 gain a kept context shows.
 PRIOR, MIN_GAIN = 2.0, 1.0
 BLOCK_BYTES = 6 << 20

@@ -145,6 +145,66 @@ def test_suffix_tree_against_whole_counts(spark):
         assert got[i] == pytest.approx(sum(math.log10(predict(tuple(ws[max(0, j - 2):j]), ws[j])) for j in range(len(ws))))
 
 
+def brute_tree(train, depth=None):
+    """``(predict, kept, counts)`` with true counts throughout; without a depth, lengths
+    are added until one has no kept context."""
+    import math
+
+    from semsift.llm.suffix_tree_lm import MIN_CONTEXT, MIN_GAIN, PRIOR
+    grams = Counter((ws[i],) for ws in train for i in range(len(ws)))
+    n, v = sum(map(len, train)), len(grams)
+    kept, k = set(), 0
+
+    def predict(ctx, w):
+        if not ctx:
+            return (grams[(w,)] + 1) / (n + v + 1)
+        below = predict(ctx[1:], w)
+        return (grams[(*ctx, w)] + PRIOR * below) / (grams[ctx] + PRIOR) if ctx in kept else below
+
+    while depth is None or k < depth:
+        k += 1
+        grams.update(tuple(ws[i - k:i + 1]) for ws in train for i in range(k, len(ws)))
+        gain = Counter()
+        for ws in train:
+            for i in range(k, len(ws)):
+                ctx = tuple(ws[i - k:i])
+                if grams[ctx] >= MIN_CONTEXT:
+                    p = predict(ctx[1:], ws[i])
+                    gain[ctx] += math.log10((grams[(*ctx, ws[i])] - 1 + PRIOR * p) / (grams[ctx] - 1 + PRIOR) / p)
+        new = {c for c, g in gain.items() if g >= MIN_GAIN}
+        kept |= new
+        if depth is None and not new:
+            break
+    return predict, kept, grams
+
+
+def passages():
+    """Texts in which the word after a passage follows from the word before it, more or
+    less far back, each text a few times."""
+    texts = []
+    for length in range(1, 8):
+        for first in range(4):
+            body = [f"start{first}"] + [f"mid{length}x{j}" for j in range(length)] + [f"end{length}x{first}"]
+            texts += [" ".join(body + [f"tail{r}"]) for r in range(3 + first * 3)]
+    return texts
+
+
+def test_suffix_tree_tests_contexts_with_true_counts(spark):
+    """A two-word context seen just often enough to be tested is tested with its counts."""
+    import math
+
+    from pyspark.sql import functions as F
+    from semsift.llm.suffix_tree_lm import MIN_CONTEXT, suffix_tree_scores
+    texts = passages()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    train = [t.split(" ") + [None] for t in texts]
+    predict, kept, counts = brute_tree(train, 2)
+    assert any(len(c) == 2 and counts[c] == MIN_CONTEXT for c in kept)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree_scores(docs, F.lit(False), depth=2).collect()}
+    for i, ws in enumerate(train):
+        assert got[i] == pytest.approx(sum(math.log10(predict(tuple(ws[max(0, j - 2):j]), ws[j])) for j in range(len(ws))))
+
+
 # ---- operator 4
 
 
