@@ -1,6 +1,7 @@
 """Language-model scores from a probabilistic suffix tree over words (operator 3).
 
-The tree's nodes are contexts of up to ``depth`` preceding words. A context is kept if it
+The tree's nodes are contexts of preceding words, of up to ``depth`` words or, without a
+depth, of every length up to the first at which no context is kept. A context is kept if it
 is seen often enough and its next-word distribution diverges from that of its longest
 kept suffix: the training occurrences after it, each predicted with itself left out,
 must gain a given log likelihood over the suffix's prediction, so chance repeats do not
@@ -13,7 +14,10 @@ blocks of word numbers of bounded size, written once. A block asks for just the
 that its own tokens need: it sends its distinct n-grams, pre-aggregated, to parts of the
 key space, which add up all blocks' counts and answer in the same order. One such
 exchange counts words and pairs, one per context length finds the kept contexts and the
-counts of longer n-grams behind frequent contexts. However common a word or pair is, it
+counts of longer n-grams behind frequent contexts. A context whose training occurrences
+all have the same next word, already predicted so well that they have less than the
+asked gain left together, is not extended: no longer context can pass, since its
+occurrences are among these and a kept context only raises that word. However common a word or pair is, it
 is one entry per block. All of this grows with the corpus; a task holds one block or one
 part of the keys.
 
@@ -95,27 +99,27 @@ def _gain_kind(length: int) -> int:
 class _Block:
     """A block's tokens with what is known of their n-grams so far."""
 
-    def __init__(self, blocks: pa.Table, answers: pa.Table, depth: int):
+    def __init__(self, blocks: pa.Table, answers: pa.Table, total: float, distinct: float):
         row = blocks.to_pylist()[0]
-        self.number, self.ids, self.depth = row["block"], row["ids"], depth
+        self.number, self.ids = row["block"], row["ids"]
+        self.size = total + distinct + 1
         self.tokens = np.frombuffer(row["tokens"], "<i8")
-        total = int(self.tokens.sum())
+        n = int(self.tokens.sum())
         self.vocabulary = np.frombuffer(row["words"], "<u8")     # sorted, so its places are keys' places
-        self.numbers = _unpack(row["numbers"], total, "<u4").astype(np.int64)
+        self.numbers = _unpack(row["numbers"], n, "<u4").astype(np.int64)
         self.words = self.vocabulary[self.numbers]
         self.held = np.array([bool(h) for h in row["held"]])
         self.doc = np.repeat(np.arange(len(self.tokens)), self.tokens)
         self.train = ~self.held[self.doc]
-        self.place = np.arange(total) - np.repeat(np.cumsum(self.tokens) - self.tokens, self.tokens)
+        self.place = np.arange(n) - np.repeat(np.cumsum(self.tokens) - self.tokens, self.tokens)
         self.sums: dict[int, list] = {}
         for r in sorted(answers.to_pylist(), key=lambda r: r["part"]):
             self.sums.setdefault(r["kind"], []).append(_unpack(r["sums"], r["size"], "<f8"))
-        self.keys = {1: self.words}
-        for order in range(2, depth + 2):
-            before = np.append(np.uint64(0), self.keys[order - 1][:-1])
-            self.keys[order] = mix64(before * _STEP + self.words)
+        self.order, self.keys = 1, self.words
         self.distinct: dict[int, tuple] = {}
         self.count: dict[int, np.ndarray] = {}
+        self.lively: dict[int, tuple] = {}
+        self.length, self.p = -1, np.ones(0)
 
     def gram(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions whose n-gram of this order is counted, its distinct keys, and the
@@ -125,11 +129,32 @@ class _Block:
         if order not in self.distinct:
             at = self.place >= order - 1
             if order > 2:
-                at &= self.behind(order - 1) >= MIN_EXTEND
+                # for the word after a context, and as a context of the next word
+                alive, settled = self.alive(order - 2)
+                often = self.behind(order - 1) >= MIN_EXTEND
+                after = np.append(alive[1:], False) & (self.counts(order - 1) >= MIN_EXTEND)
+                at &= (alive & often) | (settled & after)
             at = np.flatnonzero(at)
-            self.distinct[order] = (at, *np.unique(self.keys[order][at], return_inverse=True))
+            while self.order < order:
+                self.keys = mix64(np.append(np.uint64(0), self.keys[:-1]) * _STEP + self.words)
+                self.order += 1
+            self.distinct[order] = (at, *np.unique(self.keys[at], return_inverse=True))
         return self.distinct[order]
 
+    def alive(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the context of this length before each position is frequent and could have
+        a kept extension, and whether it or a suffix is settled: always followed by the
+        same word, with too little left to gain."""
+        if length == 0:
+            return np.ones(len(self.words), bool), np.zeros(len(self.words), bool)
+        if length not in self.lively:
+            alive, settled = self.alive(length - 1)
+            n, p = self.behind(length), self.predict(length - 1)
+            alive = alive & (n >= MIN_EXTEND)
+            done = alive & (self.counts(length + 1) == n) & (-n * np.log10(p) < MIN_GAIN)
+            self.lively[length] = (alive & ~done, settled | done)
+        return self.lively[length]
+
     def counts(self, order: int) -> np.ndarray:
         """Training count of each position's n-gram (0 where it is not counted)."""
         if order not in self.count:
@@ -138,6 +163,7 @@ class _Block:
             if len(at):
                 out[at] = np.concatenate(self.sums[_count_kind(order)])[where]
             self.count[order] = out
+            self.count.pop(order - 3, None)
         return self.count[order]
 
     def behind(self, length: int) -> np.ndarray:
@@ -147,10 +173,10 @@ class _Block:
         return out
 
     def contexts(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions behind a context of this length that is seen often enough, the distinct
+        """Positions behind a context of this length that is to be tested, the distinct
         contexts' keys, and the positions' places among these. A context is the n-gram that
         ends one position before, so its place among those is known."""
-        at = np.flatnonzero(self.behind(length) >= MIN_CONTEXT)
+        at = np.flatnonzero((self.behind(length) >= MIN_CONTEXT) & self.alive(length - 1)[0])
         grams, keys, where = self.gram(length)
         if length > 1:
             place = np.zeros(len(self.words), np.int64)
@@ -162,20 +188,27 @@ class _Block:
         present[of] = True
         return at, keys[present], (np.cumsum(present) - 1)[of]
 
-    def predict(self, length: int, total: float, distinct: float) -> np.ndarray:
-        """Each token's probability in the longest kept context of up to this length."""
-        p = (self.counts(1) + 1) / (total + distinct + 1)
-        self.in_context = np.zeros(len(p), bool)
-        for k in range(1, length + 1):
+    def predict(self, length: int) -> np.ndarray:
+        """Each token's probability in the longest kept context of up to this length (lengths
+        are asked for in ascending order)."""
+        if self.length < 0:
+            self.length, self.p = 0, (self.counts(1) + 1) / self.size
+            self.in_context = np.zeros(len(self.p), bool)
+        while self.length < length:
+            k = self.length + 1
             at, _, where = self.contexts(k)
+            self.alive(k)       # by the predictions of length k - 1, as when it was asked for
+            self.length = k
             if len(at):
                 kept = at[(np.concatenate(self.sums[_gain_kind(k)]) > 0)[where]]
                 n = self.behind(k)[kept]
-                p[kept] = (self.counts(k + 1)[kept] + PRIOR * p[kept]) / (n + PRIOR)
+                self.p = self.p.copy()
+                self.p[kept] = (self.counts(k + 1)[kept] + PRIOR * self.p[kept]) / (n + PRIOR)
                 self.in_context[kept] = True
-        return p
+        return self.p
 
-    def requests(self, step: int, parts: int, total: float, distinct: float) -> list[dict]:
+    def requests(self, step: int, last: bool, parts: int) -> list[dict]:
+        """What the step asks for; the last one needs no longer n-grams."""
         out = []
         if step == 0:
             for order in (1, 2):
@@ -183,13 +216,14 @@ class _Block:
                 out += self._ask(_count_kind(order), keys, np.bincount(
                     where, weights=self.train[at], minlength=len(keys)), parts)
             return out
-        if step < self.depth:
-            at, keys, where = self.gram(step + 2)
-            out += self._ask(_count_kind(step + 2), keys, np.bincount(
-                where, weights=self.train[at], minlength=len(keys)), parts)
         at, keys, where = self.contexts(step)
+        parent = self.predict(step - 1)
+        if not last:
+            grams, longer, of = self.gram(step + 2)
+            out += self._ask(_count_kind(step + 2), longer, np.bincount(
+                of, weights=self.train[grams], minlength=len(longer)), parts)
         if len(at):
-            parent = self.predict(step - 1, total, distinct)[at]
+            parent = parent[at]
             n, c = self.behind(step)[at], self.counts(step + 1)[at]
             left_out = (np.maximum(c - 1, 0) + PRIOR * parent) / (n - 1 + PRIOR)
             gain = np.where(self.train[at], np.log10(left_out / parent), 0.0)
@@ -206,10 +240,10 @@ class _Block:
                  "amounts": _pack(amounts[a:b].astype("<f8"))}
                 for p, (a, b) in enumerate(zip(edge, edge[1:])) if a < b]
 
-    def scores(self, total: float, distinct: float) -> pa.Table:
+    def scores(self, length: int, total: float) -> pa.Table:
         known = self.counts(1) > 0
-        base = np.log10((self.counts(1) + 1) / (total + distinct + 1))
-        score = np.log10(self.predict(self.depth, total, distinct))
+        base = np.log10(self.predict(0))
+        score = np.log10(self.predict(length))
         per = lambda x: np.bincount(self.doc, weights=x, minlength=len(self.tokens))
         n = len(self.tokens)
         return pa.table({
@@ -241,18 +275,19 @@ def _add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return _rows(out, ANSWER)
 
 
-def _requests(step: int, depth: int, parts: int, total: float, distinct: float):
+def _requests(step: int, last: bool, parts: int, total: float, distinct: float):
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        return _rows(_Block(left, right, depth).requests(step, parts, total, distinct) if left.num_rows else [],
+        return _rows(_Block(left, right, total, distinct).requests(step, last, parts) if left.num_rows else [],
                      REQUEST)
 
     return run
 
 
 def suffix_tree_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
-                       depth: int = DEPTH) -> DataFrame:
+                       depth: int | None = DEPTH) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score, score, n_in_context`` (scores are log10 probabilities of the text)."""
+    base_score, score, n_in_context`` (scores are log10 probabilities of the text).
+    ``depth=None`` lets the divergence test decide the tree's depth."""
     spark = docs.sparkSession
     parts = parallelism(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
@@ -264,9 +299,10 @@ def suffix_tree_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id"
     blocks = spark.table(table)
     answers = spark.createDataFrame([], ANSWER)
     total = distinct = 0.0
-    for step in range(depth + 1):
+    step = 0
+    while True:
         requests = blocks.groupBy("block").cogroup(answers.drop("total", "found").groupBy("block")).applyInArrow(
-            _requests(step, depth, parts, total, distinct), REQUEST)
+            _requests(step, step == depth, parts, total, distinct), REQUEST)
         found = stage(requests.repartition(parts, "part", "kind").groupBy("part", "kind")
                       .applyInArrow(_add_up, ANSWER), "lm-sums")
         answers = found if step == 0 else answers.unionByName(found)
@@ -274,11 +310,16 @@ def suffix_tree_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id"
             # training tokens and distinct training words
             total, distinct = map(float, found.where(F.col("kind") == _count_kind(1)).agg(
                 F.coalesce(F.sum("total"), F.lit(0.0)), F.coalesce(F.sum("found"), F.lit(0))).first())
+        elif depth is None and not found.where((F.col("kind") == _gain_kind(step)) & (F.col("found") > 0)).head(1):
+            break
+        if step == depth:
+            break
+        step += 1
 
     def score(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return SCORE_SCHEMA.empty_table()
-        return _Block(left, right, depth).scores(total, distinct)
+        return _Block(left, right, total, distinct).scores(step, total)
 
     return blocks.groupBy("block").cogroup(answers.drop("total", "found").groupBy("block")) \
         .applyInArrow(score, SCORES)

@@ -205,6 +205,24 @@ def test_suffix_tree_tests_contexts_with_true_counts(spark):
         assert got[i] == pytest.approx(sum(math.log10(predict(tuple(ws[max(0, j - 2):j]), ws[j])) for j in range(len(ws))))
 
 
+def test_suffix_tree_depth_follows_from_the_texts(spark):
+    """Without a depth, contexts grow until none passes, and all that do are kept."""
+    import math
+
+    from pyspark.sql import functions as F
+    from semsift.llm.suffix_tree_lm import suffix_tree_scores
+    texts = passages() + [r["text"] for r in planted(spark).orderBy("doc_id").limit(60).collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    text = [lowered(t) + [None] for t in texts]
+    predict, kept, _ = brute_tree([ws for i, ws in enumerate(text) if i % 5])
+    assert max(map(len, kept)) >= 4
+    got = {r["doc_id"]: r["score"] for r in suffix_tree_scores(docs, F.col("doc_id") % 5 == 0, depth=None).collect()}
+    deep = max(map(len, kept))
+    for i, ws in enumerate(text):
+        want = sum(math.log10(predict(tuple(ws[max(0, j - deep):j]), ws[j])) for j in range(len(ws)))
+        assert got[i] == pytest.approx(want)
+
+
 # ---- operator 4
 
 
