@@ -22,8 +22,8 @@ from semsift.llm.quality_rules import quality_filter
 from semsift.session import scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Token shares to mix to. Rates stop at 1 (no document is repeated), and a document stays
-#: from a rate of one half, so that clean documents are not lost to chance.
+#: Token shares to mix to. Rates stop at 1 (no document is repeated); a lower rate is the
+#: probability, fixed by the id's hash, that a document stays.
 WEIGHTS = {"clean": 0.85, "poor": 0.15, "toxic": 0.0}
 
 
@@ -62,9 +62,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 @step
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay if the rate that mixing gives them is one half or more."""
+    """Documents stay with the rate that mixing gives them, as their hashed copies say."""
     mixed = mix(docs, label_domains(read_table(spark, sf_dir, "labels")), WEIGHTS, budget="clean", max_rate=1.0)
-    return mixed.where(F.col("_m_rate") >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixed.where(F.col("_m_copies") >= 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 @step

@@ -37,6 +37,22 @@ def test_stages(spark):
     assert all(r["length"] <= 1024 for r in pieces)
 
 
+def test_mixing_stage_meets_the_shares(spark, tmp_path):
+    """With twice as much poor text as clean, poor text is thinned to its share."""
+    import random
+    rng = random.Random(3)
+    poor = lambda i: i % 3 != 0
+    rows = [(i, " ".join(rng.choice("bad" if poor(i) else "good") + str(rng.randint(0, 30)) for _ in range(40)))
+            for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(i, int(not poor(i)), 0) for i in range(0, 3000, 2)], "doc_id long, quality int, toxic int") \
+        .write.parquet(f"{tmp_path}/labels.parquet")
+    kept = [r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect()]
+    share = sum(map(poor, kept)) / len(kept)        # every text has 40 tokens
+    assert abs(share - corpus_pipeline.WEIGHTS["poor"]) < 0.04
+    assert len(kept) - sum(map(poor, kept)) >= 950   # of 1,000 clean ones
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
     names = entry.queries()
