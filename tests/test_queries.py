@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_MID, SF_SMALL
-from scripts.oracle_check import TABLES, rows_of
+from scripts.oracle_check import TABLES, frame, rows_of
 
 NAMES = sorted(n for n in E.oracle_sql() if not (n.startswith("op") and n[2:3].isdigit()) and n != "pipeline")
 
@@ -20,8 +20,8 @@ def duck():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_its_sql(spark, duck, name):
-    ours = rows_of(E.queries()[name](spark, SF_SMALL).toPandas())
-    assert ours == rows_of(duck.execute(E.oracle_sql()[name]).fetchdf())
+    ours = rows_of(frame(E.queries()[name](spark, SF_SMALL).toArrow()))
+    assert ours == rows_of(frame(duck.execute(E.oracle_sql()[name]).to_arrow_table()))
 
 
 @pytest.mark.parametrize("approximate, exact", [("ann_ivf_recall", "knn_topk_batch"),
