@@ -12,9 +12,11 @@ from semsift.llm.jaccard_join import jaccard_links
 from semsift.llm.line_dedup import line_dedup
 from semsift.llm.mixing import label_domains, mix
 from semsift.llm.packing import pack
+from semsift.llm.prefix_trie import conversation_paths, prefix_trie
 from semsift.llm.quality_rules import MAX_HOST_RATE, quality_verdicts
 from semsift.llm.secrets import scan_secrets
 from semsift.llm.suffix_tree_lm import suffix_tree_scores
+from semsift.llm.token_counts import count_tokens
 from semsift.llm.url_filter import derived_log, judge_captures
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -131,6 +133,60 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read_table(spark, sf_dir, "documents"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations open with up to eight turns of the first of their five."""
+    turns = read_table(spark, sf_dir, "conversations")
+    return prefix_trie(conversation_paths(turns, family=5, openings=9))
+
+
+#: A turn's digest is chained to the prefix before it; a subtree's sums go over the paths
+#: of its nodes' smallest members. CRC-32 is worked out bit by bit.
+OP13_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+size AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+c AS (
+  SELECT conv_id, conv_id - ((conv_id % 5) + 5) % 5 AS base,
+         (xor(list_reduce(list_transform(range(length(conv_id::VARCHAR) + 1), lambda i: CASE WHEN i = 0
+            THEN 4294967295::UBIGINT ELSE ascii(substr(conv_id::VARCHAR, i::INT, 1))::UBIGINT END),
+          lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[],
+            lambda x, y: xor(x >> 1, (x & 1::UBIGINT) * 3988292384::UBIGINT))), 4294967295::UBIGINT) % 9)::BIGINT AS h
+  FROM size),
+r AS (
+  SELECT c.conv_id, t.pos AS d, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, least(c.h, coalesce(b.n, 0)) + t.pos - c.h, t.role, t.text
+  FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h LEFT JOIN size b ON b.conv_id = c.base),
+rs AS (SELECT conv_id, max(d) AS last FROM r GROUP BY conv_id),
+p AS (
+  SELECT conv_id, 0::BIGINT AS d, '' AS key, 0::BIGINT AS bytes FROM c
+  UNION ALL
+  SELECT r.conv_id, r.d, sha256(p.key || sha256(r.role) || sha256(r.text)), strlen(r.text)::BIGINT
+  FROM p JOIN r ON r.conv_id = p.conv_id AND r.d = p.d + 1),
+nodes AS (
+  SELECT p.d, p.key, min(p.conv_id) AS conv_id, count(*) AS n_convs, max(p.bytes) AS bytes,
+         string_agg(CASE WHEN p.d = coalesce(rs.last, 0) THEN p.conv_id END, ',' ORDER BY p.conv_id) AS ends
+  FROM p LEFT JOIN rs ON rs.conv_id = p.conv_id GROUP BY p.d, p.key),
+up AS (
+  SELECT x.*, q.key AS parent_key FROM nodes x LEFT JOIN p q ON q.conv_id = x.conv_id AND q.d = x.d - 1),
+kids AS (SELECT d - 1 AS d, parent_key AS key, count(*) AS n FROM up WHERE d > 0 GROUP BY ALL),
+sums AS (
+  SELECT p.d, p.key, count(*) FILTER (k.n IS NULL) AS n_leaves, sum((x.n_convs - 1) * x.bytes) AS saved
+  FROM nodes x LEFT JOIN kids k ON k.d = x.d AND k.key = x.key JOIN p ON p.conv_id = x.conv_id AND p.d <= x.d
+  GROUP BY p.d, p.key)
+SELECT x.conv_id, x.d AS depth, q.conv_id AS parent_conv_id, x.n_convs, coalesce(k.n, 0) AS n_children, s.n_leaves,
+       s.saved::BIGINT AS saved_tokens, sha256(coalesce(x.ends, '')) AS ends_sha256
+FROM up x JOIN sums s ON s.d = x.d AND s.key = x.key LEFT JOIN kids k ON k.d = x.d AND k.key = x.key
+LEFT JOIN nodes q ON q.d = x.d - 1 AND q.key = x.parent_key
+"""
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_exact_dedup": op2_exact_dedup,
@@ -142,8 +198,11 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op12_token_counts": op12_token_counts,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE = {
     "op2_exact_dedup": OP2_SQL,
     "op6_url_filter": OP6_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
