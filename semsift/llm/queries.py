@@ -12,6 +12,7 @@ from semsift.llm.jaccard_join import jaccard_links
 from semsift.llm.line_dedup import line_dedup
 from semsift.llm.mixing import label_domains, mix
 from semsift.llm.packing import pack
+from semsift.llm.phrases import collocations
 from semsift.llm.prefix_trie import conversation_paths, prefix_trie
 from semsift.llm.quality_rules import MAX_HOST_RATE, quality_verdicts
 from semsift.llm.secrets import scan_secrets
@@ -133,6 +134,42 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read_table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+total AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+grams AS (
+  SELECT lang, m, ws[i:i + m - 1] AS gram
+  FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m))),
+f AS (SELECT lang, m, array_to_string(gram, ' ') AS phrase, any_value(gram) AS gram, count(*) AS f
+      FROM grams GROUP BY lang, m, array_to_string(gram, ' ') HAVING count(*) >= 100),
+inner_ AS (
+  SELECT lang, array_to_string(gram[i:i + k - 1], ' ') AS phrase, max(f) AS longer
+  FROM (SELECT lang, gram, f, m, k, unnest(range(1, m - k + 2)) AS i
+        FROM (SELECT lang, gram, f, m, unnest(range(2, m)) AS k FROM f WHERE m > 2)) GROUP BY ALL),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, x.f AS l, y.f AS r, t.n,
+         (1000::HUGEINT * c.f * t.n) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.gram[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.gram[k + 1:], ' ')
+  JOIN total t ON t.lang = c.lang
+  LEFT JOIN inner_ i ON i.lang = c.lang AND i.phrase = c.phrase
+  WHERE i.longer IS NULL OR 100 * i.longer < 100 * c.f),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank,
+       phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM best QUALIFY rank <= 2000
+"""
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -198,11 +235,13 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_phrases": op11_phrases,
     "op12_token_counts": op12_token_counts,
     "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE = {
     "op2_exact_dedup": OP2_SQL,
     "op6_url_filter": OP6_SQL,
+    "op11_phrases": OP11_SQL,
     "op13_prefix_trie": OP13_SQL,
 }
