@@ -164,13 +164,13 @@ def _cells(keys: bytes, cells: int) -> np.ndarray:
 
 def prefix_sketch(paths: DataFrame, cells: int) -> np.ndarray:
     """For every cell, whether two or more prefixes fall into it, as packed bits."""
-    size = 1 << _BLOCK_BITS
+    size = min(1 << _BLOCK_BITS, 2 * cells)
 
     def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
         cell, count = np.unique(np.concatenate(parts), return_counts=True)
-        block = cell >> _BLOCK_BITS
+        block = cell // size
         starts = np.flatnonzero(np.diff(block, prepend=-1))
-        low = (cell & (size - 1)).astype("<u2")
+        low = (cell % size).astype("<u2")
         rows = []
         for a, b in zip(starts, np.append(starts[1:], len(cell))):
             one = count[a:b] == 1
