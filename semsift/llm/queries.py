@@ -44,9 +44,9 @@ FROM t JOIN g USING (h)
 
 def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held out: documents whose id, as text, has a CRC-32 of remainder 2 modulo 7.
-    The tree is as deep as its divergence test makes it."""
+    The tree is as deep as the texts and its divergence test make it."""
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
-    return suffix_tree_scores(read_table(spark, sf_dir, "documents"), held, depth=None)
+    return suffix_tree_scores(read_table(spark, sf_dir, "documents"), held)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

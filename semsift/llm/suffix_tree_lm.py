@@ -1,25 +1,29 @@
 """Language-model scores from a probabilistic suffix tree over words (operator 3).
 
-The tree's nodes are contexts of preceding words, of up to ``depth`` words or, without a
-depth, of every length up to the first at which no context is kept. A context is kept if it
-is seen often enough and its next-word distribution diverges from that of its longest
-kept suffix: the training occurrences after it, each predicted with itself left out,
-must gain a given log likelihood over the suffix's prediction, so chance repeats do not
-pass. A kept context's distribution is smoothed towards its suffix's with a fixed prior
+The tree's nodes are contexts of preceding words. Lengths of one to four words are looked
+at one by one, longer ones in steps of a half or a third (6, 8, 12, 16, ...), as far as the
+texts repeat; nothing but the texts, or a ``depth`` that is asked for, ends this. A context
+is kept if it is seen often enough, in fewer places than its suffix of the length before
+(else both are one node of the tree), and its next-word distribution diverges from that of
+its longest kept suffix: the training occurrences after it, each predicted with itself left
+out, must gain a given log likelihood over the suffix's prediction, so chance repeats do
+not pass. A kept context's distribution is smoothed towards its suffix's with a fixed prior
 weight; the root is the add-one unigram distribution with one class for unknown words.
 Every token is scored in the longest kept suffix of the words before it.
 
 Neither the tree nor any count is gathered in one place. Documents are turned into
 blocks of word numbers of bounded size, written once. A block asks for just the sums
 that its own tokens need: it sends its distinct n-grams, pre-aggregated, to parts of the
-key space, which add up all blocks' counts and answer in the same order. One such
-exchange counts words and pairs, one per context length finds the kept contexts and the
-counts of longer n-grams behind frequent contexts. A context whose training occurrences
-all have the same next word, already predicted so well that they have less than the
-asked gain left together, is not extended: no longer context can pass, since its
-occurrences are among these and a kept context only raises that word. However common a word or pair is, it
-is one entry per block. All of this grows with the corpus; a task holds one block or one
-part of the keys.
+key space, which add up all blocks' counts and answer in the same order. However common a
+word or pair is, it is one entry per block.
+
+Words, pairs and the contexts of one and two words concern every token and are exchanged
+first. From there only living positions are carried on from step to step: those behind a
+context that is frequent and whose extensions could still gain enough. What a context's
+extensions can gain is bounded by what its own occurrences could if each word's were
+predicted as well as a context that holds only them would; a word seen once can gain
+nothing. Below the asked gain no longer context can pass, and its positions are done. The
+work of a step is that of its living positions, and long copies take few steps.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with ``A-Z`` lowered and stand as 64-bit hashes; a text
 ends with one end token, so a null or empty text is that token alone. Contexts do not
@@ -38,11 +42,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semsift.llm.common import parallelism, stage
+from semsift.llm.common import parallelism, release, stage
 from semsift.llm.wordhash import mix64, slices, word_hashes
 from semsift.session import scratch_path
 
-DEPTH = 2
+#: Context lengths that are exchanged for all tokens.
+DENSE = 2
 #: Occurrences from which a context is looked at, and those it must have to be extended:
 #: every context that is tested needs the counts of its next words.
 MIN_CONTEXT, MIN_EXTEND = 3, 3
@@ -55,6 +60,16 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 BLOCKS = "block long, words binary, numbers binary, tokens binary, ids array<long>, held array<boolean>"
 REQUEST = "block long, part int, kind int, size long, keys binary, amounts binary"
 ANSWER = "block long, part int, kind int, size long, sums binary, total double, found long"
+#: One row a block: its documents' scores by the dense contexts, and its living positions.
+STATE = "size long, pos binary, p binary, n binary, c binary, before binary, inside binary"
+ENDED = ("block long, ids array<long>, held array<boolean>, tokens binary, known binary, base binary, score binary, "
+         "inside_n binary, " + STATE)
+#: What a block puts out in a step: requests, its living positions with their places among
+#: the keys it asks for, and what kept contexts change in its documents' scores.
+ADVANCED = ("block long, part int, kind int, keys binary, amounts binary, bounds binary, " + STATE
+            + ", gain_at binary, n_at binary, c_at binary, docs binary, change binary, entered binary")
+GAIN, NEXT_N, NEXT_C, LIVING, CHANGE = 0, 1, 2, -1, -2
+SPARSE_ANSWER = "block long, part int, kind int, size long, sums binary"
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
           "base_score double, score double, n_in_context long")
 
@@ -176,7 +191,10 @@ class _Block:
         """Positions behind a context of this length that is to be tested, the distinct
         contexts' keys, and the positions' places among these. A context is the n-gram that
         ends one position before, so its place among those is known."""
-        at = np.flatnonzero((self.behind(length) >= MIN_CONTEXT) & self.alive(length - 1)[0])
+        tested = (self.behind(length) >= MIN_CONTEXT) & self.alive(length - 1)[0]
+        if length > 1:
+            tested &= self.behind(length) < self.behind(length - 1)
+        at = np.flatnonzero(tested)
         grams, keys, where = self.gram(length)
         if length > 1:
             place = np.zeros(len(self.words), np.int64)
@@ -240,17 +258,167 @@ class _Block:
                  "amounts": _pack(amounts[a:b].astype("<f8"))}
                 for p, (a, b) in enumerate(zip(edge, edge[1:])) if a < b]
 
-    def scores(self, length: int, total: float) -> pa.Table:
-        known = self.counts(1) > 0
-        base = np.log10(self.predict(0))
-        score = np.log10(self.predict(length))
+    def ended(self, length: int, go_on: bool) -> dict:
+        """The documents' scores by contexts of up to ``length``; if longer ones follow, the
+        living positions with the counts of the next length."""
         per = lambda x: np.bincount(self.doc, weights=x, minlength=len(self.tokens))
-        n = len(self.tokens)
+        known, base = per(self.counts(1) > 0), per(np.log10(self.predict(0)))
+        p = self.predict(length)
+        at = np.zeros(0, np.int64)
+        if go_on:
+            at = np.flatnonzero(self.alive(length)[0] & (self.behind(length + 1) >= MIN_CONTEXT))
+        living = (p, self.behind(length + 1), self.counts(length + 2), self.behind(length)) if len(at) else (p,) * 4
+        return {"block": self.number, "ids": self.ids, "held": self.held.tolist(), "tokens": self.tokens.tobytes(),
+                "known": known.astype("<i8").tobytes(), "base": base.tobytes(), "score": per(np.log10(p)).tobytes(),
+                "inside_n": per(self.in_context).astype("<i8").tobytes(),
+                **_state(at, *[x[at] for x in living], self.in_context[at])}
+
+
+def _state(pos, p, n, c, before, inside) -> dict:
+    return {"size": len(pos), "pos": pos.astype("<u4").tobytes(), "p": p.astype("<f8").tobytes(),
+            "n": n.astype("<f8").tobytes(), "c": c.astype("<f8").tobytes(), "before": before.astype("<f8").tobytes(),
+            "inside": inside.astype("u1").tobytes()}
+
+
+def next_length(length: int) -> int:
+    """1, 2, 3, 4, 6, 8, 12, 16, ..."""
+    if length < 4:
+        return length + 1
+    return length * 3 // 2 if length & (length - 1) == 0 else length * 4 // 3
+
+
+class _Windows:
+    """Hashes of the windows before positions of a block, of any length at once."""
+
+    def __init__(self, row: dict):
+        self.tokens = np.frombuffer(row["tokens"], "<i8")
+        n = int(self.tokens.sum())
+        vocabulary = np.frombuffer(row["words"], "<u8")
+        self.words = vocabulary[_unpack(row["numbers"], n, "<u4")]
+        begin = np.cumsum(self.tokens) - self.tokens
+        self.doc = np.repeat(np.arange(len(self.tokens)), self.tokens)
+        self.place = np.arange(n) - begin[self.doc]
+        self.train = ~np.array([bool(h) for h in row["held"]])[self.doc]
+        power = np.full(n + 1, _STEP, np.uint64)
+        power[0] = 1
+        inverse = np.full(n + 1, np.uint64(pow(int(_STEP), -1, 1 << 64)))
+        inverse[0] = 1
+        power, self.inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(self.words) * power[:n], dtype=np.uint64)])
+
+    def keys(self, at: np.ndarray, length: int) -> np.ndarray:
+        window = (self.total[at] - self.total[at - length]) * self.inverse[at - length]
+        return mix64(window + np.uint64(length))
+
+
+def _advance(before: int, length: int, parts: int):
+    """Takes the answers for contexts of ``before`` words (0 in the first step), drops what is
+    done, and asks for those of ``length``."""
+    after = next_length(length)
+
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = right.to_pylist()
+        state = next((r for r in rows if r["kind"] == LIVING and r["size"]), None)
+        if state is None:
+            return _table([], ADVANCED)
+        out: list[dict] = []
+        number = key[0].as_py()
+        block = _Windows(left.to_pylist()[0])
+        read = lambda name, kind: np.frombuffer(state[name], kind)
+        pos, p, n, c, was = read("pos", "<u4").astype(np.int64), *(read(k, "<f8") for k in ("p", "n", "c", "before"))
+        inside = read("inside", "u1").astype(bool)
+        if before:
+            sums = {k: np.concatenate([np.zeros(0)] + [_unpack(r["sums"], r["size"], "<f8") for r in
+                                                       sorted((r for r in rows if r["kind"] == k), key=lambda r: r["part"])])
+                    for k in (GAIN, NEXT_N, NEXT_C)}
+            flag = sums[GAIN][read("gain_at", "<u4")]
+            kept = (flag == 1) | (flag == 3)
+            if kept.any():
+                fresh = (c[kept] + PRIOR * p[kept]) / (n[kept] + PRIOR)
+                doc, at = np.unique(block.doc[pos[kept]], return_inverse=True)
+                out.append({"block": number, "part": 0, "kind": CHANGE, "size": len(doc), "docs": doc.astype("<u4").tobytes(),
+                            "change": np.bincount(at, np.log10(fresh) - np.log10(p[kept])).astype("<f8").tobytes(),
+                            "entered": np.bincount(at, ~inside[kept]).astype("<i8").tobytes()})
+                p, inside = p.copy(), inside | kept
+                p[kept] = fresh
+            far = block.place[pos] >= length
+            n_next, c_next = np.zeros(len(pos)), np.zeros(len(pos))
+            n_next[far], c_next[far] = sums[NEXT_N][read("n_at", "<u4")], sums[NEXT_C][read("c_at", "<u4")]
+            go = (flag >= 2) & (n_next >= MIN_CONTEXT)
+            pos, p, inside, was, n, c = pos[go], p[go], inside[go], n[go], n_next[go], c_next[go]
+        if not len(pos):
+            return _table(out, ADVANCED)
+        train = block.train[pos]
+        left_out = (np.maximum(c - 1, 0) + PRIOR * p) / (n - 1 + PRIOR)
+        gain = np.where(train & (n < was), np.log10(left_out / p), 0.0)
+        most = (np.maximum(c - 1, 0) + PRIOR * p) / (c + PRIOR - 1)       # behind a context of only this word
+        bound = np.where(train & (c > 1), np.maximum(np.log10(most / p), 0.0), 0.0)
+
+        def ask(kind, at, keys):
+            distinct, where = np.unique(keys, return_inverse=True)
+            add = lambda x: np.bincount(where, x, len(distinct))
+            amounts = add(gain) if kind == GAIN else add(block.train[at])
+            bounds = add(bound) if kind == GAIN else None
+            edge = np.searchsorted(distinct >> np.uint64(32), (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
+                                   // np.uint64(parts), "left")
+            for q, (a, b) in enumerate(zip(edge, edge[1:])):
+                if a < b:
+                    out.append({"block": number, "part": q, "kind": kind, "size": b - a, "keys": distinct[a:b].tobytes(),
+                                "amounts": amounts[a:b].astype("<f8").tobytes(),
+                                "bounds": bounds[a:b].astype("<f8").tobytes() if kind == GAIN else None})
+            return where.astype("<u4").tobytes()
+
+        gain_at = ask(GAIN, pos, block.keys(pos, length))
+        far = pos[block.place[pos] >= after]
+        windows = block.keys(far, after)
+        out.append({"block": number, "part": 0, "kind": LIVING, **_state(pos, p, n, c, was, inside), "gain_at": gain_at,
+                    "n_at": ask(NEXT_N, far, windows), "c_at": ask(NEXT_C, far, mix64(windows * _STEP + block.words[far]))})
+        return _table(out, ADVANCED)
+
+    return run
+
+
+def _add_up_living(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Sums by key over all blocks; of a context, whether it is kept (1) and whether its
+    extensions may be (2)."""
+    rows = table.to_pylist()
+    keys = [np.frombuffer(r["keys"], "<u8") for r in rows]
+    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+    add = lambda name: np.bincount(where, np.concatenate([np.frombuffer(r[name], "<f8") for r in rows]), len(distinct))
+    total = add("amounts")
+    if rows[0]["kind"] == GAIN:
+        total = (total >= MIN_GAIN) + 2.0 * (add("bounds") >= MIN_GAIN)
+    answers = np.split(total[where], np.cumsum([len(k) for k in keys])[:-1])
+    return _table([{"block": r["block"], "part": r["part"], "kind": r["kind"], "size": len(a), "sums": _pack(a)}
+                   for r, a in zip(rows, answers)], SPARSE_ANSWER)
+
+
+def _final(total: float):
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return SCORE_SCHEMA.empty_table()
+        row = left.to_pylist()[0]
+        read = lambda name, kind: np.frombuffer(row[name], kind).copy()
+        score, inside = read("score", "<f8"), read("inside_n", "<i8")
+        for change in right.to_pylist():
+            docs = np.frombuffer(change["docs"], "<u4")
+            score[docs] += np.frombuffer(change["change"], "<f8")
+            inside[docs] += np.frombuffer(change["entered"], "<i8")
+        n = len(score)
         return pa.table({
-            "doc_id": pa.array(self.ids, pa.int64()), "held_out": pa.array(self.held), "n_tokens": pa.array(self.tokens),
-            "n_known": pa.array(per(known).astype(np.int64)), "train_tokens": pa.array(np.full(n, int(total))),
-            "base_score": pa.array(per(base)), "score": pa.array(per(score)),
-            "n_in_context": pa.array(per(self.in_context).astype(np.int64))})
+            "doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array([bool(h) for h in row["held"]]),
+            "n_tokens": pa.array(read("tokens", "<i8")), "n_known": pa.array(read("known", "<i8")),
+            "train_tokens": pa.array(np.full(n, int(total))), "base_score": pa.array(read("base", "<f8")),
+            "score": pa.array(score), "n_in_context": pa.array(inside)})
+
+    return run
+
+
+def _table(rows: list[dict], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()),
+             "array<boolean>": pa.list_(pa.bool_())}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({n: pa.array([r.get(n) for r in rows], kinds[t]) for n, t in fields})
 
 
 def _rows(rows: list[dict], schema: str) -> pa.Table:
@@ -283,46 +451,71 @@ def _requests(step: int, last: bool, parts: int, total: float, distinct: float):
     return run
 
 
+def _ended(length: int, go_on: bool, total: float, distinct: float):
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        return _table([_Block(left, right, total, distinct).ended(length, go_on)] if left.num_rows else [], ENDED)
+
+    return run
+
+
 def suffix_tree_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text",
-                       depth: int | None = DEPTH) -> DataFrame:
+                       depth: int | None = None) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score, n_in_context`` (scores are log10 probabilities of the text).
-    ``depth=None`` lets the divergence test decide the tree's depth."""
+    Contexts are as long as the texts and the divergence test make them, or of ``depth``
+    words at most."""
     spark = docs.sparkSession
     parts = parallelism(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                        F.coalesce(held_out, F.lit(False)).alias("held"), F.col(f"`{text_col}`").alias("text"))
     # bucketed by block, so that the blocks are not shuffled again in any of the steps
-    table = f"lm_blocks_{uuid.uuid4().hex}"
-    rows.mapInArrow(_blocks, BLOCKS).write.format("parquet").bucketBy(parts, "block") \
-        .option("path", scratch_path(spark, "lm-blocks")).saveAsTable(table)
-    blocks = spark.table(table)
-    answers = spark.createDataFrame([], ANSWER)
+    name, path = f"lm_blocks_{uuid.uuid4().hex}", scratch_path(spark, "lm-blocks")
+    rows.mapInArrow(_blocks, BLOCKS).write.format("parquet").bucketBy(parts, "block").option("path", path).saveAsTable(name)
+    blocks = spark.table(name)
+    blocks._staged_path = path
+    dense = DENSE if depth is None else min(depth, DENSE)
+    go_on = depth is None or depth > DENSE
+    answers, held = spark.createDataFrame([], ANSWER), []
     total = distinct = 0.0
-    step = 0
-    while True:
+    for step in range(dense + 1):
         requests = blocks.groupBy("block").cogroup(answers.drop("total", "found").groupBy("block")).applyInArrow(
-            _requests(step, step == depth, parts, total, distinct), REQUEST)
+            _requests(step, step == dense and not go_on, parts, total, distinct), REQUEST)
         found = stage(requests.repartition(parts, "part", "kind").groupBy("part", "kind")
                       .applyInArrow(_add_up, ANSWER), "lm-sums")
+        held.append(found)
         answers = found if step == 0 else answers.unionByName(found)
         if step == 0:
             # training tokens and distinct training words
             total, distinct = map(float, found.where(F.col("kind") == _count_kind(1)).agg(
                 F.coalesce(F.sum("total"), F.lit(0.0)), F.coalesce(F.sum("found"), F.lit(0))).first())
-        elif depth is None and not found.where((F.col("kind") == _gain_kind(step)) & (F.col("found") > 0)).head(1):
-            break
-        if step == depth:
-            break
-        step += 1
-
-    def score(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return SCORE_SCHEMA.empty_table()
-        return _Block(left, right, total, distinct).scores(step, total)
-
-    return blocks.groupBy("block").cogroup(answers.drop("total", "found").groupBy("block")) \
-        .applyInArrow(score, SCORES)
+    ended = stage(blocks.groupBy("block").cogroup(answers.drop("total", "found").groupBy("block")).applyInArrow(
+        _ended(dense, go_on, total, distinct), ENDED), "lm-dense")
+    release(*held)
+
+    living = ended.where("size > 0").select("block", F.lit(LIVING).alias("kind"), *_names(STATE))
+    changes = spark.createDataFrame([], "block long, docs binary, change binary, entered binary")
+    before, length, spent = 0, DENSE + 1, []
+    alive = go_on and bool(living.head(1))
+    while alive:
+        step = stage(blocks.groupBy("block").cogroup(living.groupBy("block")).applyInArrow(
+            _advance(before, length, parts), ADVANCED), "lm-living", ["kind"])
+        release(*spent)
+        changes = changes.union(step.where(F.col("kind") == CHANGE).select("block", "docs", "change", "entered"))
+        state = step.where(F.col("kind") == LIVING).select("block", "kind", *_names(STATE), "gain_at", "n_at", "c_at")
+        alive = bool(state.head(1)) and (depth is None or before < depth)
+        if alive:
+            found = stage(step.where(F.col("kind") >= 0).repartition(parts, "part", "kind").groupBy("part", "kind")
+                          .applyInArrow(_add_up_living, SPARSE_ANSWER), "lm-sums")
+            spent, living = [found], state.unionByName(found, allowMissingColumns=True)
+            before, length = length, next_length(length)
+    result = ended.groupBy("block").cogroup(changes.groupBy("block")).applyInArrow(_final(total), SCORES)
+    spark.sql(f"DROP TABLE {name}")
+    release(blocks, *spent)
+    return result
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
 
 
 SCORE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),

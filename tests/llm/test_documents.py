@@ -111,70 +111,52 @@ def test_suffix_tree_against_whole_counts(spark):
     import math
 
     from pyspark.sql import functions as F
-    from semsift.llm.suffix_tree_lm import MIN_CONTEXT, MIN_EXTEND, MIN_GAIN, PRIOR, suffix_tree_scores
+    from semsift.llm.suffix_tree_lm import suffix_tree_scores
     some = documents(spark).orderBy("doc_id").limit(30).collect()
     docs = spark.createDataFrame([(r["doc_id"] + k, " ".join((r["text"] or "").split(" ")[: 80 + k // 20]))
                                   for r in some for k in (0, 1000, 2000)], "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: r["score"] for r in suffix_tree_scores(docs, F.col("doc_id") % 5 == 0).collect()}
+    got = {r["doc_id"]: r["score"] for r in suffix_tree_scores(docs, F.col("doc_id") % 5 == 0, depth=2).collect()}
     text = {r["doc_id"]: lowered(r["text"]) + [None] for r in docs.collect()}
     train = [ws for i, ws in text.items() if i % 5]
-    grams = Counter(tuple(ws[i - k:i + 1]) for ws in train for i in range(len(ws)) for k in range(3) if i >= k)
-    n, v = sum(map(len, train)), len({w for ws in train for w in ws})
-    kept = set()
-
-    def predict(ctx, w):
-        if not ctx:
-            return (grams[(w,)] + 1) / (n + v + 1)
-        below = predict(ctx[1:], w)
-        return (seen(ctx, w) + PRIOR * below) / (grams[ctx] + PRIOR) if ctx in kept else below
-
-    def seen(ctx, w):
-        return grams[(*ctx, w)] if len(ctx) == 1 or grams[ctx] >= MIN_EXTEND else 0
-
-    for k in (1, 2):
-        gain = Counter()
-        for ws in train:
-            for i in range(k, len(ws)):
-                ctx = tuple(ws[i - k:i])
-                if grams[ctx] >= MIN_CONTEXT:
-                    p = predict(ctx[1:], ws[i])
-                    gain[ctx] += math.log10((max(seen(ctx, ws[i]) - 1, 0) + PRIOR * p) / (grams[ctx] - 1 + PRIOR) / p)
-        kept |= {c for c, g in gain.items() if g >= MIN_GAIN}
+    predict, kept, _ = brute_tree(train, 2)
     assert {len(c) for c in kept} == {1, 2}
     for i, ws in text.items():
         assert got[i] == pytest.approx(sum(math.log10(predict(tuple(ws[max(0, j - 2):j]), ws[j])) for j in range(len(ws))))
 
 
 def brute_tree(train, depth=None):
-    """``(predict, kept, counts)`` with true counts throughout; without a depth, lengths
-    are added until one has no kept context."""
+    """``(predict, kept, counts)`` with true counts throughout; without a depth, as long as
+    any context is frequent."""
     import math
 
-    from semsift.llm.suffix_tree_lm import MIN_CONTEXT, MIN_GAIN, PRIOR
+    from semsift.llm.suffix_tree_lm import MIN_CONTEXT, MIN_GAIN, PRIOR, next_length
     grams = Counter((ws[i],) for ws in train for i in range(len(ws)))
     n, v = sum(map(len, train)), len(grams)
-    kept, k = set(), 0
+    kept, before, k = set(), 0, 1
 
     def predict(ctx, w):
-        if not ctx:
-            return (grams[(w,)] + 1) / (n + v + 1)
-        below = predict(ctx[1:], w)
-        return (grams[(*ctx, w)] + PRIOR * below) / (grams[ctx] + PRIOR) if ctx in kept else below
-
-    while depth is None or k < depth:
-        k += 1
-        grams.update(tuple(ws[i - k:i + 1]) for ws in train for i in range(k, len(ws)))
-        gain = Counter()
+        p = (grams[(w,)] + 1) / (n + v + 1)
+        for size in range(1, len(ctx) + 1):
+            at = ctx[len(ctx) - size:]
+            if at in kept:
+                p = (grams[(*at, w)] + PRIOR * p) / (grams[at] + PRIOR)
+        return p
+
+    while depth is None or k <= depth:
+        for size in {k, k + 1} - {before + 1}:
+            grams.update(tuple(ws[i - size + 1:i + 1]) for ws in train for i in range(size - 1, len(ws)) if size > 1)
+        gain, often = Counter(), False
         for ws in train:
             for i in range(k, len(ws)):
                 ctx = tuple(ws[i - k:i])
-                if grams[ctx] >= MIN_CONTEXT:
+                often |= grams[ctx] >= MIN_CONTEXT
+                if grams[ctx] >= MIN_CONTEXT and (k == 1 or grams[ctx] < grams[ctx[k - before:]]):
                     p = predict(ctx[1:], ws[i])
                     gain[ctx] += math.log10((grams[(*ctx, ws[i])] - 1 + PRIOR * p) / (grams[ctx] - 1 + PRIOR) / p)
-        new = {c for c, g in gain.items() if g >= MIN_GAIN}
-        kept |= new
-        if depth is None and not new:
+        kept |= {c for c, g in gain.items() if g >= MIN_GAIN}
+        if not often:
             break
+        before, k = k, next_length(k)
     return predict, kept, grams
 
 
@@ -206,7 +188,7 @@ def test_suffix_tree_tests_contexts_with_true_counts(spark):
 
 
 def test_suffix_tree_depth_follows_from_the_texts(spark):
-    """Without a depth, contexts grow until none passes, and all that do are kept."""
+    """Without a depth, contexts grow as far as texts repeat, and all that pass are kept."""
     import math
 
     from pyspark.sql import functions as F
@@ -216,7 +198,7 @@ def test_suffix_tree_depth_follows_from_the_texts(spark):
     text = [lowered(t) + [None] for t in texts]
     predict, kept, _ = brute_tree([ws for i, ws in enumerate(text) if i % 5])
     assert max(map(len, kept)) >= 4
-    got = {r["doc_id"]: r["score"] for r in suffix_tree_scores(docs, F.col("doc_id") % 5 == 0, depth=None).collect()}
+    got = {r["doc_id"]: r["score"] for r in suffix_tree_scores(docs, F.col("doc_id") % 5 == 0).collect()}
     deep = max(map(len, kept))
     for i, ws in enumerate(text):
         want = sum(math.log10(predict(tuple(ws[max(0, j - deep):j]), ws[j])) for j in range(len(ws)))
