@@ -4,11 +4,11 @@ Texts are lower-cased (A-Z), split into pieces at punctuation and line ends, pie
 words at blanks; everything is per language. A symbol is a 64-bit hash of language and
 word, so one automaton can hold all languages.
 
-1. *Screen.* Words and word pairs are counted into a table of saturating cells, summed over
-   tasks a block of cells at a time. A pair whose cell stays under the least count is rarer
-   than that itself; so is every phrase around it. The table only keeps work away: whatever
-   passes is counted exactly. Its size follows the corpus up to ``MAX_CELLS``; where the
-   corpus outgrows that so far that no cell could stay under, it is left out.
+1. *Screen.* Words, pairs and triples are counted into tables of saturating cells, summed
+   over tasks a block of cells at a time. A pair whose cell stays under the least count is
+   rarer than that itself; so is every phrase around it. The tables only keep work away:
+   whatever passes is counted exactly. Their size follows the corpus up to ``MAX_CELLS``;
+   where the corpus outgrows that so far that no cell could stay under, they are left out.
 2. *Shards.* A task sorts the n-grams of its documents, with words, pairs and windows of
    three to five words apart, and builds count transducers from them in sorted blocks: once
    no later n-gram can pass through a state, the state is frozen, and joined with an equal
@@ -38,21 +38,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from semsift.llm.common import parallelism, pick, release, stage, text_or_empty
+from semsift.llm.common import give_back, parallelism, pick, release, stage, text_or_empty
 from semsift.llm.wordhash import hash_bytes, mix64, slices, text_bytes
 
 MIN_COUNT, MAX_WORDS = 100, 5
 #: Words that place an n-gram in its range.
 PREFIX = 3
-#: Cells (of one byte in a task, one bit once summed) of the screen of words, and of pairs.
-MIN_CELLS, MAX_CELLS = 1 << 16, 1 << 24
+#: Cells (of one byte in a task, one bit once summed) of each table of the screen.
+MIN_CELLS, MAX_CELLS = 1 << 16, 1 << 25
+TABLES = 3
 #: Words of the corpus for each cell; from this many on a screen could not reject anything.
-WORDS_PER_CELL, USELESS_LOAD = 32, 100
+WORDS_PER_CELL, USELESS_LOAD = 64, 100
 _CELL_BLOCK = 4096
 #: Words of the corpus for each prefix range.
 RANGE_WORDS = 1 << 21
-#: Windows a task holds before it builds transducers of them.
-SHARD_WINDOWS = 2_000_000
+#: N-grams of one kind that a task holds, repeats included, before it sums them; it builds
+#: transducers when half as many different ones are left.
+SHARD_GRAMS = 2_000_000
 #: Bytes of one text that are taken at a time.
 TEXT_BLOCK = 4 << 20
 #: Sorted n-grams that a transducer takes in at a time.
@@ -95,6 +97,10 @@ class Words:
         """Hash of each word with the next; only where ``~fresh[i + 1]`` it is a pair of a piece."""
         return mix64(self.symbol[:-1] * _STEP + self.symbol[1:])
 
+    def triples(self) -> np.ndarray:
+        """Hash of each word with the next two."""
+        return mix64(mix64(self.symbol[:-2] * _STEP + self.symbol[1:-1]) * _STEP + self.symbol[2:])
+
     def text(self, i: int) -> str:
         return self.data[self.start[i]:self.end[i]].tobytes().decode()
 
@@ -130,17 +136,16 @@ def _words(batch: pa.RecordBatch) -> Iterator[tuple[Words, list[str], np.ndarray
 # ---------------------------------------------------------------------------
 
 def screen(rows: DataFrame, cells: int, least: int) -> np.ndarray:
-    """Bits (packed) of the word cells and then the pair cells that reach ``least``."""
+    """Bits (packed) of the word, pair and triple cells that reach ``least``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(2 * cells, np.uint8)
+        held = np.zeros(TABLES * cells, np.uint8)
         for batch in batches:
             for w, _, _ in _words(batch):
-                pairs = w.pairs()[~w.fresh[1:]] if len(w.symbol) else w.symbol
-                cell = np.concatenate([(w.symbol & np.uint64(cells - 1)).astype(np.int64),
-                                       (pairs & np.uint64(cells - 1)).astype(np.int64) + cells])
-                at, n = np.unique(cell, return_counts=True)
-                held[at] = np.minimum(held[at] + np.minimum(n, 255), 255)
+                joined = ~w.fresh[1:]
+                for table, hashes in enumerate((w.symbol, w.pairs()[joined], w.triples()[joined[:-1] & joined[1:]])):
+                    at, n = np.unique((hashes & np.uint64(cells - 1)).astype(np.int64) + table * cells, return_counts=True)
+                    held[at] = np.minimum(held[at] + np.minimum(n, 255), 255)
         held = held.reshape(-1, _CELL_BLOCK)
         for block in np.array_split(np.flatnonzero(held.any(axis=1)), max(1, len(held) // 1024)):
             yield pa.record_batch([pa.array(block.astype(np.int32)), pa.array([held[b].tobytes() for b in block], pa.binary())],
@@ -166,18 +171,18 @@ def screen(rows: DataFrame, cells: int, least: int) -> np.ndarray:
 
     summed = rows.mapInArrow(count, "block int, cells binary").repartition(parallelism(rows.sparkSession), "block") \
         .sortWithinPartitions("block").mapInArrow(total, "block int, bits binary")
-    bits = np.zeros((2 * cells // _CELL_BLOCK, _CELL_BLOCK // 8), np.uint8)
+    bits = np.zeros((TABLES * cells // _CELL_BLOCK, _CELL_BLOCK // 8), np.uint8)
     table = summed.toArrow()                    # bounded: the table's own size
     for block, own in zip(table.column("block").to_pylist(), table.column("bits").to_pylist()):
         bits[block] = np.frombuffer(own, np.uint8)
     return bits.reshape(-1)
 
 
-def _passes(bits: np.ndarray | None, hashes: np.ndarray, second: bool) -> np.ndarray:
+def _passes(bits: np.ndarray | None, hashes: np.ndarray, table: int) -> np.ndarray:
     if bits is None:
         return np.ones(len(hashes), bool)
-    cells = len(bits) * 4
-    cell = (hashes & np.uint64(cells - 1)).astype(np.int64) + (cells if second else 0)
+    cells = len(bits) * 8 // TABLES
+    cell = (hashes & np.uint64(cells - 1)).astype(np.int64) + table * cells
     return (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
 
 
@@ -368,18 +373,45 @@ def prefix_range(rows: np.ndarray, ranges: int) -> np.ndarray:
     return (h >> np.uint64(65 - ranges.bit_length())).astype(np.int64) if ranges > 1 else np.zeros(len(rows), np.int64)
 
 
-def range_transducers(kind: int, rows: np.ndarray, counts: np.ndarray, ranges: int) -> Iterator[tuple[int, int, bytes]]:
-    """``(kind, range, packed transducer)`` of zero-padded n-grams; equal ones are summed."""
-    if not len(rows):
-        return
-    keyed = np.column_stack([prefix_range(rows, ranges).astype(np.uint64), rows])
-    order = _sorted_rows(keyed)
-    keyed, counts = keyed[order], counts[order]
-    at = _starts(keyed)
-    keyed, counts = keyed[at], np.add.reduceat(counts, at)
-    edge = np.append(np.flatnonzero(np.diff(keyed[:, 0].astype(np.int64), prepend=-1)), len(keyed))
-    for a, b in zip(edge[:-1], edge[1:]):
-        yield kind, int(keyed[a, 0]), build_transducer(keyed[a:b, 1:], counts[a:b], kind).pack()
+def _summed(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted, distinct rows and the sums of their counts."""
+    order = _sorted_rows(rows)
+    rows, counts = rows[order], counts[order]
+    at = _starts(rows)
+    return rows[at], np.add.reduceat(counts, at) if len(at) else counts
+
+
+class Grams:
+    """N-grams of one kind in a task, summed whenever many have come together."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, rows: np.ndarray) -> bool:
+        """Whether so many different n-grams are held that they should go out."""
+        if len(rows):
+            self.parts.append((rows, np.ones(len(rows), np.int64)))
+            self.size += len(rows)
+        if self.size > SHARD_GRAMS:
+            self.parts = [_summed(*self._all())]
+            self.size = len(self.parts[0][0])
+        return self.size > SHARD_GRAMS // 2
+
+    def _all(self):
+        rows, counts = zip(*self.parts)
+        return np.concatenate(rows), np.concatenate(counts)
+
+    def transducers(self, kind: int, ranges: int) -> Iterator[tuple[int, bytes]]:
+        """``(range, packed transducer)`` of what is held, which is let go."""
+        if not self.parts:
+            return
+        rows, counts = self._all()
+        self.parts, self.size = [], 0
+        keyed, counts = _summed(np.column_stack([prefix_range(rows, ranges).astype(np.uint64), rows]), counts)
+        edge = np.append(np.flatnonzero(np.diff(keyed[:, 0].astype(np.int64), prepend=-1)), len(keyed))
+        for a, b in zip(edge[:-1], edge[1:]):
+            yield int(keyed[a, 0]), build_transducer(keyed[a:b, 1:], counts[a:b], kind).pack()
 
 
 # ---------------------------------------------------------------------------
@@ -405,22 +437,23 @@ def shard_rows(rows: DataFrame, bits: np.ndarray | None, ranges: int, max_words:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits_ = sent.value
-        grams: dict[int, list[np.ndarray]] = {k: [] for k in range(1, PREFIX + 1)}
+        grams = {k: Grams() for k in range(1, PREFIX + 1)}
         totals: dict[str, int] = {}
         words: dict[int, tuple[str, str]] = {}
-        held = 0
 
         def flush():
-            for kind, parts in grams.items():
-                if parts:
-                    found = np.concatenate(parts)
-                    out = list(range_transducers(kind, found, np.ones(len(found), np.int64), ranges))
-                    for lo in range(0, len(out), 64):
-                        _, range_, automata = zip(*out[lo:lo + 64])
-                        yield batch(kind, range_, automata)
-                parts.clear()
+            for kind, held in grams.items():
+                out = []
+                for entry in held.transducers(kind, ranges):
+                    out.append(entry)
+                    if len(out) == 64:
+                        yield batch(kind, *zip(*out))
+                        out = []
+                if out:
+                    yield batch(kind, *zip(*out))
             if words:
-                yield batch(WORD, symbol=[s - (1 << 64) if s >> 63 else s for s in words],
+                symbols = np.array(list(words), np.uint64)
+                yield batch(WORD, prefix_range(symbols[:, None], ranges).tolist(), symbol=symbols.view(np.int64).tolist(),
                             lang=[x[0] for x in words.values()], word=[x[1] for x in words.values()])
             words.clear()
 
@@ -431,19 +464,19 @@ def shard_rows(rows: DataFrame, bits: np.ndarray | None, ranges: int, max_words:
                     totals[names[code]] = totals.get(names[code], 0) + int(count)
                 if not n:
                     continue
-                once = w.symbol[_passes(bits_, w.symbol, False)]
-                pair = np.zeros(n + max_words, bool)
-                pair[:n - 1] = ~w.fresh[1:] & _passes(bits_, w.pairs(), True)
+                pair, triple = np.zeros(n + max_words, bool), np.zeros(n + max_words, bool)
+                pair[:n - 1] = ~w.fresh[1:] & _passes(bits_, w.pairs(), 1)
+                triple[:max(n - 2, 0)] = pair[:max(n - 2, 0)] & pair[1:max(n - 1, 1)] & _passes(bits_, w.triples(), 2)
                 at = np.flatnonzero(pair[:n])
                 padded = np.append(w.symbol, np.zeros(max_words, np.uint64))
-                grams[1].append(once[:, None])
-                grams[2].append(np.column_stack([padded[at], padded[at + 1]]))
-                at = at[pair[at + 1]]
+                full = grams[1].add(w.symbol[_passes(bits_, w.symbol, 0)][:, None])
+                full |= grams[2].add(np.column_stack([padded[at], padded[at + 1]]))
+                at = np.flatnonzero(triple[:n])
                 cols, alive = [padded[at], padded[at + 1], padded[at + 2]], np.ones(len(at), bool)
                 for d in range(PREFIX, max_words):
-                    alive = alive & pair[at + d - 1]
+                    alive = alive & triple[at + d - 2]
                     cols.append(np.where(alive, padded[at + d], np.uint64(0)))
-                grams[3].append(np.column_stack(cols))
+                full |= grams[3].add(np.column_stack(cols))
                 part = pair[:n].copy()
                 part[1:] |= pair[:n - 1]
                 at = np.flatnonzero(part)
@@ -451,13 +484,12 @@ def shard_rows(rows: DataFrame, bits: np.ndarray | None, ranges: int, max_words:
                 for symbol, i in zip(symbols.tolist(), at[first].tolist()):
                     if symbol not in words:
                         words[symbol] = names[codes[w.doc[i]]], w.text(i)
-                held += len(once) + len(at)
-                if held > SHARD_WINDOWS:
+                if full or len(words) > SHARD_GRAMS // 4:
                     yield from flush()
-                    held = 0
         yield from flush()
         if totals:
-            yield batch(TOTAL, lang=list(totals), n=list(totals.values()))
+            yield batch(TOTAL, [0] * len(totals), lang=list(totals), n=list(totals.values()))
+        give_back()
 
     return rows.mapInArrow(run, SHARDS)
 
@@ -467,12 +499,25 @@ def _as_bytes(rows: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in np.ascontiguousarray(rows.astype(">u8"))], pa.binary())
 
 
-def union_transducers(shards: DataFrame, least: int) -> DataFrame:
-    """``(kind, range, automaton)`` with the weights of all shards summed by path; n-grams
-    rarer than ``least`` are gone."""
+def union_shards(shards: DataFrame, least: int) -> DataFrame:
+    """The shards' rows by kind and range: transducers united with the weights of equal paths
+    summed, without n-grams rarer than ``least``; word totals summed; words once."""
+    names = [c.split()[0] for c in SHARDS.split(", ")]
 
     def unite(rows: pa.Table) -> pa.Table:
         kind, number = rows.column("kind")[0].as_py(), rows.column("range")[0].as_py()
+
+        def out(size: int, **cols) -> pa.Table:
+            cols |= {"kind": pa.array([kind] * size, pa.int32()), "range": pa.array([number] * size, pa.int32())}
+            return pa.table([cols[f.name].cast(f.type) if f.name in cols else pa.nulls(size, f.type) for f in rows.schema],
+                            rows.schema)
+
+        if kind == TOTAL:
+            summed = rows.group_by("lang").aggregate([("n", "sum")])
+            return out(summed.num_rows, lang=summed["lang"], n=summed["n_sum"])
+        if kind == WORD:
+            once = rows.group_by("symbol").aggregate([("lang", "min"), ("word", "min")])
+            return out(once.num_rows, symbol=once["symbol"], lang=once["lang_min"], word=once["word_min"])
         by_depth: dict[int, list] = {}
         for automaton in rows.column("automaton"):
             for d, (paths, weight) in enumerate(all_paths(unpack(automaton.as_py())), 1):
@@ -480,23 +525,17 @@ def union_transducers(shards: DataFrame, least: int) -> DataFrame:
                     by_depth.setdefault(d, []).append((paths, weight))
         grams, counts, width = [], [], max(by_depth, default=0)
         for d, parts in by_depth.items():
-            paths, weight = np.concatenate([p for p, _ in parts]), np.concatenate([w for _, w in parts])
-            order = _sorted_rows(paths)
-            paths, weight = paths[order], weight[order]
-            at = _starts(paths)
-            weight = np.add.reduceat(weight, at)
+            paths, weight = _summed(np.concatenate([p for p, _ in parts]), np.concatenate([w for _, w in parts]))
             keep = weight >= least
-            grams.append(np.pad(paths[at][keep], ((0, 0), (0, width - d))))
+            grams.append(np.pad(paths[keep], ((0, 0), (0, width - d))))
             counts.append(weight[keep])
-        grams, counts = (np.concatenate(grams), np.concatenate(counts)) if grams else (np.zeros((0, 1), np.uint64), [])
-        if not len(grams):
-            return rows.schema.empty_table()
+        if not sum(map(len, grams)):
+            return out(0)
+        grams, counts = np.concatenate(grams), np.concatenate(counts)
         order = _sorted_rows(grams)
-        return pa.table({"kind": pa.array([kind], pa.int32()), "range": pa.array([number], pa.int32()),
-                         "automaton": pa.array([build_transducer(grams[order], counts[order], kind, summed=True).pack()], pa.binary())})
+        return out(1, automaton=pa.array([build_transducer(grams[order], counts[order], kind, summed=True).pack()], pa.binary()))
 
-    return shards.where("kind > 0").select("kind", "range", "automaton").groupBy("kind", "range") \
-        .applyInArrow(unite, "kind int, range int, automaton binary")
+    return shards.select(*names).groupBy("kind", "range").applyInArrow(unite, SHARDS)
 
 
 def candidates_of(counts: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
@@ -563,8 +602,8 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     cells = cells or (load_cells if n_words / load_cells < USELESS_LOAD else 0)
     ranges = min(1 << 16, power(max(n_words / RANGE_WORDS, 1)))
     bits = screen(rows, cells, least) if cells else None
-    shards = stage(shard_rows(rows, bits, ranges, max_words), "phrase-shards")
-    counts = stage(union_transducers(shards, least), "phrase-counts")
+    united = stage(union_shards(shard_rows(rows, bits, ranges, max_words), least), "phrase-counts")
+    counts = united.where("kind > 0").select("kind", "range", "automaton")
 
     cands = stage(candidates_of(counts, max_words), "phrase-candidates")
     words = F.length("phrase") / 8
@@ -584,12 +623,12 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
         .join(found.withColumnsRenamed({"part": "rest", "f": "r"}), "rest")
 
     symbol = F.conv(F.hex(piece(F.col("at"), F.lit(1))), 16, -10).cast("long")
-    spelled = shards.where(F.col("kind") == WORD).groupBy("symbol").agg(F.min("lang").alias("lang"), F.min("word").alias("word"))
+    spelled = united.where(F.col("kind") == WORD).select("symbol", "lang", "word")
     phrases = kept.select("phrase", F.explode(F.sequence(F.lit(0), words.cast("int") - 1)).alias("at")) \
         .withColumn("symbol", symbol).join(spelled, "symbol") \
         .groupBy("phrase").agg(F.min("lang").alias("lang"), F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("spelling"))
-    totals = shards.where(F.col("kind") == TOTAL).groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = united.where(F.col("kind") == TOTAL).select("lang", "n")
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     joined = cuts.join(phrases, "phrase").join(totals, "lang").select(
         "*", (wide("a") * wide("n") * F.lit(1000).cast("decimal(4,0)")).alias("over"), (wide("l") * wide("r")).alias("under"))
@@ -601,5 +640,5 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
                       "n", F.col("cut.score").cast("long").alias("score")) \
         .withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
     result = stage(out.select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "phrase-result")
-    release(shards, counts, cands, cuts, found)
+    release(united, cands, cuts, found)
     return result
