@@ -100,6 +100,11 @@ class HashingEncoder:
     def embed(self, text_col) -> Column:
         return self._pool(self.token_dims(text_col))
 
+    def vector_of(self, dims: list[int]) -> list[float]:
+        """The stored (quantised) vector of one text's ``token_dims``."""
+        unit = _pool_signed_arrow(pa.array([dims], pa.list_(pa.int32())), self.dim)
+        return np.round(np.asarray(unit[0].as_py(), np.float64), C.VECTOR_DECIMALS).astype(np.float32).tolist()
+
 
 _ONNX_CACHE: dict = {}
 

@@ -167,15 +167,33 @@ def q_knn_topk_arrow(spark, sf):
 
 @register("knn_topk_blocked", KNN_BATCH_SQL)
 def q_knn_topk_blocked(spark, sf):
-    """Same result through the blocked strategy (one scan of the index per query block)."""
+    """Same result through the strategy for query sides that cannot be broadcast: both sides
+    partitioned by cells."""
+    return _self_knn(spark, sf, "blocked")
+
+
+def _self_pruned(spark, sf, growth):
+    from semsift.operators.pruned import deal, pruned_knn_join
     e = _emb(spark, sf)
     q = e.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    ix = e.select("id", F.col("embedding").alias("vec"))
-    part = K.blocked_topk(q, ix, KNN_K, 64, blocks=3)
-    res = K.global_topk(part, KNN_K)
+    res, _ = pruned_knn_join(q, deal(e), KNN_K, growth=growth)
     return r6(res.select("query_id", "rank", "id", "distance"), "distance")
 
 
+@register("knn_join_pruned", KNN_BATCH_SQL)
+def q_knn_join_pruned(spark, sf):
+    """Exact join of two partitioned sides (K3, J4): each query's own cell bounds its k-th
+    distance, then only cells that the triangle inequality on angles cannot exclude."""
+    return _self_pruned(spark, sf, None)
+
+
+@register("knn_probe_until_exact", KNN_BATCH_SQL)
+def q_knn_probe_until_exact(spark, sf):
+    """Probing until it is right (K5): rounds of doubling numbers of cells, which a query
+    leaves once the bound of its next cell is beyond its k-th distance."""
+    return _self_pruned(spark, sf, 2)
+
+
 KNN_SCORE_SQL = f"""
 WITH pairs AS (
   SELECT a.vec_id AS query_id, b.vec_id AS id, {S.cos_dist('b.embedding', 'a.embedding')} AS distance
@@ -693,6 +711,21 @@ def q_hybrid_search_text(spark, sf):
     return r6(res, "score", "knn_score", "keyword_score", "title_score")
 
 
+@register("search_located", TEXT_SEARCH_SQL)
+def q_search_located(spark, sf):
+    """The same over a stored index: the kNN scan hands on each candidate's file and row, and
+    the detail fetch reads only there (K11, P8)."""
+    from semsift.operators.embed import HashingEncoder
+    from semsift.operators.locate import located_search
+    from semsift.plans.ingest import append_index, read_index
+    from semsift.session import scratch_path
+    path = scratch_path(spark, "located-index")
+    append_index(text_index(spark, sf), path)
+    b = X.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    res = located_search(b, read_index(spark, path), SEARCH_K, encoder=HashingEncoder(HASH_DIM))
+    return r6(res, "score", "knn_score", "keyword_score", "title_score")
+
+
 # ---------------------------------------------------------------------------
 # Sources, sinks, index table, incremental ingest
 # ---------------------------------------------------------------------------

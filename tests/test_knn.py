@@ -42,15 +42,6 @@ def test_strategies_match_brute_force(spark, data, k, strategy):
     assert got == brute(Q, M, ids, range(len(Q)), k)
 
 
-def test_blocked_grid_sizes_equal(spark, data):
-    M, Q, ids, ix, q = data
-    ixv = ix.select("id", F.col("embedding").alias("vec"))
-    a = K.global_topk(K.blocked_topk(q, ixv, 5, 8, blocks=1), 5)
-    b = K.global_topk(K.blocked_topk(q, ixv, 5, 8, blocks=3), 5)
-    cols = ["query_id", "rank", "id"]
-    assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
-
-
 def test_k_zero_and_partition_independence(spark, data):
     M, Q, ids, ix, q = data
     assert K.knn_join(q, ix, 0).count() == 0
@@ -87,30 +78,3 @@ def test_queries_without_vector_get_no_rows(spark):
     q = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [])], "query_id long, query_vec array<float>")
     got = K.knn_join(q, ix, 5).select("query_id", "id").collect()
     assert sorted(map(tuple, got)) == [(0, 1), (0, 2)]
-
-
-def test_blocked_cells_with_an_empty_side(spark, data):
-    M, Q, ids, ix, q = data
-    two = q.limit(2)                 # 2 queries over 6 query blocks: most cells lack queries
-    ixv = ix.select("id", F.col("embedding").alias("vec"))
-    got = K.global_topk(K.blocked_topk(two, ixv, 3, 8, blocks=6), 3)
-    exp = K.knn_join(two, ix, 3)
-    cols = ["query_id", "rank", "id"]
-    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, exp.select(cols).collect()))
-
-
-def test_blocked_cells_meet_across_many_shuffle_partitions(spark, data):
-    # without AQE coalescing every (qb, db) cell spreads over 16 shuffle partitions;
-    # both cogroup sides must hash their keys identically for cells to meet
-    M, Q, ids, ix, q = data
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
-    try:
-        ixv = ix.select("id", F.col("embedding").alias("vec"))
-        got = K.global_topk(K.blocked_topk(q, ixv, 4, 8, blocks=3), 4)
-        cols = ["query_id", "rank", "id"]
-        assert sorted(map(tuple, got.select(cols).collect())) == \
-            sorted(map(tuple, K.knn_join(q, ix, 4).select(cols).collect()))
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
