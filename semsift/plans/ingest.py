@@ -8,13 +8,13 @@ text kept as the description, link derived, embedding from the encoder
 Batch and stream loads share one table layout, ``load_id=.../epoch=N/``. A load id
 belongs to one batch append or one stream checkpoint and is never used again, so a
 load only adds its own partitions, and writing a micro-batch again replaces exactly
-its own. Row keys come from numbers that the table hands out once per micro-batch.
+its own. Loads become visible by commit records and get dense row keys
+(``semsift.plans.commits``).
 """
 from __future__ import annotations
 
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +23,8 @@ from semsift.functions.text import clean_string, token_stats
 from semsift.functions.vectors import quantize
 from semsift.operators.ann import append_ivf
 from semsift.operators.embed import HashingEncoder
+from semsift.operators.keyword import append_postings
+from semsift.plans import commits
 from semsift.schemas import INDEX_SCHEMA
 from semsift.session import materialize
 
@@ -35,101 +37,25 @@ def article_link(title_col) -> F.Column:
     return F.concat(F.lit(C.LINK_PREFIX), F.coalesce(title_col, F.lit("")))
 
 
-# Row key layout (63 bits): batch number | partition | position in partition.
-POS_BITS, PART_BITS, BATCH_BITS = 25, 18, 20
-
-
-def key_of(batch_no: int, partition, position):
-    """The row key; a partition number or position too large for its field raises."""
-    if not 0 <= batch_no < (1 << BATCH_BITS):
-        raise ValueError(f"the table has used all {1 << BATCH_BITS} batch numbers")
-
-    def within(value, bits, what):
-        return F.when(value < (1 << bits), value).otherwise(
-            F.raise_error(F.lit(f"{what} too large for a row key: repartition the input")).cast("long"))
-
-    return (F.lit(batch_no << (POS_BITS + PART_BITS)).cast("long")
-            + F.shiftleft(within(partition, PART_BITS, "partition number"), POS_BITS)
-            + within(position, POS_BITS, "position in the partition"))
-
-
-def row_key(batch_no: int):
-    """Unique 64-bit key for sources without an id, like a serial column: exact
-    duplicate articles stay separate rows with separate ids (no hot key).
-    ``batch_no`` is a number of ``reserve_batch``. Deterministic when a task or
-    micro-batch is replayed over the same input split."""
-    position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return key_of(batch_no, F.spark_partition_id().cast("long"), position)
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path, jvm
-
-
-def _create_once(spark: SparkSession, path: str, text: str) -> bool:
-    """Creates a small file; False if it is there already."""
-    fs, Path, _ = _fs(spark, path)
-    try:
-        out = fs.create(Path(path), False)
-    except Py4JJavaError:
-        if fs.exists(Path(path)):
-            return False
-        raise
-    out.write(bytearray(text.encode()))
-    out.close()
-    return True
-
-
-def _read_small(spark: SparkSession, path: str) -> str | None:
-    fs, Path, jvm = _fs(spark, path)
-    if not fs.exists(Path(path)):
-        return None
-    data = fs.open(Path(path))
-    try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(data)).decode()
-    finally:
-        data.close()
-
-
 def load_id_of(spark: SparkSession, checkpoint: str) -> str:
     """The load id kept in a stream's checkpoint folder, made on first use."""
     path = f"{checkpoint.rstrip('/')}/semsift_load_id"
-    _create_once(spark, path, uuid.uuid4().hex)
-    return _read_small(spark, path)
-
-
-def reserve_batch(spark: SparkSession, table_path: str, load_id: str, epoch: int = 0) -> int:
-    """The table's number for this load and epoch: the same when asked again, else one
-    that no other load has. Numbers are files that only one writer can create."""
-    base = f"{table_path.rstrip('/')}/_batches"
-    mine = f"{base}/of/{load_id}-{int(epoch)}"
-    known = _read_small(spark, mine)
-    if known:
-        return int(known)
-    fs, Path, _ = _fs(spark, base)
-    taken = [int(s.getPath().getName()) for s in fs.listStatus(Path(f"{base}/n"))] \
-        if fs.exists(Path(f"{base}/n")) else []
-    number = max(taken, default=-1) + 1
-    while not _create_once(spark, f"{base}/n/{number}", f"{load_id} {epoch}"):
-        number += 1
-    _create_once(spark, mine, str(number))
-    return int(_read_small(spark, mine))
+    commits.create_once(spark, path, uuid.uuid4().hex)
+    return commits.read_small(spark, path)
 
 
 def build_index(articles: DataFrame, *, encoder=None, id_col: str | None = None,
                 title_col: str = "title", text_col: str = "text", link_col: str | None = None,
-                embedding_col: str | None = None, batch_no: int | None = None,
-                keep_rejected: bool = False) -> DataFrame:
+                embedding_col: str | None = None, keep_rejected: bool = False) -> DataFrame:
     """Index rows ``(id, title, description, link, embedding, token_stats)``.
 
     ``embedding_col`` uses precomputed vectors instead of the encoder. Rows whose
     embedding is empty are dropped (P6) unless ``keep_rejected``. Sources without an id
-    need a ``batch_no`` of ``reserve_batch``.
+    get one of ``commits.with_dense_keys`` first, like a serial column: exact duplicates
+    stay separate rows with separate ids.
     """
-    if not id_col and batch_no is None:
-        raise ValueError("rows without an id need a batch number of reserve_batch()")
+    if not id_col:
+        raise ValueError("rows without an id need one of with_dense_keys()")
     title = F.coalesce(F.col(title_col), F.lit(""))
     text = F.coalesce(F.col(text_col), F.lit(""))
     link = F.col(link_col) if link_col else article_link(title)
@@ -139,9 +65,8 @@ def build_index(articles: DataFrame, *, encoder=None, id_col: str | None = None,
     else:
         enc = encoder or HashingEncoder()
         emb = enc.embed(text)
-    rid = F.col(id_col).cast("long") if id_col else row_key(batch_no)
     out = articles.select(
-        rid.alias("id"),
+        F.col(id_col).cast("long").alias("id"),
         clean_string(title).alias("title"),
         text.alias("description"),
         link.alias("link"),
@@ -168,7 +93,7 @@ def rejected_rows(index_candidates: DataFrame) -> DataFrame:
 def create_index_table(spark: SparkSession, name: str, location: str) -> None:
     """``CREATE TABLE IF NOT EXISTS`` over the index folder (S11); call ``refresh_index_table``
     to see loads that came after."""
-    fs, Path, _ = _fs(spark, location)
+    fs, Path, _ = commits.file_system(spark, location)
     fs.mkdirs(Path(location))
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in INDEX_SCHEMA.fields)
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}, load_id string, epoch int) USING parquet "
@@ -177,7 +102,18 @@ def create_index_table(spark: SparkSession, name: str, location: str) -> None:
 
 
 def refresh_index_table(spark: SparkSession, name: str) -> None:
-    spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    """Lists the committed loads as the table's partitions (all, if it keeps no records)."""
+    location = spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"]
+    seen = commits.visible(spark, location)
+    if seen is None:
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+        return
+    part = lambda load, epoch: f"PARTITION (load_id = '{load}', epoch = {epoch})"
+    listed = {tuple(x.split("=", 1)[1] for x in r["partition"].split("/")) for r in spark.sql(f"SHOW PARTITIONS {name}").collect()}
+    for load, epoch in sorted({(load, int(epoch)) for load, epoch in listed} - seen):
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {part(load, epoch)}")
+    if seen:
+        spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS " + " ".join(part(*s) for s in sorted(seen)))
 
 
 def write_load(index_rows: DataFrame, path: str, load_id: str, epoch: int = 0, *, sort_by_id: bool = True,
@@ -203,37 +139,66 @@ def append_index(index_rows: DataFrame, path: str, *, load_id: str | None = None
     shuffle at build time) so a lookup touches only the files covering its ids.
     """
     load_id = load_id or uuid.uuid4().hex
+    commits.check_load_id(load_id)
+    commits.begin(index_rows.sparkSession, path)
     write_load(index_rows, path, load_id, 0, sort_by_id=sort_by_id, cluster_files=cluster_files)
+    commits.commit_load(index_rows.sparkSession, path, load_id)
     return load_id
 
 
 def load_articles(articles: DataFrame, path: str, *, load_id: str | None = None, epoch: int = 0,
-                  rejects_path: str | None = None, ivf_path: str | None = None, **build) -> str:
+                  rejects_path: str | None = None, ivf_path: str | None = None, postings_path: str | None = None,
+                  **build) -> str:
     """One load of article rows: index rows to the table, rows without a vector to
     ``rejects_path`` in the same layout (with neither path nor rejects they are dropped,
-    P6), and new vectors to the IVF index in ``ivf_path``. Returns the load id."""
-    spark = articles.sparkSession
+    P6), new vectors to the IVF index in ``ivf_path`` and token statistics to the posting
+    table in ``postings_path``. All of it is visible at once, when the load is committed,
+    and nothing of a load that ends before. Returns the load id."""
+    spark, path = articles.sparkSession, path.rstrip("/")
     load_id = load_id or uuid.uuid4().hex
+    commits.check_load_id(load_id)
+    commits.begin(spark, path)
     if not build.get("id_col"):
-        build["batch_no"] = reserve_batch(spark, path, load_id, epoch)
+        articles, build["id_col"] = commits.with_dense_keys(articles, path, load_id, epoch), "_key"
     rows = build_index(articles, keep_rejected=bool(rejects_path), **build)
     if rejects_path:
         rows = materialize(rows, "load")      # the encoder runs once for both tables
+        commits.follow(spark, rejects_path, path)
         write_load(rejected_rows(rows), rejects_path, load_id, epoch)
         rows = rows.filter(~_no_vector())
     write_load(rows, path, load_id, epoch)
-    if ivf_path:
-        stored = read_index(spark, path, load_id, epoch)
-        append_ivf(stored, ivf_path, load_id, epoch)
+    if ivf_path or postings_path:
+        folders = commits.load_folders(spark, path, [(load_id, int(epoch))])
+        stored = _scan(spark, path, folders)
+        if ivf_path:
+            commits.follow(spark, f"{ivf_path}/vectors", path)
+            append_ivf(stored, ivf_path, load_id, epoch)
+        if postings_path:
+            commits.follow(spark, postings_path, path)
+            append_postings(stored, postings_path, load_id, epoch)
+    commits.commit_load(spark, path, load_id, epoch)
     return load_id
 
 
+def _scan(spark: SparkSession, path: str, folders: list[str] | None) -> DataFrame:
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in INDEX_SCHEMA.fields) + ", load_id string, epoch int"
+    if folders == []:
+        return spark.createDataFrame([], ddl).select(*INDEX_COLUMNS)
+    return spark.read.schema(ddl).option("basePath", path).parquet(*(folders or [path])).select(*INDEX_COLUMNS)
+
+
 def read_index(spark: SparkSession, path: str, load_id: str | None = None, epoch: int | None = None) -> DataFrame:
-    """Index rows of all loads, or of one."""
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in INDEX_SCHEMA.fields)
-    rows = spark.read.schema(f"{ddl}, load_id string, epoch int").parquet(path)
-    if load_id is not None:
-        rows = rows.where(F.col("load_id") == load_id)
-    if epoch is not None:
-        rows = rows.where(F.col("epoch") == epoch)
-    return rows.select(*INDEX_COLUMNS)
+    """Index rows of all committed loads, or of one. Only their folders are opened."""
+    path = path.rstrip("/")
+    seen = commits.visible(spark, path)
+    if seen is None:
+        return _scan(spark, path, None)
+    chosen = [(x, e) for x, e in seen if load_id in (None, x) and epoch in (None, e)]
+    return _scan(spark, path, commits.load_folders(spark, path, chosen))
+
+
+def compact_index(spark: SparkSession, path: str, rows_per_file: int = 1_000_000) -> str | None:
+    """Merges the loads of an index table into large files sorted by id (M1)."""
+    return commits.compact(
+        spark, path, lambda loads: _scan(spark, path, commits.load_folders(spark, path, loads)),
+        lambda rows, load_id, files: write_load(rows, path, load_id, 0, cluster_files=files), rows_per_file)
