@@ -487,6 +487,26 @@ def q_keyword_score(spark, sf):
     return r6(out, "keyword_score")
 
 
+@register("keyword_posting_index", KEYWORD_SQL)
+def q_keyword_posting_index(spark, sf):
+    """The same from a posting table stored by two loads (J2): inverted lists bucketed by a
+    key of load, hash and list, joined where they lie."""
+    from semsift.operators.keyword import keyword_scores_stored
+    from semsift.operators.search import prepare_queries
+    from semsift.plans.ingest import load_articles, read_index
+    from semsift.session import materialize, scratch_path
+    base = scratch_path(spark, "postings")
+    j = materialize(X.joined_docs(spark, sf).withColumn("raw_title", X.raw_title("text")), "kw_docs")
+    for half in (0, 1):
+        load_articles(j.where(F.pmod("doc_id", F.lit(2)) == half), f"{base}/table", id_col="doc_id", title_col="raw_title",
+                      embedding_col="embedding", postings_path=f"{base}/postings")
+    ix = read_index(spark, f"{base}/table")
+    qf = materialize(prepare_queries(fixture_queries(spark, sf), query_vec="query_vec"), "kw_queries")
+    cands = materialize(K.knn_join(qf.select("query_id", "query_vec"), ix, K.overfetch_k(SEARCH_K), with_rank=False),
+                        "kw_cands")
+    return r6(keyword_scores_stored(cands.select("query_id", "id"), qf, f"{base}/postings"), "keyword_score")
+
+
 def _page_title(html="html"):
     return F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1)
 
@@ -895,6 +915,87 @@ def q_ingest_append_twice(spark, sf):
         "title", F.md5("text").alias("text_md5"), "n_rows", "n_ids", "n_loads")
 
 
+DENSE_SQL = "SELECT unnest(range(3 * count(*))) AS id FROM documents WHERE NOT contains(text, '#REDIRECT')"
+
+
+@register("ingest_dense_keys", DENSE_SQL)
+def q_ingest_dense_keys(spark, sf):
+    """Keys of three loads into one table, the second of rows that a shuffle deals and the
+    third a repeated attempt: the numbers from 0 on, each once (S13)."""
+    from semsift.operators.embed import HashingEncoder
+    from semsift.plans.ingest import load_articles, read_index
+    from semsift.session import scratch_path
+    from semsift.sources.jsonl import read_articles, write_articles
+    base, enc = scratch_path(spark, "dense"), HashingEncoder(8)
+    write_articles(_articles(spark, sf), f"{base}/in", records_per_file=C.INGEST_BATCH)
+    arts = read_articles(spark, f"{base}/in")
+    for rows, load in ((arts, "first"), (arts.repartition("title"), "second"), (arts, "third"), (arts, "third")):
+        load_articles(rows, f"{base}/table", encoder=enc, load_id=load)
+    return read_index(spark, f"{base}/table").select("id")
+
+
+BROKEN_SQL = """
+SELECT t.kind, doc_id AS id FROM documents, (SELECT unnest(['index', 'vectors', 'rejects']) AS kind) t
+WHERE doc_id % 2 = 0 AND (t.kind = 'rejects') = (doc_id % 6 = 0)
+"""
+
+
+@register("ingest_broken_load", BROKEN_SQL)
+def q_ingest_broken_load(spark, sf):
+    """What readers see when one load is whole and the next ended between the index and the
+    approximate index: of all three tables only the first load (S12)."""
+    from pyspark.errors import AnalysisException
+    from semsift.operators.ann import build_ivf, read_ivf, write_ivf
+    from semsift.plans.ingest import load_articles, read_index
+    from semsift.session import scratch_path
+    base = scratch_path(spark, "broken")
+    docs = X.table(spark, sf, "documents").select("doc_id", "text", X.raw_title().alias("title"))
+    vector = F.when(F.col("doc_id") % 6 == 0, F.array().cast("array<float>")).otherwise(
+        F.transform(F.array(*[F.lit(k) for k in range(1, 5)]), lambda k: F.pmod(F.col("doc_id") * k, F.lit(7)).cast("float")))
+    docs = docs.withColumn("embedding", vector)
+    cells = spark.createDataFrame([(0, [1.0, 1.0, 1.0, 1.0])], "cell long, centroid array<double>")
+    write_ivf(build_ivf(docs.limit(0), centroids=cells, id_col="doc_id"), f"{base}/ivf")
+    load = dict(id_col="doc_id", embedding_col="embedding", rejects_path=f"{base}/rejects")
+    load_articles(docs.where("doc_id % 2 = 0"), f"{base}/table", ivf_path=f"{base}/ivf", **load)
+    try:
+        load_articles(docs.where("doc_id % 2 = 1"), f"{base}/table", ivf_path=f"{base}/no-such-index", **load)
+    except AnalysisException:
+        pass                                    # the index rows are written, the vectors are not
+    named = lambda rows, kind: rows.select(F.lit(kind).alias("kind"), "id")
+    return named(read_index(spark, f"{base}/table"), "index").union(
+        named(read_ivf(spark, f"{base}/ivf").vectors, "vectors")).union(named(read_index(spark, f"{base}/rejects"), "rejects"))
+
+
+COMPACT_SQL = f"""
+SELECT {S.clean(X.raw_title_sql('text'))} AS title, md5(text) AS text_md5, count(*) AS n_rows, count(*) AS n_ids,
+       CAST(1 AS BIGINT) AS n_loads
+FROM documents WHERE NOT contains(text, '#REDIRECT') GROUP BY {S.clean(X.raw_title_sql('text'))}, text
+"""
+
+
+@register("stream_compaction", COMPACT_SQL)
+def q_stream_compaction(spark, sf):
+    """Micro-batches, some without a row that is kept (M2), merged into one sorted load that
+    a single commit swaps in (M1); the replaced ones are deleted."""
+    from semsift.operators.embed import HashingEncoder
+    from semsift.plans import commits
+    from semsift.plans.ingest import compact_index
+    from semsift.session import scratch_path
+    from semsift.sources.jsonl import write_articles
+    from semsift.streaming.ingest_stream import ingest_stream
+    base, arts = scratch_path(spark, "compact"), _articles(spark, sf)
+    table = f"{base}/table"
+    write_articles(arts, f"{base}/in", records_per_file=4 * C.INGEST_BATCH)
+    write_articles(arts.select("title", F.lit("#REDIRECT [[x]]").alias("text")), f"{base}/in",
+                   records_per_file=4 * C.INGEST_BATCH, mode="append")
+    ingest_stream(spark, f"{base}/in", table, f"{base}/_checkpoint", encoder=HashingEncoder(8), files_per_trigger=2)
+    compact_index(spark, table)
+    commits.expire(spark, table)
+    return spark.read.parquet(table).groupBy("title", F.col("description").alias("text")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("id").alias("n_ids"), F.countDistinct("load_id").alias("n_loads")) \
+        .select("title", F.md5("text").alias("text_md5"), "n_rows", "n_ids", "n_loads")
+
+
 CAP_PERCENT = 60
 
 CAP_SQL = f"""
