@@ -1,6 +1,8 @@
 """Small shared helpers of the training-data operators."""
 from __future__ import annotations
 
+import ctypes
+import gc
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +59,17 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return table
 
 
+def give_back() -> None:
+    """Returns a task's freed memory to the system (call it when the task's rows are out):
+    a worker process lives on, and what it holds on to counts against later tasks."""
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def pick(df: DataFrame, **cols: str) -> DataFrame:
     """Only the named columns under private names, so that extra input columns cannot clash."""
     return df.select(*[F.col(f"`{src}`").alias(new) for new, src in cols.items()])

@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semsift.llm.common import pick
-from semsift.llm.tokenize import unit_tokenizer
+from semsift.llm.common import give_back, pick
+from semsift.llm.tokenize import UnitTokenizer
 from semsift.llm.wordhash import slices
 
 WINDOW = 1024
@@ -120,7 +120,13 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         source = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = unit_tokenizer(source.value)
+        try:
+            yield from windows(batches)
+        finally:
+            give_back()
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = UnitTokenizer(source.value)        # of this task; its units go with it
         packer, out = SumOfSquares(window), _Rows(TaskContext.get().partitionId() << 36)
         for batch in batches:
             ids_col, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from semsift.llm.common import pick
+from semsift.llm.common import give_back, pick
 from semsift.llm.tokenize import PATTERN, _merge_ranks
 
 #: Characters whose class may differ between the two Unicode tables; everything outside
@@ -174,6 +174,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 size.append(len(text) if text.isascii() else len(text.encode()))
             yield pa.record_batch([batch.column(0), *(pa.array(c, pa.int64()) for c in (size, tokens, direct))],
                                   names=["id", "n_bytes", "n_tokens", "n_direct"])
+        del counter
+        give_back()
 
     rows = pick(docs, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType

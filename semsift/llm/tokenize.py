@@ -20,8 +20,9 @@ from semsift.llm.wordhash import hash_bytes, text_bytes
 
 #: Characters that the tokenizer may take for white space, beyond the six ASCII ones.
 ODD_SPACE = "[\x1c-\x1f\x85  ᠎ -​    　﻿]"
-#: Units kept between slices; beyond it a worker starts over (ids stay the same).
-MAX_KNOWN = 1_500_000
+#: Units kept between slices, some 40 bytes each; beyond it a task starts over (ids stay
+#: the same).
+MAX_KNOWN = 400_000
 
 
 def unit_bounds(data: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -154,18 +155,6 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.concatenate([[0], np.cumsum(sizes)])
 
 
-_OF_PROCESS: dict[int, UnitTokenizer] = {}
-
-
-def unit_tokenizer(source: str) -> UnitTokenizer:
-    """One tokenizer per worker process and file, so that later tasks find units known."""
-    key = hash(source)
-    if key not in _OF_PROCESS:
-        _OF_PROCESS.clear()
-        _OF_PROCESS[key] = UnitTokenizer(source)
-    return _OF_PROCESS[key]
-
-
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All positions of the ranges ``begin[i] .. begin[i] + size[i]``, one after the other."""
     total = int(size.sum())
