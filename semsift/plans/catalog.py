@@ -827,6 +827,29 @@ def q_xml_dump_scan(spark, sf):
     return prepare_dump(spark, path)
 
 
+PAGE_CAP_SQL = f"""
+WITH r AS (SELECT {X.raw_title_sql('text')} AS title, {X.redirect_text_sql('doc_id', 'text')} AS body,
+                  2 * row_number() OVER (ORDER BY doc_id) - 1 AS page, count(*) OVER () AS n FROM documents)
+SELECT title, {_sql_normalize('body')} AS text FROM r
+WHERE page <= n AND {_sql_has_text('body')} AND NOT {_sql_prepare_redirect('body')}
+"""
+
+
+@register("dump_page_cap", PAGE_CAP_SQL)
+def q_dump_page_cap(spark, sf):
+    """A dump in several files, a malformed page after every good one, scanned up to a cap of
+    half its pages: malformed and redirect pages count, files behind the cap stay closed (S4)."""
+    from semsift.plans.prepare import prepare_dump
+    from semsift.session import scratch_path
+    from semsift.sources.xml_dump import render_pages
+    d = X.table(spark, sf, "documents").repartitionByRange(24, "doc_id").sortWithinPartitions("doc_id")
+    d = d.select(X.raw_title().alias("title"), X.redirect_text().alias("text"))
+    broken = F.lit("\n  <page>\n    <title>x</titl>\n    <revision><text>y</text></revision>\n  </page>")
+    path = scratch_path(spark, "dump-cap")
+    render_pages(d).select(F.concat("value", broken).alias("value")).write.mode("overwrite").text(path)
+    return prepare_dump(spark, path, max_pages=d.count())
+
+
 def _stats_summary(idx: DataFrame, keep_id: bool = False) -> DataFrame:
     return idx.select(
         *(["id"] if keep_id else []),

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semsift.sources.lines import capped_runs, files_in, numbered_lines
+
 PAGE_SCHEMA = ("title string, revision array<struct<text:struct<_VALUE:string>>>, "
                "_corrupt_record string")
 
@@ -17,15 +19,21 @@ PAGE_SCHEMA = ("title string, revision array<struct<text:struct<_VALUE:string>>>
 def read_dump(spark: SparkSession, path: str, max_pages: int | None = None) -> DataFrame:
     """``(title, raw)`` per parsable ``<page>`` of the dump files at ``path``.
 
-    ``max_pages`` caps pages *seen* (malformed and redirect pages count), applied
-    before any filter, as a plain ``limit``.
+    ``max_pages`` caps pages *seen* (malformed and redirect pages count), before any
+    filter: the first ones of the files in path order. Files behind them are not opened.
     """
-    rec = spark.read.option("lineSep", "</page>").text(path)
-    pages = (rec.filter(F.col("value").contains("<page>"))
-             .select(F.concat(F.lit("<page>"), F.substring_index("value", "<page>", -1),
-                              F.lit("</page>")).alias("xml")))
-    if max_pages is not None:
-        pages = pages.limit(int(max_pages))
+    def pages_of(paths) -> DataFrame:
+        return spark.read.option("lineSep", "</page>").text(paths).filter(F.col("value").contains("<page>"))
+
+    if max_pages is None:
+        rec = pages_of(path)
+    else:
+        rec = spark.createDataFrame([], "value string")
+        if max_pages > 0:
+            read = lambda files: numbered_lines(pages_of(files))
+            for run in capped_runs(files_in(spark, path), read, None, int(max_pages)):
+                rec = rec.unionByName(run.select("value"))
+    pages = rec.select(F.concat(F.lit("<page>"), F.substring_index("value", "<page>", -1), F.lit("</page>")).alias("xml"))
     parsed = pages.select(F.from_xml("xml", PAGE_SCHEMA, {
         "rowTag": "page", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false",
         "columnNameOfCorruptRecord": "_corrupt_record"}).alias("p"))

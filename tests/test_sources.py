@@ -146,3 +146,24 @@ def test_exact_ingest_cap(spark, tmp_path):
     for cap in range(1, 10):
         got = sorted((r["title"], r["text"]) for r in read_articles_exact_cap(spark, str(tmp_path), cap).collect())
         assert got == sorted(_simulate_cap(files, cap)), cap
+
+
+def test_files_behind_the_cap_are_not_opened(spark, tmp_path, monkeypatch):
+    import functools
+    from semsift.sources import jsonl, lines, xml_dump
+    from semsift.sources.jsonl import read_articles_exact_cap
+    once = functools.partial(lines.capped_runs, first=1)
+    monkeypatch.setattr(jsonl, "capped_runs", once)
+    monkeypatch.setattr(xml_dump, "capped_runs", once)
+    for i in range(9):
+        (tmp_path / f"f{i}.json").write_text('{"title": "t%d", "text": "x"}\n' % i * 2)
+        (tmp_path / f"d{i}.xml").write_text(f"<page><title>t{i}</title><revision><text>x</text></revision></page>\n" * 2)
+    out = read_articles_exact_cap(spark, str(tmp_path), 3)
+    assert out.count() == 3 and {f.rsplit("/", 1)[1] for f in out.inputFiles()} == {"f0.json", "f1.json", "f2.json"}
+    (tmp_path / "dump").mkdir()
+    for i in range(9):
+        (tmp_path / f"d{i}.xml").rename(tmp_path / "dump" / f"d{i}.xml")
+    pages = read_dump(spark, str(tmp_path / "dump"), max_pages=7)
+    assert pages.count() == 7 and len(pages.inputFiles()) == 7
+    assert read_dump(spark, str(tmp_path / "dump"), max_pages=0).count() == 0
+    assert read_dump(spark, str(tmp_path / "dump"), max_pages=100).count() == 18
