@@ -19,6 +19,7 @@ from semsift.operators.scoring import title_score
 from semsift.operators.search import hybrid_search
 from semsift.plans import fixtures as X
 from semsift.plans import sqlfrag as S
+from semsift.plans.derived import derived
 from semsift.plans.ingest import build_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,14 +59,22 @@ def _index_sql() -> str:
       FROM jt)"""
 
 
-def vector_index(spark: SparkSession, sf: str) -> DataFrame:
-    j = X.joined_docs(spark, sf).withColumn("raw_title", X.raw_title("text"))
+def vector_index(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
+    j = (docs or X.joined_docs(spark, sf)).withColumn("raw_title", X.raw_title("text"))
     return build_index(j, id_col="doc_id", title_col="raw_title", text_col="text",
                        embedding_col="embedding")
 
 
-def fixture_queries(spark: SparkSession, sf: str) -> DataFrame:
-    j = X.joined_docs(spark, sf)
+def stored_vector_index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with vectors and the index over them, each computed once for the files."""
+    inputs = [X.table(spark, sf, t) for t in ("documents", "embeddings")]
+    docs = derived(inputs, f"joined-docs {X.VECTOR_DIM}", lambda: X.joined_docs(spark, sf))
+    return docs, derived(inputs, f"vector-index {X.VECTOR_DIM}",
+                         lambda: vector_index(spark, sf, docs).sortWithinPartitions("id"))
+
+
+def fixture_queries(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
+    j = docs or X.joined_docs(spark, sf)
     return j.select(F.col("doc_id").alias("query_id"), X.query_text().alias("query"),
                     F.col("embedding").alias("query_vec"))
 
@@ -121,8 +130,8 @@ WITH {_index_sql()},
 
 @register("hybrid_search", HYBRID_SQL)
 def q_hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    res = hybrid_search(fixture_queries(spark, sf), vector_index(spark, sf), SEARCH_K,
-                        query_vec="query_vec")
+    docs, ix = stored_vector_index(spark, sf)
+    res = hybrid_search(fixture_queries(spark, sf, docs), ix, SEARCH_K, query_vec="query_vec")
     return r6(res, "score", "knn_score", "keyword_score", "title_score")
 
 
@@ -727,7 +736,9 @@ def q_hybrid_search_text(spark, sf):
     from semsift.operators.embed import HashingEncoder
     b = X.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"),
                                                 F.col("text").alias("query"))
-    res = hybrid_search(b, text_index(spark, sf), SEARCH_K, encoder=HashingEncoder(HASH_DIM))
+    ix = derived([X.table(spark, sf, "documents")], f"text-index hashing {HASH_DIM}",
+                 lambda: text_index(spark, sf).sortWithinPartitions("id"))
+    res = hybrid_search(b, ix, SEARCH_K, encoder=HashingEncoder(HASH_DIM))
     return r6(res, "score", "knn_score", "keyword_score", "title_score")
 
 
@@ -1178,9 +1189,9 @@ def q_hybrid_search_ivf(spark, sf):
     """Hybrid search whose candidates come from 8 cells of an IVF index, the approximate
     candidate stage of the original, with given centroids (label means)."""
     from semsift.operators.ann import build_ivf
-    ix = vector_index(spark, sf)
+    docs, ix = stored_vector_index(spark, sf)
     ivf = build_ivf(ix, centroids=cell_centroids(spark, sf))
-    res = hybrid_search(fixture_queries(spark, sf), ix, SEARCH_K, query_vec="query_vec", ivf=ivf,
+    res = hybrid_search(fixture_queries(spark, sf, docs), ix, SEARCH_K, query_vec="query_vec", ivf=ivf,
                         nprobe=IVF_NPROBE)
     return r6(res, "score", "knn_score", "keyword_score", "title_score")
 
