@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from semsift.llm.common import SPACES, parallelism, pick, stage, text_or_empty
 from semsift.session import scratch_path
 
-INDEX_SCHEMA = "digest binary, keep_id long, keep_row long, first_batch int"
+INDEX_SCHEMA = "digest binary, keep_id long, keep_row long, first_batch int, delivery string"
 
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,11 +33,13 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 class DigestIndex:
-    """A digest table in ``path``: ``buckets`` buckets, each file sorted by digest."""
+    """A digest table in ``path``: ``buckets`` buckets, each file sorted by digest. ``delivery``
+    names this use of it: digests that it adds are its own, others were there before."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int):
         self.spark, self.path, self.buckets = spark, path, buckets
-        self.table = f"digest_index_{uuid.uuid4().hex}"
+        self.delivery = uuid.uuid4().hex
+        self.table = f"digest_index_{self.delivery}"
         spark.sql(f"CREATE TABLE {self.table} ({INDEX_SCHEMA}) USING parquet "
                   f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
 
@@ -50,7 +52,8 @@ class DigestIndex:
         first = (batch.groupBy("digest")
                  .agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"))
                  .select("digest", F.col("first.id").alias("keep_id"),
-                         F.col("first.row").alias("keep_row"), F.lit(batch_no).alias("first_batch")))
+                         F.col("first.row").alias("keep_row"), F.lit(batch_no).alias("first_batch"),
+                         F.lit(self.delivery).alias("delivery")))
         new = first.hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
         # rows of a bucket arrive together and sorted, so every append adds one file a bucket
         (new.repartition(self.buckets, "digest").write.mode("append").format("parquet")
@@ -59,13 +62,15 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.table)
 
     def resolve(self, rows: DataFrame) -> DataFrame:
-        """``(row, id, digest, keep_id, keep_row, group_size)`` for rows whose digests are indexed.
+        """``(row, id, digest, keep_id, keep_row, delivery, group_size)`` for rows whose digests are
+        indexed.
 
         Group sizes are summed before the join, so a digest that a third of all rows
         share meets the index as one row; rows then pick up their group's verdict in a
         join that adaptive execution can split."""
         sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
-        groups = sizes.join(self.rows(), "digest").select("digest", "keep_id", "keep_row", "group_size")
+        groups = sizes.join(self.rows(), "digest").select(
+            "digest", "keep_id", "keep_row", "delivery", "group_size")
         # written, so that the join has exchanges of its own on both sides and can be split
         return rows.join(stage(groups, "digest-groups"), "digest")
 
@@ -81,7 +86,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The rows enter a new index in ``loads`` appends by ascending id ranges (null ids
     last), as deliveries of a growing corpus would, so the first one to hold a text
     also holds its smallest id. The index has as many buckets as the session has shuffle
-    partitions unless ``buckets`` says otherwise, so an append writes one file a bucket."""
+    partitions unless ``buckets`` says otherwise, so an append writes one file a bucket.
+    ``index_path`` may hold the index of earlier deliveries: a text that is known from one of
+    them is kept in none of these rows, and ``keep_id`` is the row that stayed then;
+    ``group_size`` counts the rows of this delivery."""
     spark = docs.sparkSession
     rows = digest_rows(docs, id_col, text_col)
     lo, hi = rows.agg(F.min("id"), F.max("id")).first()
@@ -92,7 +100,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     load = F.when(F.col("id").isNull(), loads).otherwise(part)
     for n in range(loads + 1):
         index.append(rows.where(load == n), n)
-    kept = (F.col("row") == F.col("keep_row"))
+    kept = (F.col("row") == F.col("keep_row")) & F.coalesce(F.col("delivery") == index.delivery, F.lit(False))
     return index.resolve(rows).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", kept.alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))

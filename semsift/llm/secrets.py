@@ -3,7 +3,8 @@
 Every text is searched for assignments, access keys and long hex runs, and for other
 long random-looking strings. The hash of each candidate is counted over the distinct
 repositories and owners that carry it: what many owners share is a copied example, what
-one owner has and looks random is taken for a live credential. The random-looking
+one owner has in few repositories and looks random is taken for a live credential, and the
+rest (two owners, or one that copies it widely) is unclear. The random-looking
 strings are reported only where that count finds them live; the first three kinds
 always are.
 
@@ -42,9 +43,11 @@ RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 MIN_BITS = 3.3
 #: Owners from which a candidate is a copied example.
 EXAMPLE_OWNERS = 3
+#: Repositories up to which one owner's candidate may be live.
+LIVE_REPOS = 3
 
 FOUND = ("row long, doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, "
-         "base_sha256 string, found array<struct<start:int,kind:int,end:int,hash:string,looks_live:boolean>>")
+         "base_sha256 string, found array<struct<start:int,kind:int,end:int,hash:string,looks_live:boolean,first:boolean>>")
 
 
 def entropy(value: str) -> float:
@@ -84,7 +87,7 @@ def spans_text(found) -> str:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()),
-                      ("hash", pa.string()), ("looks_live", pa.bool_())])
+                      ("hash", pa.string()), ("looks_live", pa.bool_()), ("first", pa.bool_())])
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(),
              pa.string(), pa.list_(span)]
     names = ["row", "doc_id", "repo", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "found"]
@@ -96,17 +99,18 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = texts[i].as_py() or ""
             base = find_base(text)
             more = sorted(base + find_random(text, base))
-            n = Counter(k for _, k, _, _ in base)
+            n, first = Counter(k for _, k, _, _ in base), {v: s for s, _, _, v in reversed(more)}
             rows.append((*(h[i] for h in head), n[0], n[1], n[2],
                          hashlib.sha256(spans_text(base).encode()).hexdigest(),
-                         [{"start": s, "kind": k, "end": e, "looks_live": looks_live(v),
+                         [{"start": s, "kind": k, "end": e, "looks_live": looks_live(v), "first": first[v] == s,
                            "hash": hashlib.sha256(v.encode()).hexdigest()[:32]} for s, k, e, v in more]))
         if rows:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "repo",
-                 owner_col: str = "owner", example_owners: int = EXAMPLE_OWNERS) -> tuple[DataFrame, DataFrame]:
+                 owner_col: str = "owner", example_owners: int = EXAMPLE_OWNERS,
+                 live_repos: int = LIVE_REPOS) -> tuple[DataFrame, DataFrame]:
     """``(documents, ownership)``.
 
     ``documents``: ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live,
@@ -121,14 +125,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("row", "repo", "owner", "f.*")
     owned = (hits.groupBy("hash", F.coalesce("owner", F.lit("")).alias("owner"),
                           F.coalesce("repo", F.lit("")).alias("repo"))
-             .agg(F.max("looks_live").alias("looks_live")))
-    by_owner = owned.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"),
+             .agg(F.max("looks_live").alias("looks_live"), F.count_if("first").alias("documents")))
+    by_owner = owned.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("documents").alias("documents"),
                                                   F.max("looks_live").alias("looks_live"))
     ownership = stage(by_owner.groupBy("hash").agg(
         F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"),
-        F.max("looks_live").alias("looks_live")).select(
-        "hash", "repos", "owners", F.when(F.col("owners") >= example_owners, "example")
-        .when((F.col("owners") == 1) & F.col("looks_live"), "live").otherwise("unclear").alias("verdict")),
+        F.sum("documents").alias("documents"), F.max("looks_live").alias("looks_live")).select(
+        "hash", "repos", "owners", "documents", F.when(F.col("owners") >= example_owners, "example")
+        .when((F.col("owners") == 1) & (F.col("repos") <= live_repos) & F.col("looks_live"), "live").otherwise("unclear").alias("verdict")),
         "secret-owners")
     judged = hits.join(ownership.select("hash", "verdict", "owners"), "hash")
     shown = F.filter("judged", lambda s: (s["kind"] < 3) | (s["verdict"] == "live"))

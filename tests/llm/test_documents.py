@@ -35,6 +35,31 @@ def test_secret_spans(spark):
         assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
 
 
+def test_secret_ownership_by_hand(spark):
+    """Counts and verdicts of every candidate against a count over all texts."""
+    from semsift.llm import secrets
+    docs = [(r["doc_id"], r["text"], f"{r['source']}/{r['lang']}", r["source"]) for r in documents(spark, "/root/testdata/sf0.01").collect()]
+    wide, shared = "Qw3Er5Ty7Ui9Op1As2Df4Gh6", "Zx8Cv6Bn4Mk2Lj1Hg3Fd5Sa7"
+    docs += [(5000 + k, f"{wide} and {wide}", f"r{k}", "one") for k in range(5)]
+    docs += [(6000 + k, f"key {shared}", "r", f"o{k % 2}") for k in range(4)] + [(7000, "secret=Ab3De5Gh7Jk9Mn1Pq", None, None)]
+    found, ownership = secrets.scan_secrets(spark.createDataFrame(docs, "doc_id long, text string, repo string, owner string"))
+    carried = defaultdict(set)
+    for n, (_, text, repo, owner) in enumerate(docs):
+        base = secrets.find_base(text or "")
+        for *_, value in base + secrets.find_random(text or "", base):
+            carried[value].add((n, repo or "", owner or ""))
+    want = {}
+    for value, rows in carried.items():
+        repos, owners = {(o, r) for _, r, o in rows}, {o for _, _, o in rows}
+        verdict = "example" if len(owners) >= 3 else "live" if len(owners) == 1 and len(repos) <= 3 \
+            and secrets.looks_live(value) else "unclear"
+        want[hashlib.sha256(value.encode()).hexdigest()[:32]] = (len(repos), len(owners), len({n for n, *_ in rows}), verdict)
+    got = {r["hash"]: (r["repos"], r["owners"], r["documents"], r["verdict"]) for r in ownership.collect()}
+    assert got == want and {v[3] for v in want.values()} == {"live", "unclear"}
+    spans = {r["doc_id"]: r["spans"] for r in found.collect()}
+    assert spans[5000] == "" and spans[6000] == "" and spans[7000].startswith("assign:")
+
+
 def test_secret_base_by_words(spark):
     from semsift.llm.secrets import scan_secrets
     docs = documents(spark, "/root/testdata/sf0.01")
@@ -69,6 +94,20 @@ def test_exact_dedup(spark):
     assert len(kept) == len(group) and set(kept.values()) == {1}
 
 
+def test_exact_dedup_twice_on_one_index(spark):
+    """A second delivery keeps only texts that the first did not hold, also the same one."""
+    from semsift.llm.exact_dedup import exact_dedup
+    from semsift.session import scratch_path
+    path = scratch_path(spark, "index")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    run = lambda rows: {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"])
+                        for r in exact_dedup(frame(rows), buckets=2, index_path=path).collect()}
+    first = [(1, "a"), (2, "b"), (3, "a")]
+    assert run(first) == {1: (1, 2, True), 2: (2, 1, True), 3: (1, 2, False)}
+    assert run(first) == {1: (1, 2, False), 2: (2, 1, False), 3: (1, 2, False)}
+    assert run([(0, "a"), (9, "c"), (10, "c")]) == {0: (1, 1, False), 9: (9, 2, True), 10: (9, 2, False)}
+
+
 def test_digest_index_takes_new_loads(spark):
     from semsift.llm.exact_dedup import DigestIndex, digest_rows
     from semsift.session import scratch_path
