@@ -1,7 +1,7 @@
 """Column -> Column wiki-markup cleaning and article normalisation.
 
-Steps C2..C12 are one ``regexp_replace`` each (Java regex, JVM-side, codegen).
-Only the HTML entity decode (C1) needs Python: an Arrow-batched pandas UDF.
+Steps C2..C12 are one ``regexp_replace`` each (Java regex, JVM-side, codegen); the HTML
+entity decode (C1) is an expression too.
 """
 from __future__ import annotations
 

@@ -568,6 +568,7 @@ def q_candidate_lookup(spark, sf):
 
 _RE2_WS = ("\\t\\n\\x0b\\x0c\\r \\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
            "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}")
+# fixed values: the cleaning patterns in the oracle's syntax, in their order
 RE2_STEPS = (
     ("(?s)<!--.*?-->", ""),
     ("(?s)<ref[^>/]*?>.*?</ref>", ""),
@@ -1089,22 +1090,21 @@ def q_ingest_rejects(spark, sf):
 
 VOCAB_SQL = f"""
 WITH w AS (SELECT doc_id, {S.words('text')} AS ws FROM documents),
-l AS (SELECT coalesce(ws[1], '') AS token, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM w)
+x AS (SELECT doc_id, unnest(ws) AS token, unnest(range(len(ws))) AS i FROM w),
+l AS (SELECT token, row_number() OVER (ORDER BY doc_id, i) - 1 AS n FROM x)
 SELECT token, max(n) AS token_id FROM l GROUP BY token
 """
 
 
 @register("vocab_scan", VOCAB_SQL)
 def q_vocab_scan(spark, sf):
-    """A vocabulary file of the documents' first words, with repeats: ids are line
-    numbers, the last one counts (S10)."""
+    """A vocabulary file of all words of the documents, with repeats: ids are line numbers,
+    the last one counts (S10)."""
     from semsift.operators.encode import read_vocab
     from semsift.session import scratch_path
-    d = X.table(spark, sf, "documents")
-    first = F.coalesce(F.get(T.split_words(F.col("text")), F.lit(0)), F.lit(""))
+    words = X.table(spark, sf, "documents").select("doc_id", F.posexplode(T.split_words(F.col("text"))).alias("i", "value"))
     path = scratch_path(spark, "vocab")
-    lines = d.select("doc_id", first.alias("value")).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
-    lines.select("value").write.text(path)
+    words.repartitionByRange(4, "doc_id", "i").sortWithinPartitions("doc_id", "i").select("value").write.text(path)
     return read_vocab(spark, path)
 
 
