@@ -59,6 +59,21 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return table
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def passing_shuffles(spark: SparkSession):
+    """Inside, the shuffle files of a query are deleted when it ends rather than when the
+    driver's garbage is collected: for chains of steps whose results are all written."""
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
 def give_back() -> None:
     """Returns a task's freed memory to the system (call it when the task's rows are out):
     a worker process lives on, and what it holds on to counts against later tasks."""

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semsift.llm.common import parallelism, release, stage
+from semsift.llm.common import parallelism, passing_shuffles, release, stage
 from semsift.llm.wordhash import mix64, slices, word_hashes
 from semsift.session import scratch_path
 
@@ -58,17 +58,16 @@ END = np.uint64(0x5EED0FE9D0C5E9D1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 BLOCKS = "block long, words binary, numbers binary, tokens binary, ids array<long>, held array<boolean>"
-REQUEST = "block long, part int, kind int, size long, keys binary, amounts binary"
+REQUEST = "block long, part int, kind int, size long, keys binary, amounts binary, bounds binary"
 ANSWER = "block long, part int, kind int, size long, sums binary, total double, found long"
 #: One row a block: its documents' scores by the dense contexts, and its living positions.
-STATE = "size long, pos binary, p binary, n binary, c binary, before binary, inside binary"
-ENDED = ("block long, ids array<long>, held array<boolean>, tokens binary, known binary, base binary, score binary, "
-         "inside_n binary, " + STATE)
-#: What a block puts out in a step: requests, its living positions with their places among
-#: the keys it asks for, and what kept contexts change in its documents' scores.
-ADVANCED = ("block long, part int, kind int, keys binary, amounts binary, bounds binary, " + STATE
-            + ", gain_at binary, n_at binary, c_at binary, docs binary, change binary, entered binary")
-GAIN, NEXT_N, NEXT_C, LIVING, CHANGE = 0, 1, 2, -1, -2
+STATE = "size long, pos binary, p binary, n binary, c binary, inside binary"
+#: What a block puts out in a step: requests, its living positions, what kept contexts
+#: change in its documents' scores, and at the end of the dense steps these scores.
+STEPS = ("block long, part int, kind int, keys binary, amounts binary, bounds binary, " + STATE
+         + ", docs binary, change binary, entered binary, ids array<long>, held array<boolean>, tokens binary, "
+         "known binary, base binary, score binary, inside_n binary")
+GAIN, NEXT_N, NEXT_C, LIVING, CHANGE, SCORED = 0, 1, 2, -1, -2, -3
 SPARSE_ANSWER = "block long, part int, kind int, size long, sums binary"
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
           "base_score double, score double, n_in_context long")
@@ -76,6 +75,8 @@ SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 def _pack(values: np.ndarray) -> bytes:
     """Byte planes, compressed: small numbers in wide types cost little."""
+    if not len(values):
+        return b""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
     return pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
 
@@ -188,13 +189,10 @@ class _Block:
         return out
 
     def contexts(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions behind a context of this length that is to be tested, the distinct
+        """Positions behind a context of this length that is to be looked at, the distinct
         contexts' keys, and the positions' places among these. A context is the n-gram that
         ends one position before, so its place among those is known."""
-        tested = (self.behind(length) >= MIN_CONTEXT) & self.alive(length - 1)[0]
-        if length > 1:
-            tested &= self.behind(length) < self.behind(length - 1)
-        at = np.flatnonzero(tested)
+        at = np.flatnonzero((self.behind(length) >= MIN_CONTEXT) & self.alive(length - 1)[0])
         grams, keys, where = self.gram(length)
         if length > 1:
             place = np.zeros(len(self.words), np.int64)
@@ -217,8 +215,11 @@ class _Block:
             at, _, where = self.contexts(k)
             self.alive(k)       # by the predictions of length k - 1, as when it was asked for
             self.length = k
+            self.going = np.zeros(len(self.p), bool)
             if len(at):
-                kept = at[(np.concatenate(self.sums[_gain_kind(k)]) > 0)[where]]
+                flag = np.concatenate(self.sums[_gain_kind(k)]).astype(np.int64)[where]
+                self.going[at] = flag >= 2
+                kept = at[flag % 2 == 1]
                 n = self.behind(k)[kept]
                 self.p = self.p.copy()
                 self.p[kept] = (self.counts(k + 1)[kept] + PRIOR * self.p[kept]) / (n + PRIOR)
@@ -244,40 +245,55 @@ class _Block:
             parent = parent[at]
             n, c = self.behind(step)[at], self.counts(step + 1)[at]
             left_out = (np.maximum(c - 1, 0) + PRIOR * parent) / (n - 1 + PRIOR)
-            gain = np.where(self.train[at], np.log10(left_out / parent), 0.0)
-            gain = np.bincount(where, weights=gain, minlength=len(keys))
-            out += self._ask(_gain_kind(step), keys, gain.astype(np.float32), parts)    # half of the bytes are 0
+            proper = n < self.behind(step - 1)[at] if step > 1 else True
+            gain = np.where(self.train[at] & proper, np.log10(left_out / parent), 0.0)
+            add = lambda x: np.bincount(where, weights=x, minlength=len(keys)).astype(np.float32)
+            out += self._ask(_gain_kind(step), keys, add(gain), parts, add(_most(self.train[at], c, parent)))
         return out
 
-    def _ask(self, kind: int, keys: np.ndarray, amounts: np.ndarray, parts: int) -> list[dict]:
-        """Sorted keys fall into parts by their leading bits, a run of them for each part."""
-        edge = np.searchsorted(keys >> np.uint64(32), (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
-                               // np.uint64(parts), "left")
-        return [{"block": self.number, "part": p, "kind": kind, "size": b - a,
-                 "keys": _pack(np.diff(keys[a:b], prepend=np.uint64(0))),      # the gaps of sorted keys are shorter
-                 "amounts": _pack(amounts[a:b].astype("<f8"))}
-                for p, (a, b) in enumerate(zip(edge, edge[1:])) if a < b]
+    def _ask(self, kind: int, keys: np.ndarray, amounts: np.ndarray, parts: int, bounds=None) -> list[dict]:
+        return _split(self.number, kind, keys, amounts, bounds, parts)
 
-    def ended(self, length: int, go_on: bool) -> dict:
+    def ended(self, length: int, go_on: bool, row: dict, parts: int) -> list[dict]:
         """The documents' scores by contexts of up to ``length``; if longer ones follow, the
-        living positions with the counts of the next length."""
+        living positions with the counts of this length, and requests for the next."""
         per = lambda x: np.bincount(self.doc, weights=x, minlength=len(self.tokens))
         known, base = per(self.counts(1) > 0), per(np.log10(self.predict(0)))
         p = self.predict(length)
-        at = np.zeros(0, np.int64)
+        out = [{"block": self.number, "part": 0, "kind": SCORED, "ids": self.ids, "held": self.held.tolist(),
+                "tokens": self.tokens.tobytes(), "known": known.astype("<i8").tobytes(), "base": base.tobytes(),
+                "score": per(np.log10(p)).tobytes(), "inside_n": per(self.in_context).astype("<i8").tobytes()}]
         if go_on:
-            at = np.flatnonzero(self.alive(length)[0] & (self.behind(length + 1) >= MIN_CONTEXT))
-        living = (p, self.behind(length + 1), self.counts(length + 2), self.behind(length)) if len(at) else (p,) * 4
-        return {"block": self.number, "ids": self.ids, "held": self.held.tolist(), "tokens": self.tokens.tobytes(),
-                "known": known.astype("<i8").tobytes(), "base": base.tobytes(), "score": per(np.log10(p)).tobytes(),
-                "inside_n": per(self.in_context).astype("<i8").tobytes(),
-                **_state(at, *[x[at] for x in living], self.in_context[at])}
+            at = np.flatnonzero(self.alive(length)[0] & self.going & (self.behind(length + 1) >= MIN_CONTEXT))
+            if len(at):
+                n, c = self.behind(length)[at], self.counts(length + 1)[at]
+                out.append({"block": self.number, "part": 0, "kind": LIVING, **_state(at, p[at], n, c, self.in_context[at])})
+                out += _Windows(row, at).ask_counts(self.number, np.ones(len(at), bool), next_length(length), parts)
+        return out
+
+
+def _state(pos, p, n, c, inside) -> dict:
+    return {"size": len(pos), "pos": _pack(np.diff(pos, prepend=0).astype("<u4")), "p": _pack(p.astype("<f8")),
+            "n": _pack(n.astype("<u8")), "c": _pack(c.astype("<u8")),
+            "inside": _pack(inside.astype("u1"))}
+
+
+def _split(block: int, kind: int, keys: np.ndarray, amounts: np.ndarray, bounds, parts: int) -> list[dict]:
+    """Requests: sorted keys fall into parts by their leading bits, a run of them for each part."""
+    edge = np.searchsorted(keys >> np.uint64(32), (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
+                           // np.uint64(parts), "left")
+    return [{"block": block, "part": p, "kind": kind, "size": b - a,
+             "keys": _pack(np.diff(keys[a:b], prepend=np.uint64(0))),      # the gaps of sorted keys are shorter
+             "amounts": _pack(amounts[a:b].astype("<f8")),
+             "bounds": None if bounds is None else _pack(bounds[a:b].astype("<f4"))}
+            for p, (a, b) in enumerate(zip(edge, edge[1:])) if a < b]
 
 
-def _state(pos, p, n, c, before, inside) -> dict:
-    return {"size": len(pos), "pos": pos.astype("<u4").tobytes(), "p": p.astype("<f8").tobytes(),
-            "n": n.astype("<f8").tobytes(), "c": c.astype("<f8").tobytes(), "before": before.astype("<f8").tobytes(),
-            "inside": inside.astype("u1").tobytes()}
+def _most(train: np.ndarray, c: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """What each position could gain behind an extension of its context that holds only the
+    occurrences before its own word."""
+    most = (np.maximum(c - 1, 0) + PRIOR * p) / (c + PRIOR - 1)
+    return np.where(train & (c > 1), np.maximum(np.log10(most / p), 0.0), 0.0)
 
 
 def next_length(length: int) -> int:
@@ -288,92 +304,95 @@ def next_length(length: int) -> int:
 
 
 class _Windows:
-    """Hashes of the windows before positions of a block, of any length at once."""
-
-    def __init__(self, row: dict):
-        self.tokens = np.frombuffer(row["tokens"], "<i8")
-        n = int(self.tokens.sum())
-        vocabulary = np.frombuffer(row["words"], "<u8")
-        self.words = vocabulary[_unpack(row["numbers"], n, "<u4")]
-        begin = np.cumsum(self.tokens) - self.tokens
-        self.doc = np.repeat(np.arange(len(self.tokens)), self.tokens)
-        self.place = np.arange(n) - begin[self.doc]
+    """Living positions of a block: their places, words and the hashes of the windows before
+    them, of any length at once. Only documents with such positions are worked out."""
+
+    def __init__(self, row: dict, pos: np.ndarray):
+        tokens = np.frombuffer(row["tokens"], "<i8")
+        numbers = _unpack(row["numbers"], int(tokens.sum()), "<u4")
+        begin = np.cumsum(tokens) - tokens
+        self.doc = np.repeat(np.arange(len(tokens)), tokens)[pos]
+        docs, of = np.unique(self.doc, return_inverse=True)
+        size = tokens[docs]
+        first = np.cumsum(size) - size
+        n = int(size.sum())
+        numbers = numbers[np.arange(n) + np.repeat(begin[docs] - first, size)]
+        words = np.frombuffer(row["words"], "<u8")[numbers]
+        self.place = pos - begin[self.doc]
+        self.at = self.place + first[of]
+        self.word = words[self.at]
         self.train = ~np.array([bool(h) for h in row["held"]])[self.doc]
         power = np.full(n + 1, _STEP, np.uint64)
         power[0] = 1
         inverse = np.full(n + 1, np.uint64(pow(int(_STEP), -1, 1 << 64)))
         inverse[0] = 1
         power, self.inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
-        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(self.words) * power[:n], dtype=np.uint64)])
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(words) * power[:n], dtype=np.uint64)])
+
+    def keys(self, chosen: np.ndarray, length: int) -> np.ndarray:
+        at = self.at[chosen]
+        return mix64((self.total[at] - self.total[at - length]) * self.inverse[at - length] + np.uint64(length))
+
+    def next_keys(self, chosen: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Distinct contexts, and contexts with their words, and each position's place in them."""
+        windows = self.keys(chosen, length)
+        return [np.unique(k, return_inverse=True) for k in (windows, mix64(windows * _STEP + self.word[chosen]))]
 
-    def keys(self, at: np.ndarray, length: int) -> np.ndarray:
-        window = (self.total[at] - self.total[at - length]) * self.inverse[at - length]
-        return mix64(window + np.uint64(length))
+    def ask_counts(self, number: int, chosen: np.ndarray, length: int, parts: int) -> list[dict]:
+        """Requests for the counts of the contexts of a length, where they fit in the document."""
+        chosen = np.flatnonzero(chosen & (self.place >= length))
+        return [row for kind, (keys, at) in zip((NEXT_N, NEXT_C), self.next_keys(chosen, length))
+                for row in _split(number, kind, keys, np.bincount(at, self.train[chosen], len(keys)), None, parts)]
 
 
 def _advance(before: int, length: int, parts: int):
-    """Takes the answers for contexts of ``before`` words (0 in the first step), drops what is
-    done, and asks for those of ``length``."""
-    after = next_length(length)
+    """Takes the answers for contexts of ``before`` words, drops what is done, and asks for
+    the gains of those of ``length`` and the counts of the next ones."""
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         rows = right.to_pylist()
         state = next((r for r in rows if r["kind"] == LIVING and r["size"]), None)
         if state is None:
-            return _table([], ADVANCED)
+            return _table([], STEPS)
         out: list[dict] = []
         number = key[0].as_py()
-        block = _Windows(left.to_pylist()[0])
-        read = lambda name, kind: np.frombuffer(state[name], kind)
-        pos, p, n, c, was = read("pos", "<u4").astype(np.int64), *(read(k, "<f8") for k in ("p", "n", "c", "before"))
+        read = lambda name, kind: _unpack(state[name], state["size"], kind)
+        pos, p = np.cumsum(read("pos", "<u4").astype(np.int64)), read("p", "<f8")
+        n, c = (read(k, "<u8").astype(np.float64) for k in ("n", "c"))
         inside = read("inside", "u1").astype(bool)
-        if before:
-            sums = {k: np.concatenate([np.zeros(0)] + [_unpack(r["sums"], r["size"], "<f8") for r in
-                                                       sorted((r for r in rows if r["kind"] == k), key=lambda r: r["part"])])
-                    for k in (GAIN, NEXT_N, NEXT_C)}
-            flag = sums[GAIN][read("gain_at", "<u4")]
-            kept = (flag == 1) | (flag == 3)
-            if kept.any():
-                fresh = (c[kept] + PRIOR * p[kept]) / (n[kept] + PRIOR)
-                doc, at = np.unique(block.doc[pos[kept]], return_inverse=True)
-                out.append({"block": number, "part": 0, "kind": CHANGE, "size": len(doc), "docs": doc.astype("<u4").tobytes(),
-                            "change": np.bincount(at, np.log10(fresh) - np.log10(p[kept])).astype("<f8").tobytes(),
-                            "entered": np.bincount(at, ~inside[kept]).astype("<i8").tobytes()})
-                p, inside = p.copy(), inside | kept
-                p[kept] = fresh
-            far = block.place[pos] >= length
-            n_next, c_next = np.zeros(len(pos)), np.zeros(len(pos))
-            n_next[far], c_next[far] = sums[NEXT_N][read("n_at", "<u4")], sums[NEXT_C][read("c_at", "<u4")]
-            go = (flag >= 2) & (n_next >= MIN_CONTEXT)
-            pos, p, inside, was, n, c = pos[go], p[go], inside[go], n[go], n_next[go], c_next[go]
-        if not len(pos):
-            return _table(out, ADVANCED)
-        train = block.train[pos]
+        block = _Windows(left.to_pylist()[0], pos)
+        sums = {k: np.concatenate([np.zeros(0)] + [_unpack(r["sums"], r["size"], "<f8") for r in
+                                                   sorted((r for r in rows if r["kind"] == k), key=lambda r: r["part"])])
+                for k in (GAIN, NEXT_N, NEXT_C)}
+        flag = np.full(len(pos), 2)              # of the dense contexts, gains are known
+        if before > DENSE:
+            flag = sums[GAIN].astype(np.int64)[np.unique(block.keys(np.arange(len(pos)), before), return_inverse=True)[1]]
+        kept = flag % 2 == 1
+        if kept.any():
+            fresh = (c[kept] + PRIOR * p[kept]) / (n[kept] + PRIOR)
+            doc, at = np.unique(block.doc[kept], return_inverse=True)
+            out.append({"block": number, "part": 0, "kind": CHANGE, "size": len(doc), "docs": doc.astype("<u4").tobytes(),
+                        "change": np.bincount(at, np.log10(fresh) - np.log10(p[kept])).astype("<f8").tobytes(),
+                        "entered": np.bincount(at, ~inside[kept]).astype("<i8").tobytes()})
+            p, inside = p.copy(), inside | kept
+            p[kept] = fresh
+        far = np.flatnonzero(block.place >= length)
+        n_next, c_next = np.zeros(len(pos)), np.zeros(len(pos))
+        (_, n_at), (_, c_at) = block.next_keys(far, length)
+        n_next[far], c_next[far] = sums[NEXT_N][n_at], sums[NEXT_C][c_at]
+        go = (flag >= 2) & (n_next >= MIN_CONTEXT)
+        if not go.any():
+            return _table(out, STEPS)
+        at = np.flatnonzero(go)
+        p, inside, was, n, c, train = p[at], inside[at], n[at], n_next[at], c_next[at], block.train[at]
         left_out = (np.maximum(c - 1, 0) + PRIOR * p) / (n - 1 + PRIOR)
         gain = np.where(train & (n < was), np.log10(left_out / p), 0.0)
-        most = (np.maximum(c - 1, 0) + PRIOR * p) / (c + PRIOR - 1)       # behind a context of only this word
-        bound = np.where(train & (c > 1), np.maximum(np.log10(most / p), 0.0), 0.0)
-
-        def ask(kind, at, keys):
-            distinct, where = np.unique(keys, return_inverse=True)
-            add = lambda x: np.bincount(where, x, len(distinct))
-            amounts = add(gain) if kind == GAIN else add(block.train[at])
-            bounds = add(bound) if kind == GAIN else None
-            edge = np.searchsorted(distinct >> np.uint64(32), (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
-                                   // np.uint64(parts), "left")
-            for q, (a, b) in enumerate(zip(edge, edge[1:])):
-                if a < b:
-                    out.append({"block": number, "part": q, "kind": kind, "size": b - a, "keys": distinct[a:b].tobytes(),
-                                "amounts": amounts[a:b].astype("<f8").tobytes(),
-                                "bounds": bounds[a:b].astype("<f8").tobytes() if kind == GAIN else None})
-            return where.astype("<u4").tobytes()
-
-        gain_at = ask(GAIN, pos, block.keys(pos, length))
-        far = pos[block.place[pos] >= after]
-        windows = block.keys(far, after)
-        out.append({"block": number, "part": 0, "kind": LIVING, **_state(pos, p, n, c, was, inside), "gain_at": gain_at,
-                    "n_at": ask(NEXT_N, far, windows), "c_at": ask(NEXT_C, far, mix64(windows * _STEP + block.words[far]))})
-        return _table(out, ADVANCED)
+        keys, where = np.unique(block.keys(at, length), return_inverse=True)
+        add = lambda x: np.bincount(where, x, len(keys))
+        out += _split(number, GAIN, keys, add(gain), add(_most(train, c, p)), parts)
+        out += block.ask_counts(number, go, next_length(length), parts)
+        out.append({"block": number, "part": 0, "kind": LIVING, **_state(pos[at], p, n, c, inside)})
+        return _table(out, STEPS)
 
     return run
 
@@ -382,13 +401,7 @@ def _add_up_living(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Sums by key over all blocks; of a context, whether it is kept (1) and whether its
     extensions may be (2)."""
     rows = table.to_pylist()
-    keys = [np.frombuffer(r["keys"], "<u8") for r in rows]
-    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-    add = lambda name: np.bincount(where, np.concatenate([np.frombuffer(r[name], "<f8") for r in rows]), len(distinct))
-    total = add("amounts")
-    if rows[0]["kind"] == GAIN:
-        total = (total >= MIN_GAIN) + 2.0 * (add("bounds") >= MIN_GAIN)
-    answers = np.split(total[where], np.cumsum([len(k) for k in keys])[:-1])
+    answers, _ = _totals(rows)
     return _table([{"block": r["block"], "part": r["part"], "kind": r["kind"], "size": len(a), "sums": _pack(a)}
                    for r, a in zip(rows, answers)], SPARSE_ANSWER)
 
@@ -427,16 +440,23 @@ def _rows(rows: list[dict], schema: str) -> pa.Table:
     return pa.table({n: pa.array([r[n] for r in rows], kinds[t]) for n, t in fields})
 
 
-def _add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Sums by key over all blocks' requests to a part, given back in each block's order."""
-    rows = table.to_pylist()
+def _totals(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sums by key over all blocks' requests to a part: in each block's order, and once. Of
+    a gain, blocks need to know only whether the context is kept (1) and whether its
+    extensions may be (2)."""
     keys = [np.cumsum(_unpack(r["keys"], r["size"], "<u8"), dtype=np.uint64) for r in rows]
     distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(where, weights=np.concatenate(
-        [_unpack(r["amounts"], len(k), "<f8") for r, k in zip(rows, keys)]), minlength=len(distinct))
-    if rows[0]["kind"] % 2:         # of a gain, blocks need to know only whether the context is kept
-        total = (total >= MIN_GAIN).astype(np.float64)
-    answers = np.split(total[where], np.cumsum([len(k) for k in keys])[:-1])
+    add = lambda name, kind: np.bincount(where, weights=np.concatenate(
+        [_unpack(r[name], len(k), kind) for r, k in zip(rows, keys)]), minlength=len(distinct))
+    total = add("amounts", "<f8")
+    if rows[0]["bounds"] is not None:
+        total = (total >= MIN_GAIN) + 2.0 * (add("bounds", "<f4") >= MIN_GAIN)
+    return np.split(total[where], np.cumsum([len(k) for k in keys])[:-1]), total
+
+
+def _add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    rows = table.to_pylist()
+    answers, total = _totals(rows)
     out = [{"block": r["block"], "part": r["part"], "kind": r["kind"], "size": len(a), "sums": _pack(a.astype("<f8")),
             "total": None, "found": None} for r, a in zip(rows, answers)]
     out[0] |= {"total": float(total.sum()), "found": int((total > 0).sum())}      # of the part
@@ -451,9 +471,10 @@ def _requests(step: int, last: bool, parts: int, total: float, distinct: float):
     return run
 
 
-def _ended(length: int, go_on: bool, total: float, distinct: float):
+def _ended(length: int, go_on: bool, total: float, distinct: float, parts: int):
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        return _table([_Block(left, right, total, distinct).ended(length, go_on)] if left.num_rows else [], ENDED)
+        return _table(_Block(left, right, total, distinct).ended(length, go_on, left.to_pylist()[0], parts)
+                      if left.num_rows else [], STEPS)
 
     return run
 
@@ -464,6 +485,11 @@ def suffix_tree_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id"
     base_score, score, n_in_context`` (scores are log10 probabilities of the text).
     Contexts are as long as the texts and the divergence test make them, or of ``depth``
     words at most."""
+    with passing_shuffles(docs.sparkSession):
+        return _scores(docs, held_out, id_col, text_col, depth)
+
+
+def _scores(docs: DataFrame, held_out: Column, id_col: str, text_col: str, depth: int | None) -> DataFrame:
     spark = docs.sparkSession
     parts = parallelism(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
@@ -479,7 +505,7 @@ def suffix_tree_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id"
     total = distinct = 0.0
     for step in range(dense + 1):
         requests = blocks.groupBy("block").cogroup(answers.drop("total", "found").groupBy("block")).applyInArrow(
-            _requests(step, step == dense and not go_on, parts, total, distinct), REQUEST)
+            _requests(step, step == dense, parts, total, distinct), REQUEST)
         found = stage(requests.repartition(parts, "part", "kind").groupBy("part", "kind")
                       .applyInArrow(_add_up, ANSWER), "lm-sums")
         held.append(found)
@@ -489,31 +515,40 @@ def suffix_tree_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id"
             total, distinct = map(float, found.where(F.col("kind") == _count_kind(1)).agg(
                 F.coalesce(F.sum("total"), F.lit(0.0)), F.coalesce(F.sum("found"), F.lit(0))).first())
     ended = stage(blocks.groupBy("block").cogroup(answers.drop("total", "found").groupBy("block")).applyInArrow(
-        _ended(dense, go_on, total, distinct), ENDED), "lm-dense")
+        _ended(dense, go_on, total, distinct, parts), STEPS), "lm-dense", ["kind"])
     release(*held)
 
-    living = ended.where("size > 0").select("block", F.lit(LIVING).alias("kind"), *_names(STATE))
     changes = spark.createDataFrame([], "block long, docs binary, change binary, entered binary")
-    before, length, spent = 0, DENSE + 1, []
-    alive = go_on and bool(living.head(1))
-    while alive:
+    step, before, length = ended, DENSE, next_length(DENSE)
+    while True:
+        state = step.where(F.col("kind") == LIVING).select("block", "kind", *_names(STATE))
+        if not state.head(1) or (depth is not None and before > depth):
+            break
+        found = stage(step.where(F.col("kind") >= 0).repartition(parts, "part", "kind").groupBy("part", "kind")
+                      .applyInArrow(_add_up_living, SPARSE_ANSWER), "lm-sums")
+        _drop(step, GAIN, NEXT_N, NEXT_C)
+        living, last = state.unionByName(found, allowMissingColumns=True), step
         step = stage(blocks.groupBy("block").cogroup(living.groupBy("block")).applyInArrow(
-            _advance(before, length, parts), ADVANCED), "lm-living", ["kind"])
-        release(*spent)
+            _advance(before, length, parts), STEPS), "lm-living", ["kind"])
+        release(found)
+        _drop(last, LIVING)
         changes = changes.union(step.where(F.col("kind") == CHANGE).select("block", "docs", "change", "entered"))
-        state = step.where(F.col("kind") == LIVING).select("block", "kind", *_names(STATE), "gain_at", "n_at", "c_at")
-        alive = bool(state.head(1)) and (depth is None or before < depth)
-        if alive:
-            found = stage(step.where(F.col("kind") >= 0).repartition(parts, "part", "kind").groupBy("part", "kind")
-                          .applyInArrow(_add_up_living, SPARSE_ANSWER), "lm-sums")
-            spent, living = [found], state.unionByName(found, allowMissingColumns=True)
-            before, length = length, next_length(length)
-    result = ended.groupBy("block").cogroup(changes.groupBy("block")).applyInArrow(_final(total), SCORES)
+        before, length = length, next_length(length)
+    scored = ended.where(F.col("kind") == SCORED)
+    result = scored.groupBy("block").cogroup(changes.groupBy("block")).applyInArrow(_final(total), SCORES)
     spark.sql(f"DROP TABLE {name}")
-    release(blocks, *spent)
+    release(blocks)
     return result
 
 
+def _drop(step: DataFrame, *kinds: int) -> None:
+    """Deletes rows of a staged step that nothing reads any more; its changes stay."""
+    sc = step.sparkSession.sparkContext
+    for kind in kinds:
+        folder = sc._jvm.org.apache.hadoop.fs.Path(f"{step._staged_path}/kind={kind}")
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _names(schema: str) -> list[str]:
     return [f.split()[0] for f in schema.split(", ")]
 
