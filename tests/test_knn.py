@@ -78,3 +78,31 @@ def test_queries_without_vector_get_no_rows(spark):
     q = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [])], "query_id long, query_vec array<float>")
     got = K.knn_join(q, ix, 5).select("query_id", "id").collect()
     assert sorted(map(tuple, got)) == [(0, 1), (0, 2)]
+
+
+@pytest.mark.parametrize("k", [3, 60])
+def test_broadcast_takes_more_queries_than_it_sends_at_once(spark, data, monkeypatch, k):
+    M, Q, ids, ix, q = data
+    monkeypatch.setattr(K, "MAX_BROADCAST_QUERIES", 4)
+    monkeypatch.setattr(K, "MAX_HELD", 100)
+    got = sorted(tuple(r) for r in K.knn_join(q, ix, k, strategy="broadcast").select("query_id", "rank", "id").collect())
+    assert got == brute(Q, M, ids, range(len(Q)), k)
+
+
+@pytest.mark.parametrize("k", [1, 15, 700])
+def test_top_rows_of_blocks_equal_brute_force(monkeypatch, k):
+    monkeypatch.setattr(K, "TILE_QUERIES", 7)
+    rng = np.random.default_rng(0)
+    M = rng.normal(size=(600, 16))
+    M[100:200], M[300:310] = M[0], 0
+    Q, ids = np.vstack([M[:40], M[100:105] * 3]), rng.permutation(600)
+    top = K.TopK(np.vstack([Q, np.zeros((2, 16))]), k)
+    for at in range(0, 600, 70):
+        top.add(ids[at:at + 70], M[at:at + 70])
+    got = sorted(zip(top.rows.tolist(), top.ids.tolist()))
+    with np.errstate(invalid="ignore"):
+        sims = (Q @ M.T) / (np.linalg.norm(Q, axis=1)[:, None] * np.linalg.norm(M, axis=1))
+    d = np.where(np.isnan(sims), np.inf, np.round(1 - np.clip(sims, -1, 1), 6))
+    want = [(q, int(i)) for q in range(len(Q)) for i in ids[np.lexsort((ids, d[q]))[:k]]]
+    want += [(q, i) for q in (len(Q), len(Q) + 1) for i in range(min(k, 600))]
+    assert got == sorted(want)
