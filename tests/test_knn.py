@@ -106,3 +106,10 @@ def test_top_rows_of_blocks_equal_brute_force(monkeypatch, k):
     want = [(q, int(i)) for q in range(len(Q)) for i in ids[np.lexsort((ids, d[q]))[:k]]]
     want += [(q, i) for q in (len(Q), len(Q) + 1) for i in range(min(k, 600))]
     assert got == sorted(want)
+
+
+def test_zero_vectors_query_ranks_every_row(spark):
+    from semsift.plans.catalog import q_knn_zero_vectors
+    from conftest import SF_SMALL
+    out = q_knn_zero_vectors(spark, SF_SMALL)
+    assert out.count() == 400 * 500 and out.where("distance = -1").count() == 400 * 50
