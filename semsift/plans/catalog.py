@@ -1033,6 +1033,13 @@ def q_stream_compaction(spark, sf):
 
 
 CAP_PERCENT = 60
+TEXT_FILE_BYTES = 16 << 20
+
+
+def _text_files(docs: DataFrame) -> int:
+    """Files to write for the documents' texts: four, or as many as keep them to a size."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(4, -(-size // TEXT_FILE_BYTES))
 
 CAP_SQL = f"""
 WITH l AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS n, count(*) OVER () AS total FROM documents),
@@ -1054,7 +1061,7 @@ def q_ingest_exact_cap(spark, sf):
     line = F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("not json "), line)) \
         .when(F.col("doc_id") % 10 == 4, F.concat(F.lit("  "), line)).otherwise(line)
     base = scratch_path(spark, "cap")
-    lines = d.select("doc_id", line.alias("value")).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    lines = d.select("doc_id", line.alias("value")).repartitionByRange(_text_files(d), "doc_id").sortWithinPartitions("doc_id")
     _write_lines_as(spark, lines.select("value"), base, ".json")
     cap = d.count() * CAP_PERCENT // 100
     return read_articles_exact_cap(spark, base, cap).select("title", F.md5("text").alias("text_md5"))
@@ -1103,9 +1110,10 @@ def q_vocab_scan(spark, sf):
     the last one counts (S10)."""
     from semsift.operators.encode import read_vocab
     from semsift.session import scratch_path
-    words = X.table(spark, sf, "documents").select("doc_id", F.posexplode(T.split_words(F.col("text"))).alias("i", "value"))
+    d = X.table(spark, sf, "documents")
+    words = d.select("doc_id", F.posexplode(T.split_words(F.col("text"))).alias("i", "value"))
     path = scratch_path(spark, "vocab")
-    words.repartitionByRange(4, "doc_id", "i").sortWithinPartitions("doc_id", "i").select("value").write.text(path)
+    words.repartitionByRange(_text_files(d), "doc_id", "i").sortWithinPartitions("doc_id", "i").select("value").write.text(path)
     return read_vocab(spark, path)
 
 

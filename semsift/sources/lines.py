@@ -46,4 +46,4 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
     splits = rows.groupBy("f", "b").agg(F.min("m").alias("m0"), F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("f", "b", "m0", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
-    return rows.join(offsets, ["f", "b"]).select("value", (F.col("off") + F.col("m") - F.col("m0")).alias("ordinal"))
+    return rows.join(F.broadcast(offsets), ["f", "b"]).select("value", (F.col("off") + F.col("m") - F.col("m0")).alias("ordinal"))

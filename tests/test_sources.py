@@ -167,3 +167,15 @@ def test_files_behind_the_cap_are_not_opened(spark, tmp_path, monkeypatch):
     assert pages.count() == 7 and len(pages.inputFiles()) == 7
     assert read_dump(spark, str(tmp_path / "dump"), max_pages=0).count() == 0
     assert read_dump(spark, str(tmp_path / "dump"), max_pages=100).count() == 18
+
+
+def test_text_files_grow_and_lines_are_not_shuffled(spark, tmp_path, monkeypatch):
+    from semsift.plans import catalog as CT
+    from semsift.sources.lines import numbered_lines
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "doc_id long, text string")
+    assert CT._text_files(docs) == 4
+    monkeypatch.setattr(CT, "TEXT_FILE_BYTES", 500)
+    assert CT._text_files(docs) == 10
+    docs.select("text").write.text(str(tmp_path / "lines"))
+    plan = numbered_lines(spark.read.text(str(tmp_path / "lines")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
