@@ -17,6 +17,7 @@ The JVM does the tokenising; Python only runs the "model" on Arrow batches:
 from __future__ import annotations
 
 import re
+from hashlib import md5
 from typing import Iterator
 
 import numpy as np
@@ -54,6 +55,21 @@ def signed_hash_dims(tokens_col, dim: int) -> Column:
     return F.transform(_col(tokens_col), one)
 
 
+def _word_dims(words: pa.Array, dim: int) -> pa.Array:
+    """``signed_hash_dims`` of arrays of words: each distinct word of a batch is hashed once."""
+    if isinstance(words, pa.ChunkedArray):
+        words = words.combine_chunks()
+    coded = words.flatten().dictionary_encode()
+    signed = np.zeros(len(coded.dictionary), np.int32)
+    for n, word in enumerate(coded.dictionary.to_pylist()):
+        h = md5(word.encode()).digest()
+        d = int.from_bytes(h[:4], "big") % dim + 1
+        signed[n] = -d if h[4] >= 128 else d
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()),
+                                    pa.array(signed[coded.indices.to_numpy(zero_copy_only=False)]))
+
+
 def _pool_signed_arrow(dims: pa.Array, dim: int) -> pa.Array:
     """Signed one-hot token vectors -> masked mean -> unit length, on Arrow buffers."""
     if isinstance(dims, pa.ChunkedArray):
@@ -92,13 +108,17 @@ class HashingEncoder:
         def _pool(dims: pa.Array) -> pa.Array:
             return _pool_signed_arrow(dims, d)
 
-        self._pool = _pool
+        @F.arrow_udf(_FLOAT_ARRAY)
+        def _pool_words(words: pa.Array) -> pa.Array:
+            return _pool_signed_arrow(_word_dims(words, d), d)
+
+        self._pool, self._pool_words = _pool, _pool_words
 
     def token_dims(self, text_col) -> Column:
         return signed_hash_dims(model_tokens(text_col), self.dim)
 
     def embed(self, text_col) -> Column:
-        return self._pool(self.token_dims(text_col))
+        return self._pool_words(model_tokens(text_col))
 
     def vector_of(self, dims: list[int]) -> list[float]:
         """The stored (quantised) vector of one text's ``token_dims``."""

@@ -18,3 +18,14 @@ def test_encode_cases(spark, tmp_path):
     assert out[4]["input_ids"][:6] == [2, 6, 1, 0, 1, 3]     # unknown, literal [PAD], case-sensitive
     assert out[4]["attention_mask"][:6] == [1, 1, 1, 0, 1, 1]
     assert all(len(r["input_ids"]) == 128 and r["token_type_ids"] == [0] * 128 for r in out.values())
+
+
+def test_words_hash_alike_in_tasks_and_expressions(spark):
+    from semsift.operators import embed as E
+    texts = spark.createDataFrame([("a b a  héé\t語 x",), ("",), (None,), ("[SEP] zz " * 40,)], "t string")
+    for dim in (8, 64):
+        enc = E.HashingEncoder(dim)
+        for r in texts.select(enc.embed("t").alias("v"), enc._pool(enc.token_dims("t")).alias("w")).collect():
+            assert r["v"] == r["w"]
+    plan = texts.select(E.HashingEncoder(8).embed("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan
