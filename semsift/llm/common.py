@@ -74,11 +74,13 @@ def passing_shuffles(spark: SparkSession):
         spark.conf.set(_CLEAN, before)
 
 
-def give_back() -> None:
+def give_back(collect: bool = True) -> None:
     """Returns a task's freed memory to the system (call it when the task's rows are out):
-    a worker process lives on, and what it holds on to counts against later tasks."""
+    a worker process lives on, and what it holds on to counts against later tasks. Where
+    nothing is held in cycles, ``collect=False`` saves the search for them."""
     import pyarrow as pa
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semsift.llm.common import parallelism, passing_shuffles, release, stage
+from semsift.llm.common import give_back, parallelism, passing_shuffles, release, stage
 from semsift.llm.wordhash import mix64, slices, word_hashes
 from semsift.session import scratch_path
 
@@ -54,10 +54,14 @@ MIN_CONTEXT, MIN_EXTEND = 3, 3
 #: Pseudo-count of the suffix's distribution, and the log10 gain a kept context shows.
 PRIOR, MIN_GAIN = 2.0, 1.0
 BLOCK_BYTES = 6 << 20
+#: Tokens, or living positions, for which the key space has one more part.
+PART_TOKENS = 200_000
+#: Bytes of a group after which a worker returns the memory it has freed.
+TRIM_BYTES = 1 << 20
 END = np.uint64(0x5EED0FE9D0C5E9D1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
-BLOCKS = "block long, words binary, numbers binary, tokens binary, ids array<long>, held array<boolean>"
+BLOCKS = "block long, words binary, numbers binary, tokens binary, ids array<long>, held array<boolean>, n long"
 REQUEST = "block long, part int, kind int, size long, keys binary, amounts binary, bounds binary"
 ANSWER = "block long, part int, kind int, size long, sums binary, total double, found long"
 #: One row a block: its documents' scores by the dense contexts, and its living positions.
@@ -99,9 +103,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([_pack(numbers.astype("<u4"))], pa.binary()),
                 pa.array([(np.diff(at) + 1).astype("<i8").tobytes()], pa.binary()),
                 pa.array([batch.column(0).slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())),
-                pa.array([batch.column(1).slice(lo, hi - lo).to_pylist()], pa.list_(pa.bool_()))],
+                pa.array([batch.column(1).slice(lo, hi - lo).to_pylist()], pa.list_(pa.bool_())), pa.array([len(words)])],
                 names=[c.split()[0] for c in BLOCKS.split(", ")])
             number += 1
+    give_back()
 
 
 def _count_kind(order: int) -> int:
@@ -311,9 +316,10 @@ class _Windows:
         tokens = np.frombuffer(row["tokens"], "<i8")
         numbers = _unpack(row["numbers"], int(tokens.sum()), "<u4")
         begin = np.cumsum(tokens) - tokens
-        self.doc = np.repeat(np.arange(len(tokens)), tokens)[pos]
-        docs, of = np.unique(self.doc, return_inverse=True)
-        size = tokens[docs]
+        self.doc = np.searchsorted(begin, pos, "right") - 1      # every document has a token
+        fresh = np.diff(self.doc, prepend=-1) > 0
+        docs, of = self.doc[fresh], np.cumsum(fresh) - 1
+        size = pos[np.append(fresh[1:], True)] - begin[docs] + 1     # up to the last living position
         first = np.cumsum(size) - size
         n = int(size.sum())
         numbers = numbers[np.arange(n) + np.repeat(begin[docs] - first, size)]
@@ -377,8 +383,9 @@ def _advance(before: int, length: int, parts: int):
             p, inside = p.copy(), inside | kept
             p[kept] = fresh
         far = np.flatnonzero(block.place >= length)
-        n_next, c_next = np.zeros(len(pos)), np.zeros(len(pos))
-        (_, n_at), (_, c_at) = block.next_keys(far, length)
+        n_next, c_next, window = np.zeros(len(pos)), np.zeros(len(pos)), np.zeros(len(pos), np.int64)
+        (windows, n_at), (_, c_at) = block.next_keys(far, length)
+        window[far] = n_at
         n_next[far], c_next[far] = sums[NEXT_N][n_at], sums[NEXT_C][c_at]
         go = (flag >= 2) & (n_next >= MIN_CONTEXT)
         if not go.any():
@@ -387,7 +394,9 @@ def _advance(before: int, length: int, parts: int):
         p, inside, was, n, c, train = p[at], inside[at], n[at], n_next[at], c_next[at], block.train[at]
         left_out = (np.maximum(c - 1, 0) + PRIOR * p) / (n - 1 + PRIOR)
         gain = np.where(train & (n < was), np.log10(left_out / p), 0.0)
-        keys, where = np.unique(block.keys(at, length), return_inverse=True)
+        present = np.zeros(len(windows), bool)
+        present[window[at]] = True
+        keys, where = windows[present], (np.cumsum(present) - 1)[window[at]]
         add = lambda x: np.bincount(where, x, len(keys))
         out += _split(number, GAIN, keys, add(gain), add(_most(train, c, p)), parts)
         out += block.ask_counts(number, go, next_length(length), parts)
@@ -402,6 +411,7 @@ def _add_up_living(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     extensions may be (2)."""
     rows = table.to_pylist()
     answers, _ = _totals(rows)
+    _trim(table)
     return _table([{"block": r["block"], "part": r["part"], "kind": r["kind"], "size": len(a), "sums": _pack(a)}
                    for r, a in zip(rows, answers)], SPARSE_ANSWER)
 
@@ -457,24 +467,33 @@ def _totals(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray]:
 def _add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     answers, total = _totals(rows)
+    _trim(table)
     out = [{"block": r["block"], "part": r["part"], "kind": r["kind"], "size": len(a), "sums": _pack(a.astype("<f8")),
             "total": None, "found": None} for r, a in zip(rows, answers)]
     out[0] |= {"total": float(total.sum()), "found": int((total > 0).sum())}      # of the part
     return _rows(out, ANSWER)
 
 
+def _trim(table: pa.Table) -> None:
+    """Returns what a large group has freed."""
+    if table.nbytes >= TRIM_BYTES:
+        give_back(collect=False)
+
+
 def _requests(step: int, last: bool, parts: int, total: float, distinct: float):
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        return _rows(_Block(left, right, total, distinct).requests(step, last, parts) if left.num_rows else [],
-                     REQUEST)
+        rows = _Block(left, right, total, distinct).requests(step, last, parts) if left.num_rows else []
+        _trim(left)
+        return _rows(rows, REQUEST)
 
     return run
 
 
 def _ended(length: int, go_on: bool, total: float, distinct: float, parts: int):
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        return _table(_Block(left, right, total, distinct).ended(length, go_on, left.to_pylist()[0], parts)
-                      if left.num_rows else [], STEPS)
+        rows = _Block(left, right, total, distinct).ended(length, go_on, left.to_pylist()[0], parts) if left.num_rows else []
+        _trim(left)
+        return _table(rows, STEPS)
 
     return run
 
@@ -499,6 +518,7 @@ def _scores(docs: DataFrame, held_out: Column, id_col: str, text_col: str, depth
     rows.mapInArrow(_blocks, BLOCKS).write.format("parquet").bucketBy(parts, "block").option("path", path).saveAsTable(name)
     blocks = spark.table(name)
     blocks._staged_path = path
+    parts = _parts(blocks.agg(F.sum("n")).first()[0], parts)
     dense = DENSE if depth is None else min(depth, DENSE)
     go_on = depth is None or depth > DENSE
     answers, held = spark.createDataFrame([], ANSWER), []
@@ -522,10 +542,12 @@ def _scores(docs: DataFrame, held_out: Column, id_col: str, text_col: str, depth
     step, before, length = ended, DENSE, next_length(DENSE)
     while True:
         state = step.where(F.col("kind") == LIVING).select("block", "kind", *_names(STATE))
-        if not state.head(1) or (depth is not None and before > depth):
+        left = state.agg(F.sum("size")).first()[0]
+        if not left or (depth is not None and before > depth):
             break
         found = stage(step.where(F.col("kind") >= 0).repartition(parts, "part", "kind").groupBy("part", "kind")
                       .applyInArrow(_add_up_living, SPARSE_ANSWER), "lm-sums")
+        parts = _parts(left, parts)      # of what is asked next: no more than these live
         _drop(step, GAIN, NEXT_N, NEXT_C)
         living, last = state.unionByName(found, allowMissingColumns=True), step
         step = stage(blocks.groupBy("block").cogroup(living.groupBy("block")).applyInArrow(
@@ -541,6 +563,12 @@ def _scores(docs: DataFrame, held_out: Column, id_col: str, text_col: str, depth
     return result
 
 
+def _parts(size: int | None, most: int) -> int:
+    """Parts of the key space for so many tokens or positions. Each block sends a request to each
+    part, so their number must not exceed what the sums are worth."""
+    return max(1, min(most, -(-(size or 0) // PART_TOKENS)))
+
+
 def _drop(step: DataFrame, *kinds: int) -> None:
     """Deletes rows of a staged step that nothing reads any more; its changes stay."""
     sc = step.sparkSession.sparkContext

@@ -244,6 +244,33 @@ def test_suffix_tree_depth_follows_from_the_texts(spark):
         assert got[i] == pytest.approx(want)
 
 
+def test_suffix_tree_requests_follow_the_tokens(spark, monkeypatch):
+    """A few blocks of a few words ask a few parts, however many the partitions are."""
+    from pyspark.sql import functions as F
+    from semsift.llm import suffix_tree_lm as S
+    sums = []
+
+    def stage(df, name, *more):
+        out = kept(df, name, *more)
+        if name == "lm-sums":
+            sums.append(out.count())
+        return out
+
+    kept = S.stage
+    monkeypatch.setattr(S, "stage", stage)
+    docs = spark.createDataFrame(list(enumerate(passages())), "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        few = {r["doc_id"]: r["score"] for r in S.suffix_tree_scores(docs, F.lit(False)).collect()}
+        assert len(sums) > 4 and max(sums) <= 3      # one block, one part, three kinds at most
+        monkeypatch.setattr(S, "PART_TOKENS", 40)
+        many = {r["doc_id"]: r["score"] for r in S.suffix_tree_scores(docs, F.lit(False)).collect()}
+        assert max(sums) > 3 and many == pytest.approx(few)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 # ---- operator 4
 
 
