@@ -31,6 +31,8 @@ from semsift.llm.wordhash import slices
 WINDOW = 1024
 #: A window this close to full is left as it is when its task ends.
 NEARLY_FULL = 0.97
+#: Bytes of text that a task tokenizes at once: what that takes is some forty times as much.
+SLICE_BYTES = 1 << 20
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
@@ -111,6 +113,15 @@ class _Rows:
         return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=names)
 
 
+def token_slices(encode, batch: pa.RecordBatch, end_id: int) -> Iterator[Iterator[tuple[int | None, np.ndarray]]]:
+    """The documents of an Arrow batch with their ids, a slice of its texts at a time."""
+    texts = pc.fill_null(batch.column(1), "")
+    for lo, hi in slices(texts, SLICE_BYTES):
+        ids, at = encode(texts.slice(lo, hi - lo))
+        numbers = batch.column(0).slice(lo, hi - lo).to_pylist()
+        yield ((number, np.append(ids[a:b], np.uint32(end_id))) for number, a, b in zip(numbers, at, at[1:]))
+
+
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
          window: int = WINDOW, end_id: int = 0) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
@@ -127,18 +138,17 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = UnitTokenizer(source.value)        # of this task; its units go with it
+        give_back()                                 # what reading the file took
         packer, out = SumOfSquares(window), _Rows(TaskContext.get().partitionId() << 36)
         for batch in batches:
-            ids_col, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
-            for lo, hi in slices(texts):
-                ids, at = encode(texts.slice(lo, hi - lo))
-                for k in range(hi - lo):
-                    doc = np.append(ids[at[k]:at[k + 1]], np.uint32(end_id))
+            for docs_of_slice in token_slices(encode, batch, end_id):
+                for number, doc in docs_of_slice:
                     whole = len(doc) // window * window
                     for start in range(0, whole, window):
-                        out.add([(0, (ids_col[lo + k], start, doc[start:start + window], len(doc)))])
+                        out.add([(0, (number, start, doc[start:start + window], len(doc)))])
                     if whole < len(doc):
-                        full = packer.place((ids_col[lo + k], whole, doc[whole:], len(doc)), len(doc) - whole)
+                        rest = doc[whole:].copy() if whole else doc     # not the whole document with it
+                        full = packer.place((number, whole, rest, len(doc)), len(rest))
                         if full:
                             out.add(full)
                 yield out.take()

@@ -391,6 +391,29 @@ def test_packing(spark):
     assert padding < 0.01 * used
 
 
+def test_packing_tokenizes_small_slices():
+    """What a worker takes follows from a slice of the texts, not from its Arrow batch."""
+    import random
+    import tracemalloc
+
+    import public_tokenizers
+    import pyarrow as pa
+    from semsift.llm.packing import token_slices
+    from semsift.llm.tokenize import UnitTokenizer
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        encode = UnitTokenizer(file.read())
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=3000)) for _ in range(250)] + [None]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    assert batch.nbytes > 4 << 20
+    tracemalloc.start()
+    seen = sum(1 for part in token_slices(encode, batch, 0) for _, ids in part if ids[-1] == 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == len(texts) and peak < 60 << 20
+
+
 def test_tokenizer_units_are_exact():
     import random
 
