@@ -25,6 +25,12 @@ predicted as well as a context that holds only them would; a word seen once can
 nothing. Below the asked gain no longer context can pass, and its positions are done. The
 work of a step is that of its living positions, and long copies take few steps.
 
+Only what does not follow from earlier answers is asked. Where every word, or none, behind a
+context is a position's own, so it is behind each extension of it. A context in the same
+places as its suffix, which was not kept, has that suffix's bound. The blocks are written anew
+without their finished documents when few of their tokens are left; they and the living
+positions are bucketed by block, so that only requests and answers are shuffled.
+
 Words are ``[^\\x20\\x09-\\x0D]+`` with ``A-Z`` lowered and stand as 64-bit hashes; a text
 ends with one end token, so a null or empty text is that token alone. Contexts do not
 reach over a document's start. Training documents are those for which ``held_out`` is
@@ -56,6 +62,8 @@ PRIOR, MIN_GAIN = 2.0, 1.0
 BLOCK_BYTES = 6 << 20
 #: Tokens, or living positions, for which the key space has one more part.
 PART_TOKENS = 200_000
+#: Blocks are written anew when so small a part of their tokens is in living documents.
+LEFT_SHARE = 1 / 3
 #: Bytes of a group after which a worker returns the memory it has freed.
 TRIM_BYTES = 1 << 20
 END = np.uint64(0x5EED0FE9D0C5E9D1)
@@ -65,7 +73,10 @@ BLOCKS = "block long, words binary, numbers binary, tokens binary, ids array<lon
 REQUEST = "block long, part int, kind int, size long, keys binary, amounts binary, bounds binary"
 ANSWER = "block long, part int, kind int, size long, sums binary, total double, found long"
 #: One row a block: its documents' scores by the dense contexts, and its living positions.
-STATE = "size long, pos binary, p binary, n binary, c binary, inside binary"
+STATE = "size long, pos binary, p binary, n binary, c binary, ahead binary, mark binary, reach long"
+#: Bits of a living position's mark: it is in a kept context; its context's extensions may be
+#: kept, as is known without asking.
+INSIDE, SURE = 1, 2
 #: What a block puts out in a step: requests, its living positions, what kept contexts
 #: change in its documents' scores, and at the end of the dense steps these scores.
 STEPS = ("block long, part int, kind int, keys binary, amounts binary, bounds binary, " + STATE
@@ -91,13 +102,34 @@ def _unpack(data: bytes, n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).reshape(n)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and each key's place among them. Places ride in the low bits of
+    the leading key bits through one plain sort; keys that only differ below are put right."""
+    n = len(keys)
+    if n < 2:
+        return keys.copy(), np.zeros(n, np.int64)
+    low = keys.min()
+    spare = 64 - int(keys.max() - low).bit_length()
+    places = np.uint64((1 << (n - 1).bit_length()) - 1)
+    order = np.sort(((keys - low) << np.uint64(min(spare, 63)) & ~places) | np.arange(n, dtype=np.uint64))
+    order = (order & places).view(np.int64)
+    ranked = keys[order]
+    if (ranked[1:] < ranked[:-1]).any():
+        order = order[np.argsort(ranked, kind="stable")]
+        ranked = keys[order]
+    fresh = np.append(True, ranked[1:] != ranked[:-1])
+    where = np.empty(n, np.int64)
+    where[order] = np.cumsum(fresh) - 1
+    return ranked[fresh], where
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
         for lo, hi in slices(batch.column(2), BLOCK_BYTES):
             words, at = word_hashes(batch.column(2).slice(lo, hi - lo))
             words = np.insert(words, at[1:], END)
-            distinct, numbers = np.unique(words, return_inverse=True)
+            distinct, numbers = _distinct(words)
             yield pa.record_batch([
                 pa.array([number]), pa.array([distinct.tobytes()], pa.binary()),
                 pa.array([_pack(numbers.astype("<u4"))], pa.binary()),
@@ -159,7 +191,7 @@ class _Block:
             while self.order < order:
                 self.keys = mix64(np.append(np.uint64(0), self.keys[:-1]) * _STEP + self.words)
                 self.order += 1
-            self.distinct[order] = (at, *np.unique(self.keys[at], return_inverse=True))
+            self.distinct[order] = (at, *_distinct(self.keys[at]))
         return self.distinct[order]
 
     def alive(self, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +252,7 @@ class _Block:
             at, _, where = self.contexts(k)
             self.alive(k)       # by the predictions of length k - 1, as when it was asked for
             self.length = k
-            self.going = np.zeros(len(self.p), bool)
+            self.going, self.moved = np.zeros(len(self.p), bool), np.zeros(len(self.p), bool)
             if len(at):
                 flag = np.concatenate(self.sums[_gain_kind(k)]).astype(np.int64)[where]
                 self.going[at] = flag >= 2
@@ -228,7 +260,7 @@ class _Block:
                 n = self.behind(k)[kept]
                 self.p = self.p.copy()
                 self.p[kept] = (self.counts(k + 1)[kept] + PRIOR * self.p[kept]) / (n + PRIOR)
-                self.in_context[kept] = True
+                self.in_context[kept] = self.moved[kept] = True
         return self.p
 
     def requests(self, step: int, last: bool, parts: int) -> list[dict]:
@@ -238,25 +270,25 @@ class _Block:
             for order in (1, 2):
                 at, keys, where = self.gram(order)
                 out += self._ask(_count_kind(order), keys, np.bincount(
-                    where, weights=self.train[at], minlength=len(keys)), parts)
+                    where, weights=self.train[at], minlength=len(keys)), None, parts)
             return out
         at, keys, where = self.contexts(step)
         parent = self.predict(step - 1)
         if not last:
             grams, longer, of = self.gram(step + 2)
             out += self._ask(_count_kind(step + 2), longer, np.bincount(
-                of, weights=self.train[grams], minlength=len(longer)), parts)
+                of, weights=self.train[grams], minlength=len(longer)), None, parts)
         if len(at):
             parent = parent[at]
             n, c = self.behind(step)[at], self.counts(step + 1)[at]
             left_out = (np.maximum(c - 1, 0) + PRIOR * parent) / (n - 1 + PRIOR)
             proper = n < self.behind(step - 1)[at] if step > 1 else True
             gain = np.where(self.train[at] & proper, np.log10(left_out / parent), 0.0)
-            add = lambda x: np.bincount(where, weights=x, minlength=len(keys)).astype(np.float32)
-            out += self._ask(_gain_kind(step), keys, add(gain), parts, add(_most(self.train[at], c, parent)))
+            add = lambda x: np.bincount(where, weights=x, minlength=len(keys))
+            out += self._ask(_gain_kind(step), keys, *_gains(add(gain), add(_most(self.train[at], c, parent))), parts)
         return out
 
-    def _ask(self, kind: int, keys: np.ndarray, amounts: np.ndarray, parts: int, bounds=None) -> list[dict]:
+    def _ask(self, kind: int, keys: np.ndarray, amounts: np.ndarray, bounds, parts: int) -> list[dict]:
         return _split(self.number, kind, keys, amounts, bounds, parts)
 
     def ended(self, length: int, go_on: bool, row: dict, parts: int) -> list[dict]:
@@ -272,15 +304,19 @@ class _Block:
             at = np.flatnonzero(self.alive(length)[0] & self.going & (self.behind(length + 1) >= MIN_CONTEXT))
             if len(at):
                 n, c = self.behind(length)[at], self.counts(length + 1)[at]
-                out.append({"block": self.number, "part": 0, "kind": LIVING, **_state(at, p[at], n, c, self.in_context[at])})
-                out += _Windows(row, at).ask_counts(self.number, np.ones(len(at), bool), next_length(length), parts)
+                left = _Windows(row, at)
+                mark = INSIDE * self.in_context[at] + SURE * ~self.moved[at]
+                out.append({"block": self.number, "part": 0, "kind": LIVING,
+                            **_state(at, p[at], n, c, mark, left.reach(slice(None)), self.behind(length + 1)[at])})
+                out += left.ask_counts(self.number, np.ones(len(at), bool), n, c, next_length(length), parts)[NEXT_C]
         return out
 
 
-def _state(pos, p, n, c, inside) -> dict:
+def _state(pos, p, n, c, mark, reach: int, ahead=()) -> dict:
+    """``ahead``: counts of the next contexts, where they are known already."""
     return {"size": len(pos), "pos": _pack(np.diff(pos, prepend=0).astype("<u4")), "p": _pack(p.astype("<f8")),
             "n": _pack(n.astype("<u8")), "c": _pack(c.astype("<u8")),
-            "inside": _pack(inside.astype("u1"))}
+            "ahead": _pack(np.asarray(ahead).astype("<u8")), "mark": _pack(mark.astype("u1")), "reach": reach}
 
 
 def _split(block: int, kind: int, keys: np.ndarray, amounts: np.ndarray, bounds, parts: int) -> list[dict]:
@@ -294,6 +330,12 @@ def _split(block: int, kind: int, keys: np.ndarray, amounts: np.ndarray, bounds,
             for p, (a, b) in enumerate(zip(edge, edge[1:])) if a < b]
 
 
+def _gains(gain: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As they are sent. No more than the asked gain of a bound: bounds are not negative, so
+    whether their sum reaches it stays the same."""
+    return gain.astype(np.float32), np.minimum(most, MIN_GAIN)
+
+
 def _most(train: np.ndarray, c: np.ndarray, p: np.ndarray) -> np.ndarray:
     """What each position could gain behind an extension of its context that holds only the
     occurrences before its own word."""
@@ -315,7 +357,7 @@ class _Windows:
     def __init__(self, row: dict, pos: np.ndarray):
         tokens = np.frombuffer(row["tokens"], "<i8")
         numbers = _unpack(row["numbers"], int(tokens.sum()), "<u4")
-        begin = np.cumsum(tokens) - tokens
+        begin, self.tokens = np.cumsum(tokens) - tokens, tokens
         self.doc = np.searchsorted(begin, pos, "right") - 1      # every document has a token
         fresh = np.diff(self.doc, prepend=-1) > 0
         docs, of = self.doc[fresh], np.cumsum(fresh) - 1
@@ -339,16 +381,28 @@ class _Windows:
         at = self.at[chosen]
         return mix64((self.total[at] - self.total[at - length]) * self.inverse[at - length] + np.uint64(length))
 
-    def next_keys(self, chosen: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Distinct contexts, and contexts with their words, and each position's place in them."""
-        windows = self.keys(chosen, length)
-        return [np.unique(k, return_inverse=True) for k in (windows, mix64(windows * _STEP + self.word[chosen]))]
+    def reach(self, chosen) -> int:
+        """Tokens of the documents that these positions are in."""
+        return int(self.tokens[np.unique(self.doc[chosen])].sum())
 
-    def ask_counts(self, number: int, chosen: np.ndarray, length: int, parts: int) -> list[dict]:
-        """Requests for the counts of the contexts of a length, where they fit in the document."""
+    def next_keys(self, chosen: np.ndarray, n: np.ndarray, c: np.ndarray, length: int) -> tuple:
+        """Distinct contexts and each position's place in them; the positions whose counts of
+        context and word ``n`` and ``c``, those of the length before, leave the next open; and
+        distinct contexts with words, with these positions' places in them."""
+        windows = self.keys(chosen, length)
+        unsure = np.flatnonzero((c[chosen] > 0) & (c[chosen] < n[chosen]))
+        grams = mix64(windows[unsure] * _STEP + self.word[chosen[unsure]])
+        return _distinct(windows), unsure, _distinct(grams)
+
+    def ask_counts(self, number: int, chosen: np.ndarray, n: np.ndarray, c: np.ndarray, length: int,
+                   parts: int) -> dict[int, list[dict]]:
+        """Requests, by kind, for the counts of the contexts of a length, where they fit in the
+        document."""
         chosen = np.flatnonzero(chosen & (self.place >= length))
-        return [row for kind, (keys, at) in zip((NEXT_N, NEXT_C), self.next_keys(chosen, length))
-                for row in _split(number, kind, keys, np.bincount(at, self.train[chosen], len(keys)), None, parts)]
+        (windows, n_at), unsure, (grams, c_at) = self.next_keys(chosen, n, c, length)
+        train = self.train[chosen]
+        return {kind: _split(number, kind, keys, np.bincount(at, amount, len(keys)), None, parts)
+                for kind, keys, at, amount in ((NEXT_N, windows, n_at, train), (NEXT_C, grams, c_at, train[unsure]))}
 
 
 def _advance(before: int, length: int, parts: int):
@@ -356,24 +410,25 @@ def _advance(before: int, length: int, parts: int):
     the gains of those of ``length`` and the counts of the next ones."""
 
     def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = right.to_pylist()
-        state = next((r for r in rows if r["kind"] == LIVING and r["size"]), None)
-        if state is None:
+        if not left.num_rows:
             return _table([], STEPS)
+        state, rows = left.to_pylist()[0], right.to_pylist()
         out: list[dict] = []
         number = key[0].as_py()
         read = lambda name, kind: _unpack(state[name], state["size"], kind)
         pos, p = np.cumsum(read("pos", "<u4").astype(np.int64)), read("p", "<f8")
         n, c = (read(k, "<u8").astype(np.float64) for k in ("n", "c"))
-        inside = read("inside", "u1").astype(bool)
-        block = _Windows(left.to_pylist()[0], pos)
+        mark = read("mark", "u1")
+        inside, sure = mark & INSIDE > 0, mark & SURE > 0
+        block = _Windows(state, pos)
         sums = {k: np.concatenate([np.zeros(0)] + [_unpack(r["sums"], r["size"], "<f8") for r in
                                                    sorted((r for r in rows if r["kind"] == k), key=lambda r: r["part"])])
                 for k in (GAIN, NEXT_N, NEXT_C)}
         flag = np.full(len(pos), 2)              # of the dense contexts, gains are known
-        if before > DENSE:
-            flag = sums[GAIN].astype(np.int64)[np.unique(block.keys(np.arange(len(pos)), before), return_inverse=True)[1]]
+        if before > DENSE and not sure.all():
+            flag[~sure] = sums[GAIN].astype(np.int64)[_distinct(block.keys(~sure, before))[1]]
         kept = flag % 2 == 1
+        moved = kept if before > DENSE else ~sure
         if kept.any():
             fresh = (c[kept] + PRIOR * p[kept]) / (n[kept] + PRIOR)
             doc, at = np.unique(block.doc[kept], return_inverse=True)
@@ -384,28 +439,50 @@ def _advance(before: int, length: int, parts: int):
             p[kept] = fresh
         far = np.flatnonzero(block.place >= length)
         n_next, c_next, window = np.zeros(len(pos)), np.zeros(len(pos)), np.zeros(len(pos), np.int64)
-        (windows, n_at), (_, c_at) = block.next_keys(far, length)
+        (windows, n_at), unsure, (_, c_at) = block.next_keys(far, n, c, length)
         window[far] = n_at
-        n_next[far], c_next[far] = sums[NEXT_N][n_at], sums[NEXT_C][c_at]
+        n_next[far] = sums[NEXT_N][n_at] if before > DENSE else read("ahead", "<u8")[far]
+        c_next[far] = np.where(c[far] == n[far], n_next[far], 0.0)
+        c_next[far[unsure]] = sums[NEXT_C][c_at]
         go = (flag >= 2) & (n_next >= MIN_CONTEXT)
         if not go.any():
             return _table(out, STEPS)
         at = np.flatnonzero(go)
-        p, inside, was, n, c, train = p[at], inside[at], n[at], n_next[at], c_next[at], block.train[at]
-        left_out = (np.maximum(c - 1, 0) + PRIOR * p) / (n - 1 + PRIOR)
-        gain = np.where(train & (n < was), np.log10(left_out / p), 0.0)
+        same = (~moved & (n_next == n))[at]      # the suffix's places, words and bound
+        asked = at[~same]
+        train = block.train[asked]
+        left_out = (np.maximum(c_next[asked] - 1, 0) + PRIOR * p[asked]) / (n_next[asked] - 1 + PRIOR)
+        gain = np.where(train & (n_next < n)[asked], np.log10(left_out / p[asked]), 0.0)
         present = np.zeros(len(windows), bool)
-        present[window[at]] = True
-        keys, where = windows[present], (np.cumsum(present) - 1)[window[at]]
+        present[window[asked]] = True
+        keys, where = windows[present], (np.cumsum(present) - 1)[window[asked]]
         add = lambda x: np.bincount(where, x, len(keys))
-        out += _split(number, GAIN, keys, add(gain), add(_most(train, c, p)), parts)
-        out += block.ask_counts(number, go, next_length(length), parts)
-        out.append({"block": number, "part": 0, "kind": LIVING, **_state(pos[at], p, n, c, inside)})
+        out += _split(number, GAIN, keys, *_gains(add(gain), add(_most(train, c_next[asked], p[asked]))), parts)
+        for rows in block.ask_counts(number, go, n_next, c_next, next_length(length), parts).values():
+            out += rows
+        out.append({"block": number, "part": 0, "kind": LIVING, **_state(
+            pos[at], p[at], n_next[at], c_next[at], INSIDE * inside[at] + SURE * same, block.reach(at))})
+        _trim(left)
         return _table(out, STEPS)
 
     return run
 
 
+def _compact(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The block without the words of documents that have no living position."""
+    row = table.to_pylist()[0]
+    tokens = np.frombuffer(row["tokens"], "<i8")
+    pos = np.cumsum(_unpack(row["pos"], row["size"], "<u4").astype(np.int64))
+    living = np.zeros(len(tokens), bool)
+    living[np.searchsorted(np.cumsum(tokens), pos, "right")] = True
+    living = np.repeat(living, tokens)
+    numbers = _unpack(row["numbers"], len(living), "<u4").copy()
+    used, numbers[living] = np.unique(numbers[living], return_inverse=True)
+    numbers[~living] = 0
+    words = np.frombuffer(row["words"], "<u8")[used]
+    return _table([row | {"words": words.tobytes(), "numbers": _pack(numbers), "n": row["reach"]}], BLOCKS)
+
+
 def _add_up_living(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Sums by key over all blocks; of a context, whether it is kept (1) and whether its
     extensions may be (2)."""
@@ -455,7 +532,7 @@ def _totals(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray]:
     a gain, blocks need to know only whether the context is kept (1) and whether its
     extensions may be (2)."""
     keys = [np.cumsum(_unpack(r["keys"], r["size"], "<u8"), dtype=np.uint64) for r in rows]
-    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+    distinct, where = _distinct(np.concatenate(keys))
     add = lambda name, kind: np.bincount(where, weights=np.concatenate(
         [_unpack(r[name], len(k), kind) for r, k in zip(rows, keys)]), minlength=len(distinct))
     total = add("amounts", "<f8")
@@ -513,12 +590,10 @@ def _scores(docs: DataFrame, held_out: Column, id_col: str, text_col: str, depth
     parts = parallelism(spark)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                        F.coalesce(held_out, F.lit(False)).alias("held"), F.col(f"`{text_col}`").alias("text"))
-    # bucketed by block, so that the blocks are not shuffled again in any of the steps
-    name, path = f"lm_blocks_{uuid.uuid4().hex}", scratch_path(spark, "lm-blocks")
-    rows.mapInArrow(_blocks, BLOCKS).write.format("parquet").bucketBy(parts, "block").option("path", path).saveAsTable(name)
-    blocks = spark.table(name)
-    blocks._staged_path = path
-    parts = _parts(blocks.agg(F.sum("n")).first()[0], parts)
+    buckets = parts
+    blocks = _bucketed(rows.mapInArrow(_blocks, BLOCKS), "lm-blocks", buckets)
+    written = blocks.agg(F.sum("n")).first()[0] or 0
+    parts = _parts(written, parts)
     dense = DENSE if depth is None else min(depth, DENSE)
     go_on = depth is None or depth > DENSE
     answers, held = spark.createDataFrame([], ANSWER), []
@@ -534,35 +609,61 @@ def _scores(docs: DataFrame, held_out: Column, id_col: str, text_col: str, depth
             # training tokens and distinct training words
             total, distinct = map(float, found.where(F.col("kind") == _count_kind(1)).agg(
                 F.coalesce(F.sum("total"), F.lit(0.0)), F.coalesce(F.sum("found"), F.lit(0))).first())
-    ended = stage(blocks.groupBy("block").cogroup(answers.drop("total", "found").groupBy("block")).applyInArrow(
-        _ended(dense, go_on, total, distinct, parts), STEPS), "lm-dense", ["kind"])
+    ended = _bucketed(blocks.groupBy("block").cogroup(answers.drop("total", "found").groupBy("block")).applyInArrow(
+        _ended(dense, go_on, total, distinct, parts), STEPS), "lm-dense", buckets, "kind")
     release(*held)
 
     changes = spark.createDataFrame([], "block long, docs binary, change binary, entered binary")
     step, before, length = ended, DENSE, next_length(DENSE)
     while True:
-        state = step.where(F.col("kind") == LIVING).select("block", "kind", *_names(STATE))
-        left = state.agg(F.sum("size")).first()[0]
+        state = spark.table(step._table).where(F.col("kind") == LIVING).select("block", *_names(STATE))
+        left, reach = state.agg(F.sum("size"), F.sum("reach")).first()
         if not left or (depth is not None and before > depth):
             break
         found = stage(step.where(F.col("kind") >= 0).repartition(parts, "part", "kind").groupBy("part", "kind")
                       .applyInArrow(_add_up_living, SPARSE_ANSWER), "lm-sums")
         parts = _parts(left, parts)      # of what is asked next: no more than these live
         _drop(step, GAIN, NEXT_N, NEXT_C)
-        living, last = state.unionByName(found, allowMissingColumns=True), step
-        step = stage(blocks.groupBy("block").cogroup(living.groupBy("block")).applyInArrow(
-            _advance(before, length, parts), STEPS), "lm-living", ["kind"])
+        if reach <= LEFT_SHARE * written:
+            whole, written = blocks, reach
+            blocks = _bucketed(_with_state(whole, state).groupBy("block").applyInArrow(_compact, BLOCKS), "lm-blocks", buckets)
+            _forget(whole)
+            release(whole)
+        last, step = step, _bucketed(_with_state(blocks, state).groupBy("block").cogroup(found.groupBy("block")).applyInArrow(
+            _advance(before, length, parts), STEPS), "lm-living", buckets, "kind")
         release(found)
         _drop(last, LIVING)
+        _forget(last)
         changes = changes.union(step.where(F.col("kind") == CHANGE).select("block", "docs", "change", "entered"))
         before, length = length, next_length(length)
     scored = ended.where(F.col("kind") == SCORED)
     result = scored.groupBy("block").cogroup(changes.groupBy("block")).applyInArrow(_final(total), SCORES)
-    spark.sql(f"DROP TABLE {name}")
+    _forget(step)
+    _forget(blocks)
     release(blocks)
     return result
 
 
+def _with_state(blocks: DataFrame, state: DataFrame) -> DataFrame:
+    """Blocks that have living positions, with these; both are bucketed, so nothing is shuffled."""
+    return blocks.drop("n").join(state.hint("merge"), "block")
+
+
+def _bucketed(df: DataFrame, name: str, buckets: int, *partition_by: str) -> DataFrame:
+    """Like ``stage``, bucketed by block: read through its catalog name, the table is not shuffled again."""
+    spark, path, table = df.sparkSession, scratch_path(df.sparkSession, name), f"lm_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").bucketBy(buckets, "block").option("path", path)
+    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(table)
+    out = spark.read.schema(df.schema).parquet(path) if partition_by else spark.table(table)
+    out._staged_path, out._table = path, table
+    return out
+
+
+def _forget(table: DataFrame) -> None:
+    """Takes a bucketed table's name out of the catalog; its files stay."""
+    table.sparkSession.sql(f"DROP TABLE IF EXISTS {table._table}")
+
+
 def _parts(size: int | None, most: int) -> int:
     """Parts of the key space for so many tokens or positions. Each block sends a request to each
     part, so their number must not exceed what the sums are worth."""

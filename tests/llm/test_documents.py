@@ -1,5 +1,6 @@
 """Operators over documents against brute force, and on awkward, clashing and empty input."""
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -271,6 +272,53 @@ def test_suffix_tree_requests_follow_the_tokens(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_distinct_keys():
+    """As numpy has them, also where the bits that keys differ in leave no room for places."""
+    import numpy as np
+    from semsift.llm.suffix_tree_lm import _distinct
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 1000, 70000):
+        wide = rng.integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False)
+        near = np.uint64(1 << 63) + rng.integers(0, 9, n, dtype=np.uint64)
+        low = (wide >> np.uint64(60) << np.uint64(60)) + rng.integers(0, 50, n, dtype=np.uint64)
+        for keys in (wide, near, low, np.concatenate([np.sort(wide), np.sort(wide)])):
+            for got, want in zip(_distinct(keys), np.unique(keys, return_inverse=True)):
+                assert np.array_equal(got, want)
+
+
+def test_suffix_tree_asks_only_what_is_open(spark, monkeypatch):
+    """Behind the contexts of exact copies every word is known: their counts are not asked.
+    Blocks are written anew when most of their documents are done."""
+    from pyspark.sql import functions as F
+    from semsift.llm import suffix_tree_lm as S
+    asked, written = Counter(), Counter()
+
+    def stage(df, name, *more):
+        out = stage_before(df, name, *more)
+        if name == "lm-sums" and "total" not in out.columns:
+            asked.update({r["kind"]: r["n"] for r in out.groupBy("kind").agg(F.sum("size").alias("n")).collect()})
+        return out
+
+    def bucketed(df, name, *more):
+        written[name] += 1
+        return bucketed_before(df, name, *more)
+
+    stage_before, bucketed_before = S.stage, S._bucketed
+    monkeypatch.setattr(S, "stage", stage)
+    monkeypatch.setattr(S, "_bucketed", bucketed)
+    copy = " ".join(w for k in range(60) for w in (f"w{k}", "and", "so"))
+    texts = [copy] * 8 + [" ".join(f"x{i}y{k}" for k in range(200)) for i in range(24)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["score"] for r in S.suffix_tree_scores(docs, F.lit(False)).collect()}
+    text = [lowered(t) + [None] for t in texts]
+    predict, _, _ = brute_tree(text)
+    for i in (0, 7, 8):
+        want = sum(math.log10(predict(tuple(text[i][:j]), text[i][j])) for j in range(len(text[i])))
+        assert got[i] == pytest.approx(want)
+    assert asked[S.NEXT_N] > asked[S.NEXT_C]
+    assert written["lm-blocks"] >= 2
+
+
 # ---- operator 4
 
 
