@@ -32,7 +32,7 @@ WINDOW = 1024
 #: A window this close to full is left as it is when its task ends.
 NEARLY_FULL = 0.97
 #: Bytes of text that a task tokenizes at once: what that takes is some forty times as much.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
@@ -120,6 +120,7 @@ def token_slices(encode, batch: pa.RecordBatch, end_id: int) -> Iterator[Iterato
         ids, at = encode(texts.slice(lo, hi - lo))
         numbers = batch.column(0).slice(lo, hi - lo).to_pylist()
         yield ((number, np.append(ids[a:b], np.uint32(end_id))) for number, a, b in zip(numbers, at, at[1:]))
+        del ids, at     # before the next slice is tokenized
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -152,6 +153,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                         if full:
                             out.add(full)
                 yield out.take()
+            batch = None        # before the next one is read
         for level, pieces in packer.rest():
             for part in _cut(level, pieces, window):
                 out.add(part)

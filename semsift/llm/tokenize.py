@@ -80,9 +80,8 @@ class UnitTokenizer:
 
     def __init__(self, source: str, max_known: int = MAX_KNOWN):
         import tiktoken
-        from tokenizers import Tokenizer
         spec = json.loads(source)
-        self.tokenizer = Tokenizer.from_str(source)
+        self.source, self.tokenizer = source, None
         self.merge = tiktoken.Encoding("unit", pat_str=PATTERN, mergeable_ranks=_merge_ranks(spec),
                                        special_tokens={})
         self.specials = [t["content"] for t in spec["added_tokens"]]
@@ -91,22 +90,24 @@ class UnitTokenizer:
 
     def _forget(self) -> None:
         self.known = np.zeros(0, np.uint64)      # sorted unit hashes
-        self.at = np.zeros(1, np.int64)          # offsets into ids, in the order of ``known``
-        self.ids = np.zeros(0, np.uint32)
+        self.begin = np.zeros(0, np.uint32)      # places in ids, in the order of ``known``
+        self.size = np.zeros(0, np.uint32)
+        self.ids = np.zeros(0, np.uint32)        # in the order in which units were met
 
     def _encode_whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.tokenizer is None:      # few tasks need it, and it takes as much memory as the merges
+            from tokenizers import Tokenizer
+            self.tokenizer = Tokenizer.from_str(self.source)
         return _flat([self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts])
 
     def _learn(self, hashes: np.ndarray, units: list[str]) -> None:
-        """Adds units (by sorted hash) to what is known."""
+        """Adds units (by sorted hash) to what is known; ids that are known stay where they are."""
         ids, at = _flat(list(map(self.merge.encode_ordinary, units)))
-        order = np.argsort(np.concatenate([self.known, hashes]), kind="stable")
-        sizes = np.concatenate([np.diff(self.at), np.diff(at)])
-        begin = np.concatenate([self.at[:-1], at[:-1] + len(self.ids)])
-        pool = np.concatenate([self.ids, ids])
-        self.known = np.concatenate([self.known, hashes])[order]
-        self.ids = pool[_ranges(begin[order], sizes[order])]
-        self.at = np.concatenate([[0], np.cumsum(sizes[order])])
+        place = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, place, hashes)
+        self.begin = np.insert(self.begin, place, (at[:-1] + len(self.ids)).astype(np.uint32))
+        self.size = np.insert(self.size, place, np.diff(at).astype(np.uint32))
+        self.ids = np.concatenate([self.ids, ids])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         odd = pc.match_substring_regex(texts, ODD_SPACE)
@@ -131,8 +132,8 @@ class UnitTokenizer:
             self._learn(distinct[new], units)
             place = np.searchsorted(self.known, distinct)
         row = place[inverse]
-        sizes = np.diff(self.at)[row]
-        ids = self.ids[_ranges(self.at[row], sizes)]
+        sizes = self.size[row].astype(np.int64)
+        ids = self.ids[_ranges(self.begin[row].astype(np.int64), sizes)]
         total = np.concatenate([[0], np.cumsum(sizes)])
         at = total[np.searchsorted(starts, docs, "left")]
         if odd.any():

@@ -483,6 +483,28 @@ def test_tokenizer_units_are_exact():
             assert ids[at[k]:at[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_tokenizer_learns_without_copying_what_it_knows():
+    """A new unit costs a worker no more than the arrays that it is put into, and the whole
+    texts' tokenizer is read where a text needs it."""
+    import tracemalloc
+
+    import pyarrow as pa
+    import public_tokenizers
+    from semsift.llm.tokenize import UnitTokenizer
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        units = UnitTokenizer(f.read())
+    units(pa.array([" ".join(f"w{k * 7919}q" for k in range(60_000))]))
+    assert units.tokenizer is None
+    tracemalloc.start()
+    ids, _ = units(pa.array(["zyzzyva"]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20
+    again, at = units(pa.array(["zyzzyva w7919q", "w7919q", "a\x85b"]))
+    assert again[:len(ids)].tolist() == ids.tolist() and units.tokenizer is not None
+    assert again[at[2]:].tolist() == units.tokenizer.encode("a\x85b", add_special_tokens=False).ids
+
+
 # ---- operator 10
 
 
