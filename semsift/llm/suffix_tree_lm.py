@@ -59,11 +59,17 @@ DENSE = 2
 MIN_CONTEXT, MIN_EXTEND = 3, 3
 #: Pseudo-count of the suffix's distribution, and the log10 gain a kept context shows.
 PRIOR, MIN_GAIN = 2.0, 1.0
+#: A bound that reaches the asked gain, as it is sent.
+FULL = 255
 BLOCK_BYTES = 6 << 20
 #: Tokens, or living positions, for which the key space has one more part.
 PART_TOKENS = 200_000
 #: Blocks are written anew when so small a part of their tokens is in living documents.
 LEFT_SHARE = 1 / 3
+#: Living tokens for which blocks written anew have one more bucket.
+BUCKET_TOKENS = 400_000
+#: Windows are hashed word by word where that takes so many words a token at most.
+WORDS_AT_ONCE = 4
 #: Bytes of a group after which a worker returns the memory it has freed.
 TRIM_BYTES = 1 << 20
 END = np.uint64(0x5EED0FE9D0C5E9D1)
@@ -89,17 +95,25 @@ SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Byte planes, compressed: small numbers in wide types cost little."""
+    """Byte planes, compressed, as many as the largest whole number needs."""
     if not len(values):
         return b""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
-    return pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
+    width = raw.shape[1] if values.dtype.kind == "f" else max(1, -(-int(values.max()).bit_length() // 8))
+    planes = np.empty((width, len(values)), np.uint8)
+    for k in range(width):
+        planes[k] = raw[:, k]
+    return bytes([width]) + pa.compress(pa.py_buffer(planes), "zstd", asbytes=True)
 
 
 def _unpack(data: bytes, n: int, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    raw = pa.decompress(data, n * size, "zstd", asbytes=True) if n else b""
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).reshape(n)
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    if n:
+        width = data[0]
+        planes = np.frombuffer(pa.decompress(memoryview(data)[1:], width * n, "zstd"), np.uint8).reshape(width, n)
+        for k in range(width):
+            out[:, k] = planes[k]
+    return out.view(kind).reshape(n)
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +181,7 @@ class _Block:
         self.place = np.arange(n) - np.repeat(np.cumsum(self.tokens) - self.tokens, self.tokens)
         self.sums: dict[int, list] = {}
         for r in sorted(answers.to_pylist(), key=lambda r: r["part"]):
-            self.sums.setdefault(r["kind"], []).append(_unpack(r["sums"], r["size"], "<f8"))
+            self.sums.setdefault(r["kind"], []).append(_unpack(r["sums"], r["size"], "<u8").astype(np.float64))
         self.order, self.keys = 1, self.words
         self.distinct: dict[int, tuple] = {}
         self.count: dict[int, np.ndarray] = {}
@@ -197,14 +211,16 @@ class _Block:
     def alive(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Whether the context of this length before each position is frequent and could have
         a kept extension, and whether it or a suffix is settled: always followed by the
-        same word, with too little left to gain."""
+        same word. If that gains enough over the suffix the context is kept, and an extension
+        could gain n * log10((n + PRIOR) / n) more, under MIN_GAIN whatever n; else the
+        extension, with no more occurrences, gains too little as well."""
         if length == 0:
             return np.ones(len(self.words), bool), np.zeros(len(self.words), bool)
         if length not in self.lively:
             alive, settled = self.alive(length - 1)
-            n, p = self.behind(length), self.predict(length - 1)
+            n = self.behind(length)
             alive = alive & (n >= MIN_EXTEND)
-            done = alive & (self.counts(length + 1) == n) & (-n * np.log10(p) < MIN_GAIN)
+            done = alive & (self.counts(length + 1) == n)
             self.lively[length] = (alive & ~done, settled | done)
         return self.lively[length]
 
@@ -250,7 +266,6 @@ class _Block:
         while self.length < length:
             k = self.length + 1
             at, _, where = self.contexts(k)
-            self.alive(k)       # by the predictions of length k - 1, as when it was asked for
             self.length = k
             self.going, self.moved = np.zeros(len(self.p), bool), np.zeros(len(self.p), bool)
             if len(at):
@@ -304,7 +319,7 @@ class _Block:
             at = np.flatnonzero(self.alive(length)[0] & self.going & (self.behind(length + 1) >= MIN_CONTEXT))
             if len(at):
                 n, c = self.behind(length)[at], self.counts(length + 1)[at]
-                left = _Windows(row, at)
+                left = _Windows(row, at, next_length(length))
                 mark = INSIDE * self.in_context[at] + SURE * ~self.moved[at]
                 out.append({"block": self.number, "part": 0, "kind": LIVING,
                             **_state(at, p[at], n, c, mark, left.reach(slice(None)), self.behind(length + 1)[at])})
@@ -325,15 +340,16 @@ def _split(block: int, kind: int, keys: np.ndarray, amounts: np.ndarray, bounds,
                            // np.uint64(parts), "left")
     return [{"block": block, "part": p, "kind": kind, "size": b - a,
              "keys": _pack(np.diff(keys[a:b], prepend=np.uint64(0))),      # the gaps of sorted keys are shorter
-             "amounts": _pack(amounts[a:b].astype("<f8")),
-             "bounds": None if bounds is None else _pack(bounds[a:b].astype("<f4"))}
+             "amounts": _pack(amounts[a:b].astype("<u8" if bounds is None else "<f4")),
+             "bounds": None if bounds is None else _pack(bounds[a:b])}
             for p, (a, b) in enumerate(zip(edge, edge[1:])) if a < b]
 
 
 def _gains(gain: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As they are sent. No more than the asked gain of a bound: bounds are not negative, so
-    whether their sum reaches it stays the same."""
-    return gain.astype(np.float32), np.minimum(most, MIN_GAIN)
+    """As they are sent. A bound is rounded up to a part of the asked gain in steps of one in
+    ``FULL``, and no more than that is sent: bounds are not negative, so a sum that reaches
+    the asked gain still does."""
+    return gain.astype(np.float32), np.ceil(np.minimum(most / MIN_GAIN, 1.0) * FULL).astype(np.uint8)
 
 
 def _most(train: np.ndarray, c: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -354,30 +370,43 @@ class _Windows:
     """Living positions of a block: their places, words and the hashes of the windows before
     them, of any length at once. Only documents with such positions are worked out."""
 
-    def __init__(self, row: dict, pos: np.ndarray):
+    def __init__(self, row: dict, pos: np.ndarray, longest: int):
+        """``longest``: no longer windows are asked for."""
         tokens = np.frombuffer(row["tokens"], "<i8")
         numbers = _unpack(row["numbers"], int(tokens.sum()), "<u4")
+        vocabulary = np.frombuffer(row["words"], "<u8")
         begin, self.tokens = np.cumsum(tokens) - tokens, tokens
         self.doc = np.searchsorted(begin, pos, "right") - 1      # every document has a token
+        self.place = pos - begin[self.doc]
+        self.word = vocabulary[numbers[pos]]
+        self.train = ~np.array([bool(h) for h in row["held"]])[self.doc]
         fresh = np.diff(self.doc, prepend=-1) > 0
-        docs, of = self.doc[fresh], np.cumsum(fresh) - 1
+        docs = self.doc[fresh]
         size = pos[np.append(fresh[1:], True)] - begin[docs] + 1     # up to the last living position
-        first = np.cumsum(size) - size
         n = int(size.sum())
+        self.total = None
+        if longest * len(pos) <= WORDS_AT_ONCE * n:      # few words: each position's own
+            self.at, self.numbers, self.mixed = pos, numbers, mix64(vocabulary)
+            self.length, self.sums = 0, np.zeros(len(pos), np.uint64)
+            return
+        first = np.cumsum(size) - size
         numbers = numbers[np.arange(n) + np.repeat(begin[docs] - first, size)]
-        words = np.frombuffer(row["words"], "<u8")[numbers]
-        self.place = pos - begin[self.doc]
-        self.at = self.place + first[of]
-        self.word = words[self.at]
-        self.train = ~np.array([bool(h) for h in row["held"]])[self.doc]
+        self.at = self.place + first[np.cumsum(fresh) - 1]
         power = np.full(n + 1, _STEP, np.uint64)
         power[0] = 1
         inverse = np.full(n + 1, np.uint64(pow(int(_STEP), -1, 1 << 64)))
         inverse[0] = 1
         power, self.inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
-        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(words) * power[:n], dtype=np.uint64)])
+        self.total = np.concatenate([np.zeros(1, np.uint64),
+                                     np.cumsum(mix64(vocabulary)[numbers] * power[:n], dtype=np.uint64)])
 
     def keys(self, chosen: np.ndarray, length: int) -> np.ndarray:
+        """Lengths are asked for in ascending order; the chosen positions have so many words before them."""
+        if self.total is None:
+            while self.length < length:
+                self.length += 1
+                self.sums = self.sums * _STEP + self.mixed[self.numbers[np.maximum(self.at - self.length, 0)]]
+            return mix64(self.sums[chosen] + np.uint64(length))
         at = self.at[chosen]
         return mix64((self.total[at] - self.total[at - length]) * self.inverse[at - length] + np.uint64(length))
 
@@ -420,8 +449,8 @@ def _advance(before: int, length: int, parts: int):
         n, c = (read(k, "<u8").astype(np.float64) for k in ("n", "c"))
         mark = read("mark", "u1")
         inside, sure = mark & INSIDE > 0, mark & SURE > 0
-        block = _Windows(state, pos)
-        sums = {k: np.concatenate([np.zeros(0)] + [_unpack(r["sums"], r["size"], "<f8") for r in
+        block = _Windows(state, pos, next_length(length))
+        sums = {k: np.concatenate([np.zeros(0)] + [_unpack(r["sums"], r["size"], "<u8") for r in
                                                    sorted((r for r in rows if r["kind"] == k), key=lambda r: r["part"])])
                 for k in (GAIN, NEXT_N, NEXT_C)}
         flag = np.full(len(pos), 2)              # of the dense contexts, gains are known
@@ -444,7 +473,10 @@ def _advance(before: int, length: int, parts: int):
         n_next[far] = sums[NEXT_N][n_at] if before > DENSE else read("ahead", "<u8")[far]
         c_next[far] = np.where(c[far] == n[far], n_next[far], 0.0)
         c_next[far[unsure]] = sums[NEXT_C][c_at]
-        go = (flag >= 2) & (n_next >= MIN_CONTEXT)
+        # always followed by one word: what the context and any extension could gain is known here,
+        # and in each block that has it
+        hopeless = (c_next == n_next) & ~moved & (n_next * _most(True, c_next, p) < MIN_GAIN)
+        go = (flag >= 2) & (n_next >= MIN_CONTEXT) & ~hopeless
         if not go.any():
             return _table(out, STEPS)
         at = np.flatnonzero(go)
@@ -535,9 +567,11 @@ def _totals(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray]:
     distinct, where = _distinct(np.concatenate(keys))
     add = lambda name, kind: np.bincount(where, weights=np.concatenate(
         [_unpack(r[name], len(k), kind) for r, k in zip(rows, keys)]), minlength=len(distinct))
-    total = add("amounts", "<f8")
-    if rows[0]["bounds"] is not None:
-        total = (total >= MIN_GAIN) + 2.0 * (add("bounds", "<f4") >= MIN_GAIN)
+    if rows[0]["bounds"] is None:
+        total = add("amounts", "<u8")
+    else:
+        total = (add("amounts", "<f4") >= MIN_GAIN) + 2 * (add("bounds", "u1") >= FULL)
+    total = total.astype("<u8")
     return np.split(total[where], np.cumsum([len(k) for k in keys])[:-1]), total
 
 
@@ -545,7 +579,7 @@ def _add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     answers, total = _totals(rows)
     _trim(table)
-    out = [{"block": r["block"], "part": r["part"], "kind": r["kind"], "size": len(a), "sums": _pack(a.astype("<f8")),
+    out = [{"block": r["block"], "part": r["part"], "kind": r["kind"], "size": len(a), "sums": _pack(a),
             "total": None, "found": None} for r, a in zip(rows, answers)]
     out[0] |= {"total": float(total.sum()), "found": int((total > 0).sum())}      # of the part
     return _rows(out, ANSWER)
@@ -626,6 +660,7 @@ def _scores(docs: DataFrame, held_out: Column, id_col: str, text_col: str, depth
         _drop(step, GAIN, NEXT_N, NEXT_C)
         if reach <= LEFT_SHARE * written:
             whole, written = blocks, reach
+            buckets = max(1, min(buckets, -(-reach // BUCKET_TOKENS)))
             blocks = _bucketed(_with_state(whole, state).groupBy("block").applyInArrow(_compact, BLOCKS), "lm-blocks", buckets)
             _forget(whole)
             release(whole)

@@ -319,6 +319,43 @@ def test_suffix_tree_asks_only_what_is_open(spark, monkeypatch):
     assert written["lm-blocks"] >= 2
 
 
+def test_suffix_tree_leaves_contexts_of_one_word(spark, monkeypatch):
+    """Contexts that are always followed by the same word are not carried to longer ones."""
+    from pyspark.sql import functions as F
+    from semsift.llm import suffix_tree_lm as S
+    staged, kept = Counter(), S.stage
+
+    def stage(df, name, *more):
+        staged[name] += 1
+        return kept(df, name, *more)
+
+    monkeypatch.setattr(S, "stage", stage)
+    texts = [" ".join(f"w{k}" for k in range(80))] * 8 + ["w3 w4 x9", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["score"] for r in S.suffix_tree_scores(docs, F.col("doc_id") == 8).collect()}
+    text = [lowered(t) + [None] for t in texts]
+    predict, _, _ = brute_tree(text[:8] + text[9:])
+    for i in (0, 7, 8, 9):
+        want = sum(math.log10(predict(tuple(text[i][:j]), text[i][j])) for j in range(len(text[i])))
+        assert got[i] == pytest.approx(want)
+    assert staged["lm-sums"] == S.DENSE + 1
+
+
+def test_suffix_tree_packs_narrowly():
+    """Whole numbers take the bytes of the largest; a sent bound is never below the true one."""
+    import numpy as np
+    from semsift.llm.suffix_tree_lm import FULL, MIN_GAIN, _gains, _pack, _unpack
+    for values in (np.array([], "<u8"), np.array([0, 0], "<u8"), np.array([1, 255, 256], "<u8"),
+                   np.array([0, (1 << 64) - 1], "<u8"), np.array([7], "<u4"), np.array([0.5, -2.0], "<f4"),
+                   np.array([1e-300, 3.0], "<f8"), np.array([1, 0], "u1")):
+        assert np.array_equal(_unpack(_pack(values), len(values), values.dtype.str), values)
+    assert _pack(np.array([3, 200], "<u8"))[0] == 1 and _pack(np.array([3, 70_000], "<u8"))[0] == 3
+    most = np.array([0.0, 1e-12, 0.5, MIN_GAIN, 40.0])
+    bounds = _gains(np.zeros(5), most)[1]
+    assert bounds.tolist()[0] == 0 and bounds.tolist()[3:] == [FULL, FULL]
+    assert (bounds / FULL >= np.minimum(most / MIN_GAIN, 1)).all()
+
+
 # ---- operator 4
 
 
